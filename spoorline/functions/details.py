@@ -10,6 +10,7 @@ from spoorline.functions.text import (
     SEP,
     blank_to_null,
     capped,
+    let,
     lookup,
     one_line,
     or_blank,
@@ -84,14 +85,15 @@ def decode_field(field: Column, value: Column, event_id: Column) -> Column:
     status = F.when(event_id.isin(*KERBEROS_EVENTS), lookup(KERBEROS, code)).otherwise(
         lookup(NTSTATUS, code)
     )
+    roastable = F.when(raw == "0", F.lit("none — AS-REP roastable"))
     meaning = (
         F.when(name == "logontype", lookup(LOGON_TYPES, raw))
         .when(name.isin("status", "substatus", "resultcode", "failurereason"), status)
         .when(name == "ticketencryptiontype", lookup(TICKET_ENCRYPTION, code))
-        .when((name == "preauthtype") & (raw == "0"), F.lit("none — AS-REP roastable"))
+        .when(name == "preauthtype", roastable)
         .when(name.isin("starttype", "servicestarttype"), lookup(SERVICE_START, raw))
     )
-    return F.coalesce(F.concat(raw, F.lit(" ("), meaning, F.lit(")")), raw)
+    return F.concat(raw, F.coalesce(F.concat(F.lit(" ("), meaning, F.lit(")")), F.lit("")))
 
 
 def natural_key(name: Column) -> Column:
@@ -115,17 +117,27 @@ def render_pairs(pairs: Column, limit: int = DETAILS_LIMIT) -> Column:
     )
 
     def step(state: Column, item: Column) -> Column:
-        piece = F.concat(item["label"], F.lit(": "), item["value"])
-        cost = F.length(piece) + len(SEP)
-        fits = state["used"] + cost <= limit
-        joined = F.when(state["text"] == "", piece).otherwise(
-            F.concat(state["text"], F.lit(SEP), piece)
-        )
-        return F.struct(
-            F.when(fits, joined).otherwise(state["text"]).alias("text"),
-            F.when(fits, state["used"] + cost).otherwise(state["used"]).alias("used"),
-            F.when(fits, state["skipped"]).otherwise(state["skipped"] + 1).alias("skipped"),
-        )
+        def with_piece(piece: Column) -> Column:
+            cost = F.length(piece) + len(SEP)
+            joined = F.when(state["text"] == "", piece).otherwise(
+                F.concat(state["text"], F.lit(SEP), piece)
+            )
+            return F.when(
+                state["used"] + cost <= limit,
+                F.struct(
+                    joined.alias("text"),
+                    (state["used"] + cost).alias("used"),
+                    state["skipped"].alias("skipped"),
+                ),
+            ).otherwise(
+                F.struct(
+                    state["text"].alias("text"),
+                    state["used"].alias("used"),
+                    (state["skipped"] + 1).alias("skipped"),
+                )
+            )
+
+        return let(F.concat(item["label"], F.lit(": "), item["value"]), with_piece)
 
     def finish(state: Column) -> Column:
         tail = F.concat(F.lit("+"), state["skipped"].cast("string"), F.lit(" more"))
@@ -157,18 +169,18 @@ def auto_pairs(data: Column, skip: Column, event_id: Column) -> Column:
         & ~F.array_contains(skip, F.lower(e["key"]))
         & (one_line(or_blank(e["value"])) != ""),
     )
-    ranked = F.array_sort(F.transform(shown, keyed))
-    first = F.transform(
-        F.slice(ranked, 1, AUTO_PAIRS),
-        lambda r: pair(
-            r["label"], capped(decode_field(r["label"], r["value"], event_id), AUTO_VALUE)
-        ),
-    )
-    left = F.size(ranked) - AUTO_PAIRS
-    rest = F.array(
-        pair(F.lit("+"), F.concat(left.cast("string"), F.lit(" more fields")))
-    )
-    return F.when(left > 0, F.concat(first, rest)).otherwise(first)
+    def listed(ranked: Column) -> Column:
+        first = F.transform(
+            F.slice(ranked, 1, AUTO_PAIRS),
+            lambda r: pair(
+                r["label"], capped(decode_field(r["label"], r["value"], event_id), AUTO_VALUE)
+            ),
+        )
+        left = F.size(ranked) - AUTO_PAIRS
+        rest = F.array(pair(F.lit("+"), F.concat(left.cast("string"), F.lit(" more fields"))))
+        return F.concat(first, F.when(left > 0, rest).otherwise(F.slice(rest, 1, 0)))
+
+    return let(F.array_sort(F.transform(shown, keyed)), listed)
 
 
 def template_pairs(data: Column, template: Column, event_id: Column) -> Column:
@@ -188,16 +200,23 @@ def template_pairs(data: Column, template: Column, event_id: Column) -> Column:
         present = F.filter(
             row["names"], lambda n: or_blank(F.try_element_at(fields, F.lower(n))) != ""
         )
-        name = F.get(present, F.lit(0))
-        text = F.try_element_at(fields, F.lower(name))
-        is_ip = F.lower(name).contains("ip") | F.lower(name).contains("address")
-        clean = F.when(is_ip, normalize_ip(text)).otherwise(text)
-        shown = capped(decode_field(name, clean, event_id), TEMPLATE_VALUE)
-        return F.struct(
-            row["label"].alias("label"),
-            F.when(clean != "", shown).alias("value"),
-            F.lower(name).alias("field"),
-        )
+
+        def shown(name: Column) -> Column:
+            text = F.try_element_at(fields, F.lower(name))
+            is_ip = F.lower(name).rlike("ip|address")
+            clean = F.when(is_ip, normalize_ip(text)).otherwise(text)
+            return F.struct(
+                row["label"].alias("label"),
+                let(
+                    clean,
+                    lambda c: F.when(
+                        c != "", capped(decode_field(name, c, event_id), TEMPLATE_VALUE)
+                    ),
+                ).alias("value"),
+                F.lower(name).alias("field"),
+            )
+
+        return let(F.get(present, F.lit(0)), shown)
 
     rows = F.transform(F.slice(template, 1, TEMPLATE_PAIRS), resolved)
     return F.filter(rows, lambda r: r["field"].isNotNull())
@@ -207,32 +226,33 @@ def build_details(
     data: Column, template: Column, provider: Column, channel: Column, event_id: Column
 ) -> Column:
     """struct(details, extra): template fields, else all fields, else where it came from."""
-    none = strings([])
-    picked = F.coalesce(
-        template_pairs(data, template, event_id),
-        F.array().cast("array<struct<label:string,value:string,field:string>>"),
-    )
-    shown = F.transform(
-        F.filter(picked, lambda r: r["value"].isNotNull()), lambda r: pair(r["label"], r["value"])
-    )
-    used = F.transform(picked, lambda r: r["field"])
-    from_template = render_pairs(shown)
+    nothing = F.array().cast("array<struct<label:string,value:string,field:string>>")
     origin = F.array(
         pair(F.lit("Provider"), one_line(or_blank(provider))),
         pair(F.lit("Channel"), one_line(or_blank(channel))),
         pair(F.lit("EventID"), one_line(or_blank(event_id))),
         pair(F.lit("NoFieldData"), F.lit("record carries no EventData")),
     )
-    templated = F.size(shown) > 0
-    everything = render_pairs(auto_pairs(data, none, event_id))
-    return F.struct(
-        F.when(templated, from_template)
-        .otherwise(F.coalesce(blank_to_null(everything), render_pairs(origin)))
-        .alias("details"),
-        F.when(templated, render_pairs(auto_pairs(data, used, event_id), EXTRA_LIMIT))
-        .otherwise(F.lit(""))
-        .alias("extra"),
-    )
+
+    def built(picked: Column) -> Column:
+        shown = F.filter(picked, lambda r: r["value"].isNotNull())
+        templated = F.size(shown) > 0
+        # With a template the rest goes to extra, without one it is the details.
+        used = F.when(templated, F.transform(picked, lambda r: r["field"])).otherwise(strings([]))
+        from_template = render_pairs(
+            F.transform(shown, lambda r: pair(r["label"], r["value"])), DETAILS_LIMIT
+        )
+        return let(
+            render_pairs(auto_pairs(data, used, event_id), EXTRA_LIMIT),
+            lambda rest: F.struct(
+                F.when(templated, from_template)
+                .otherwise(F.coalesce(blank_to_null(rest), render_pairs(origin)))
+                .alias("details"),
+                F.when(templated, rest).otherwise("").alias("extra"),
+            ),
+        )
+
+    return let(F.coalesce(template_pairs(data, template, event_id), nothing), built)
 
 
 def parse_details(text: Column) -> Column:

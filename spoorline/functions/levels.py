@@ -11,10 +11,8 @@ from spoorline.schema import LEVEL_RANK, LEVELS
 
 def level_rank(level: Column) -> Column:
     """0 for info (and for anything unknown) up to 4 for crit."""
-    rank = F.lit(0)
-    for name in LEVELS[1:]:
-        rank = F.when(level == name, F.lit(LEVEL_RANK[name])).otherwise(rank)
-    return rank
+    place = F.array_position(strings(LEVELS), level).cast("int")
+    return F.coalesce(F.greatest(place - 1, F.lit(0)), F.lit(0))
 
 
 def level_name(rank: Column) -> Column:

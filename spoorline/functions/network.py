@@ -10,7 +10,7 @@ from importlib.resources import files
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spoorline.functions.text import any_of, strings
+from spoorline.functions.text import let, starts_any, strings
 
 # Address blocks behind each tag (IANA special-purpose registries).
 V4_PRIVATE = (
@@ -78,7 +78,7 @@ def _bits_of(block: str) -> str:
 
 
 def _in_blocks(bits: Column, blocks: Sequence[str]) -> Column:
-    return any_of([bits.startswith(_bits_of(block)) for block in blocks])
+    return starts_any(bits, [_bits_of(block) for block in blocks])
 
 
 def _joined_bits(parts: Column, base: int, width: int) -> Column:
@@ -92,9 +92,6 @@ def ip_tags(value: Column) -> Column:
     Both families become a bit string, so a block test is a prefix test. IPv6
     is taken in its full eight-group form, the only one the extractor yields.
     """
-    v4 = _joined_bits(F.split(value, r"\."), 10, 8)
-    v6 = _joined_bits(F.split(value, ":"), 16, 16)
-
     def tagged(bits: Column, private, spared, loopback, multicast, reserved) -> Column:
         is_private = _in_blocks(bits, private) & ~_in_blocks(bits, spared)
         return F.array_compact(
@@ -106,28 +103,31 @@ def ip_tags(value: Column) -> Column:
             )
         )
 
-    mapped_prefix = _bits_of("::ffff:0:0/96")
-    v4_part = v6.substr(97, 32)
-    v6_tags = F.when(
-        v6.startswith(mapped_prefix),
-        tagged(v4_part, V4_PRIVATE, V4_PRIVATE_EXCEPT, V4_LOOPBACK, V4_MULTICAST, V4_RESERVED),
-    ).otherwise(
-        tagged(v6, V6_PRIVATE, V6_PRIVATE_EXCEPT, V6_LOOPBACK, V6_MULTICAST, V6_RESERVED)
-    )
+    def v4(bits: Column) -> Column:
+        return tagged(
+            bits, V4_PRIVATE, V4_PRIVATE_EXCEPT, V4_LOOPBACK, V4_MULTICAST, V4_RESERVED
+        )
+
+    def v6(bits: Column) -> Column:
+        own = tagged(
+            bits, V6_PRIVATE, V6_PRIVATE_EXCEPT, V6_LOOPBACK, V6_MULTICAST, V6_RESERVED
+        )
+        mapped = bits.startswith(_bits_of("::ffff:0:0/96"))
+        return F.when(mapped, let(bits.substr(97, 32), v4)).otherwise(own)
+
     return F.when(
-        value.rlike(V4_SHAPE),
-        tagged(v4, V4_PRIVATE, V4_PRIVATE_EXCEPT, V4_LOOPBACK, V4_MULTICAST, V4_RESERVED),
-    ).when(value.rlike(V6_FULL_SHAPE), v6_tags)
+        value.rlike(V4_SHAPE), let(_joined_bits(F.split(value, r"\."), 10, 8), v4)
+    ).when(value.rlike(V6_FULL_SHAPE), let(_joined_bits(F.split(value, ":"), 16, 16), v6))
 
 
 def normalize_ip(value: Column) -> Column:
     """Comparable spelling: blanks dropped, mapped and loopback forms as IPv4."""
-    text = F.trim(value)
-    return (
-        F.when(text.isin("-", "::", ""), F.lit(""))
+    return let(
+        F.trim(value),
+        lambda text: F.when(text.isin("-", "::", ""), F.lit(""))
         .when(F.lower(text).startswith("::ffff:"), text.substr(F.lit(8), F.length(text)))
         .when(text == "::1", F.lit("127.0.0.1"))
-        .otherwise(text)
+        .otherwise(text),
     )
 
 

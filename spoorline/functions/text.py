@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import re
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,32 +48,57 @@ def or_blank(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def if_any(value: Column) -> Column:
+    """A generator that keeps rows where ``value`` is set, worked out once.
+
+    A filter on a computed column makes Spark compute it twice, in the filter
+    and in the projection; a generated column is computed once and stays whole.
+    """
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def _either(words: Sequence[str]) -> str:
+    return "|".join(re.escape(word) for word in words)
+
+
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
-    return any_of([text.contains(needle) for needle in needles])
+    """One pass over the text for all needles; the text is evaluated once."""
+    return text.rlike(_either(needles))
 
 
 def starts_any(text: Column, prefixes: Sequence[str]) -> Column:
-    return any_of([text.startswith(prefix) for prefix in prefixes])
+    return text.rlike(f"^(?:{_either(prefixes)})")
 
 
 def ends_any(text: Column, suffixes: Sequence[str]) -> Column:
-    return any_of([text.endswith(suffix) for suffix in suffixes])
+    return text.rlike(rf"(?:{_either(suffixes)})\z")
+
+
+_UNIT = "\u001f"
 
 
 def strings(values: Sequence[str]) -> Column:
-    """A literal array of strings, typed even when empty."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """A constant array of strings, typed even when empty."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit(_UNIT.join(values)), _UNIT)
 
 
-def literal_map(pairs: Mapping[str, object]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+def literal_map(pairs: Mapping[str, str]) -> Column:
+    """A constant map; written as one literal so that plans stay small."""
+    return F.from_json(F.lit(json.dumps(dict(pairs))), "map<string,string>")
 
 
-def lookup(pairs: Mapping[str, object], key: Column) -> Column:
+def lookup(pairs: Mapping[str, str], key: Column) -> Column:
     """Value of ``key`` in a small fixed table, null when absent."""
     return F.try_element_at(literal_map(pairs), key)
 
@@ -82,10 +109,11 @@ def entry(data: Column, *keys: str) -> Column:
 
 
 def put(data: Column, additions: Column) -> Column:
-    """``additions`` laid over ``data``; null values are left out."""
-    fresh = F.map_filter(additions, lambda k, v: v.isNotNull())
-    kept = F.map_filter(data, lambda k, v: ~F.map_contains_key(fresh, k))
-    return F.map_concat(kept, fresh)
+    """``additions`` laid over ``data``; null values are left out.
+
+    A later value of a key wins by the session's map setting, see ``session``.
+    """
+    return F.map_concat(data, F.map_filter(additions, lambda k, v: v.isNotNull()))
 
 
 def payload(**fields: Column) -> Column:
@@ -121,9 +149,13 @@ def file_name(path: Column) -> Column:
 
 def pretty(event_type: Column) -> Column:
     """``service_installed`` -> ``Service installed``; blank -> ``Event``."""
-    words = F.trim(F.translate(or_blank(event_type), "_", " "))
-    shown = F.concat(F.upper(F.substring(words, 1, 1)), words.substr(F.lit(2), F.length(words)))
-    return F.when(words == "", F.lit("Event")).otherwise(shown)
+    def shown(words: Column) -> Column:
+        first = F.upper(F.substring(words, 1, 1))
+        return F.when(words == "", F.lit("Event")).otherwise(
+            F.concat(first, words.substr(F.lit(2), F.length(words)))
+        )
+
+    return let(F.trim(F.translate(or_blank(event_type), "_", " ")), shown)
 
 
 def cut(text: Column, limit: int) -> Column:

@@ -9,7 +9,7 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spoorline.functions.text import group, rx, strings
+from spoorline.functions.text import let, rx, strings
 
 # Month names of the classic log clock.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -130,11 +130,16 @@ def to_utc(naive: Column, zone: Column | str) -> Column:
 
 
 def iso_time(text: Column, zone: Column | str) -> Column:
-    """An ISO text as UTC; without an offset it is read in ``zone``."""
-    tidy = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    aware = text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
-    parsed = tidy.try_cast("timestamp")
-    return F.when(aware, parsed).otherwise(to_utc(parsed, zone))
+    """An ISO text as UTC; without an offset it is read in ``zone``.
+
+    The session zone is UTC, so a text with an offset parses to UTC as it is,
+    and ``to_utc`` of a UTC zone changes nothing.
+    """
+    def read(t: Column) -> Column:
+        tidy = F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
+        return F.when(is_offset_iso(t), tidy).otherwise(to_utc(tidy, zone))
+
+    return let(text, read)
 
 
 def is_offset_iso(text: Column) -> Column:
@@ -152,55 +157,58 @@ def syslog_clock(line: Column, mtime: Column, zone: Column | str, year_hint: Col
     A classic line has no year: the hint, else the year the file was last
     written, one less when the line's month is later than the file's.
     """
-    iso = group(line, "^" + ISO_TIME)
-    classic = r"^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})"
-    part = lambda n: F.regexp_extract(line, classic, n)
-    month = month_number(part(1))
-    year = F.coalesce(
-        year_hint, F.year(mtime) - F.when(month > F.month(mtime), 1).otherwise(0)
-    )
-    wall = F.try_make_timestamp(
-        year,
-        month,
-        part(2).try_cast("int"),
-        part(3).try_cast("int"),
-        part(4).try_cast("int"),
-        part(5).try_cast("decimal(16,6)"),
-    )
-    from_iso = iso_time(iso, zone)
-    return F.struct(
-        F.coalesce(from_iso, F.when(line.rlike(classic), to_utc(wall, zone))).alias("time"),
-        F.coalesce(from_iso.isNotNull() & is_offset_iso(iso), F.lit(False)).alias("explicit"),
-    )
+    classic = F.regexp_extract(line, r"^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}", 0)
+
+    def wall(text: Column) -> Column:
+        month = month_number(F.left(text, F.lit(3)))
+        year = F.coalesce(
+            year_hint, F.year(mtime) - F.when(month > F.month(mtime), 1).otherwise(0)
+        )
+        dated = F.concat(year.cast("string"), F.lit(" "), F.regexp_replace(text, r"\s+", " "))
+        return to_utc(F.try_to_timestamp(dated, F.lit("yyyy MMM d HH:mm:ss")), zone)
+
+    def both(iso: Column) -> Column:
+        return F.struct(
+            F.when(iso != "", iso_time(iso, zone)).alias("iso"),
+            is_offset_iso(iso).alias("explicit"),
+        )
+
+    def answer(read: Column) -> Column:
+        return F.struct(
+            F.coalesce(read["iso"], let(classic, wall)).alias("time"),
+            (read["iso"].isNotNull() & read["explicit"]).alias("explicit"),
+        )
+
+    return let(let(F.regexp_extract(line, "^" + ISO_TIME, 1), both), answer)
 
 
 def any_clock(line: Column, zone: Column | str) -> Column:
     """First readable time anywhere in a line: ISO, then web log, then slashes."""
-    iso = F.regexp_extract(line, ISO_TIME, 1)
-    clf = F.regexp_extract(line, CLF_TIME, 1)
-    slash = F.regexp_extract(line, SLASH_TIME, 1)
-    clf_wall = F.left(clf, F.lit(20))
-    clf_time = F.when(
-        clf.rlike(r"[+-]\d{4}$"),
-        F.try_to_timestamp(
-            F.regexp_replace(clf, r"\s+", " "), F.lit("dd/MMM/yyyy:HH:mm:ss xx")
-        ),
-    ).otherwise(to_utc(F.try_to_timestamp(clf_wall, F.lit("dd/MMM/yyyy:HH:mm:ss")), zone))
-    slash_time = to_utc(
-        F.try_to_timestamp(F.regexp_replace(slash, r"\s+", " "), F.lit("yyyy/MM/dd HH:mm:ss")),
-        zone,
-    )
+    def clf_time(text: Column) -> Column:
+        return F.when(
+            text.rlike(r"[+-]\d{4}$"),
+            F.try_to_timestamp(
+                F.regexp_replace(text, r"\s+", " "), F.lit("dd/MMM/yyyy:HH:mm:ss xx")
+            ),
+        ).otherwise(to_utc(F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss")), zone))
+
+    def slash_time(text: Column) -> Column:
+        plain = F.regexp_replace(text, r"\s+", " ")
+        return to_utc(F.try_to_timestamp(plain, F.lit("yyyy/MM/dd HH:mm:ss")), zone)
+
     return F.coalesce(
-        F.when(iso != "", iso_time(iso, zone)),
-        F.when(clf != "", clf_time),
-        F.when(slash != "", slash_time),
+        iso_time(F.regexp_extract(line, ISO_TIME, 1), zone),
+        let(F.regexp_extract(line, CLF_TIME, 1), clf_time),
+        let(F.regexp_extract(line, SLASH_TIME, 1), slash_time),
     )
 
 
 def epoch_time(seconds: Column) -> Column:
     """Whole epoch seconds as a timestamp, null outside the believable range."""
-    whole = F.floor(seconds.try_cast("double")).cast("long")
-    return F.when(whole.between(EPOCH_MIN, EPOCH_MAX), F.timestamp_seconds(whole))
+    return let(
+        F.floor(seconds.try_cast("double")).cast("long"),
+        lambda s: F.when(s.between(EPOCH_MIN, EPOCH_MAX), F.timestamp_seconds(s)),
+    )
 
 
 def seconds_text(at: Column) -> Column:

@@ -91,16 +91,22 @@ def normalize(df: DataFrame, host: str = "", zone: Column | str = "UTC") -> Data
         at = F.coalesce(at, to_utc(F.col("local_time"), zone))
 
     title, details = col("title", blank), col("details", blank)
-    message = F.coalesce(
-        blank_to_null(col("message", blank)),
-        F.concat_ws(SEP, blank_to_null(title), blank_to_null(details)),
+    # Values used more than once become columns first, so that each is worked
+    # out once; the second step only reads columns.
+    staged = df.filter(at.isNotNull()).select(
+        *df.columns,
+        at.alias("__at"),
+        F.coalesce(
+            blank_to_null(col("message", blank)),
+            F.concat_ws(SEP, blank_to_null(title), blank_to_null(details)),
+        ).alias("__message"),
+        clamp_level(col("severity", F.lit("info"))).alias("__severity"),
+        col("event_type", F.lit("generic")).alias("__type"),
     )
+    at, message = F.col("__at"), F.col("__message")
     after = F.when(
         message.contains(SEP), message.substr(F.instr(message, SEP) + len(SEP), F.length(message))
     ).otherwise(message)
-
-    severity = clamp_level(col("severity", F.lit("info")))
-    event_type = col("event_type", F.lit("generic"))
     values = {
         "id": F.col("id") if "id" in have else F.lit(None),
         "event_time": at,
@@ -109,11 +115,11 @@ def normalize(df: DataFrame, host: str = "", zone: Column | str = "UTC") -> Data
         "ts_epoch": F.unix_micros(at),
         "ts_desc": col("ts_desc", blank),
         "host": F.coalesce(blank_to_null(col("host", blank)), F.lit(host)),
-        "event_type": event_type,
-        "severity": severity,
-        "sev_rank": level_rank(severity),
+        "event_type": F.col("__type"),
+        "severity": F.col("__severity"),
+        "sev_rank": level_rank(F.col("__severity")),
         "message": message,
-        "title": F.coalesce(blank_to_null(title), pretty(event_type)),
+        "title": F.coalesce(blank_to_null(title), pretty(F.col("__type"))),
         "details": F.coalesce(blank_to_null(details), after),
         "data": col("data", F.create_map().cast("map<string,string>")),
         "tags": col("tags", strings([])),
@@ -127,7 +133,7 @@ def normalize(df: DataFrame, host: str = "", zone: Column | str = "UTC") -> Data
         values[field.name] = present if field.name in optional else or_blank(
             present.cast("string")
         )
-    return df.filter(at.isNotNull()).select(
+    return staged.select(
         *[values[f.name].cast(f.dataType).alias(f.name) for f in EVENTS_SCHEMA.fields]
     )
 

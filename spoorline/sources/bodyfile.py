@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.functions.text import SEP, blank_to_null, cut, payload, strings
+from spoorline.functions.text import SEP, blank_to_null, cut, if_any, let, payload, strings
 from spoorline.functions.times import epoch_time
 from spoorline.operators.correlate import distinct_time_flags
 from spoorline.operators.normalize import line_id, normalize, union_events
@@ -20,35 +20,37 @@ def bodyfile_fields(line: Column) -> Column:
 
     Names may hold pipes: the last nine fields are bound from the right.
     """
-    parts = F.split(line, r"\|")
-    count = F.size(parts)
-    tail = F.slice(parts, -9, 9)
-    name = F.array_join(F.slice(parts, 2, F.greatest(count - 10, F.lit(0))), "|")
-    field = lambda i: F.get(tail, F.lit(i))
-    digest = F.get(parts, F.lit(0))
-    return F.when(
-        ~line.startswith("#") & (count >= FIELDS) & (name != ""),
-        F.struct(
-            F.when(digest == "0", "").otherwise(digest).alias("md5"),
-            cut(name, NAME_LIMIT).alias("name"),
-            field(0).alias("inode"),
-            field(1).alias("mode"),
-            field(2).alias("uid"),
-            field(3).alias("gid"),
-            field(4).alias("size"),
-            epoch_time(field(5)).alias("a"),
-            epoch_time(field(6)).alias("m"),
-            epoch_time(field(7)).alias("c"),
-            epoch_time(field(8)).alias("b"),
-        ),
-    )
+    def bound(parts: Column) -> Column:
+        count = F.size(parts)
+        tail = F.slice(parts, -9, 9)
+        name = F.array_join(F.slice(parts, 2, F.greatest(count - 10, F.lit(0))), "|")
+        field = lambda i: F.get(tail, F.lit(i))
+        digest = F.get(parts, F.lit(0))
+        return F.when(
+            (count >= FIELDS) & (name != ""),
+            F.struct(
+                F.when(digest == "0", "").otherwise(digest).alias("md5"),
+                cut(name, NAME_LIMIT).alias("name"),
+                field(0).alias("inode"),
+                field(1).alias("mode"),
+                field(2).alias("uid"),
+                field(3).alias("gid"),
+                field(4).alias("size"),
+                epoch_time(field(5)).alias("a"),
+                epoch_time(field(6)).alias("m"),
+                epoch_time(field(7)).alias("c"),
+                epoch_time(field(8)).alias("b"),
+            ),
+        )
+
+    # Ten pipes at least, so that the slices below are never out of range.
+    usable = ~line.startswith("#") & line.rlike(r"^(?:[^|]*\|){10}")
+    return F.when(usable, let(F.split(line, r"\|"), bound))
 
 
 def read_bodyfile(lines: DataFrame) -> DataFrame:
     """One row per filesystem entry; other lines are left out."""
-    parsed = lines.withColumn(
-        "entry", F.when(F.length("value") >= FIELDS, bodyfile_fields(F.col("value")))
-    ).filter(F.col("entry").isNotNull())
+    parsed = lines.select("*", if_any(bodyfile_fields(F.col("value"))).alias("entry"))
     return parsed.select(*[c for c in lines.columns if c != "value"], "entry.*")
 
 
@@ -186,9 +188,8 @@ def bodyfile_events(lines: DataFrame, *, host: str = "") -> DataFrame:
 def malformed(lines: DataFrame) -> DataFrame:
     """Non-blank lines per file that are not entries (diagnostics)."""
     value = F.col("value")
-    entry = F.when(F.length(value) >= FIELDS, bodyfile_fields(value))
     return (
-        lines.filter(value.rlike(r"\S") & entry.isNull())
+        lines.filter(value.rlike(r"\S") & bodyfile_fields(value).isNull())
         .groupBy("path")
         .agg(F.count(F.lit(1)).alias("lines"))
         .select("path", F.lit("not a bodyfile record").alias("cause"), "lines")

@@ -11,6 +11,7 @@ from spoorline.functions.text import (
     blank_to_null,
     contains_any,
     cut,
+    let,
     or_blank,
     payload,
     put,
@@ -63,31 +64,32 @@ def read_mongod(lines: DataFrame) -> DataFrame:
     """
     line = strip_ws(F.col("value"))
     record = F.when(line.startswith("{"), F.from_json(line, "map<string,string>"))
-    stamp, attr = F.col("__r")["t"], F.col("__r")["attr"]
-    when = F.when(
-        stamp.startswith("{"), F.from_json(stamp, "map<string,string>")["$date"]
-    ).otherwise(stamp)
-    fields = (
-        F.when(attr.startswith("{"), F.from_json(attr, "map<string,string>"))
-        .when(or_blank(attr) != "", F.create_map(F.lit("attr"), attr))
-        .otherwise(F.create_map().cast("map<string,string>"))
-    )
-    return (
-        lines.withColumn("__r", record)
-        .withColumn("event_time", iso_time(strip_ws(when), "UTC"))
-        .withColumn("letter", F.trim(F.coalesce(blank_to_null(F.col("__r")["s"]), F.lit("I"))))
-        .withColumn("component", F.trim(or_blank(F.col("__r")["c"])))
-        .withColumn("mongo_id", F.col("__r")["id"])
-        .withColumn("ctx", F.col("__r")["ctx"])
-        .withColumn("msg", or_blank(F.col("__r")["msg"]))
-        .withColumn(
-            "attr",
-            F.transform_values(
-                F.map_filter(fields, lambda k, v: v.isNotNull()), lambda k, v: cut(v, ATTR_LIMIT)
-            ),
+
+    def fields(attr: Column) -> Column:
+        found = (
+            F.when(attr.startswith("{"), F.from_json(attr, "map<string,string>"))
+            .when(or_blank(attr) != "", F.create_map(F.lit("attr"), attr))
+            .otherwise(F.create_map().cast("map<string,string>"))
         )
-        .drop("__r")
-    )
+        known = F.map_filter(found, lambda k, v: v.isNotNull())
+        return F.transform_values(known, lambda k, v: cut(v, ATTR_LIMIT))
+
+    def parsed(r: Column) -> Column:
+        when = F.when(
+            r["t"].startswith("{"), F.from_json(r["t"], "map<string,string>")["$date"]
+        ).otherwise(r["t"])
+        return F.struct(
+            iso_time(strip_ws(when), "UTC").alias("event_time"),
+            F.trim(F.coalesce(blank_to_null(r["s"]), F.lit("I"))).alias("letter"),
+            F.trim(or_blank(r["c"])).alias("component"),
+            r["id"].alias("mongo_id"),
+            r["ctx"].alias("ctx"),
+            or_blank(r["msg"]).alias("msg"),
+            fields(r["attr"]).alias("attr"),
+        )
+
+    rows = lines.select("*", F.explode(F.array(let(record, parsed))).alias("__r"))
+    return rows.select(*lines.columns, "__r.*")
 
 
 def message_meaning(msg: Column) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.levels import level_name
-from spoorline.functions.text import cut, group, or_blank, payload, strings, strip_ws
+from spoorline.functions.text import cut, group, if_any, or_blank, payload, strings, strip_ws
 from spoorline.functions.times import check_zone, syslog_clock
 from spoorline.operators.correlate import success_after_failure
 from spoorline.operators.normalize import line_id, normalize
-from spoorline.operators.running import FirstKnown, line_chunks, running
+from spoorline.operators.running import line_chunks
 from spoorline.operators.scoring import sudo_risk
+from spoorline.operators.skew import salted_join
 
 PARSER = "linux_syslog"
 
@@ -73,29 +74,34 @@ def timed_lines(lines: DataFrame, zone: str = "UTC", year: int | None = None) ->
     clock = syslog_clock(
         F.col("value"), F.col("mtime"), check_zone(zone), F.lit(year).cast("int")
     )
-    return (
-        lines.withColumn("__clock", clock)
-        .withColumn("event_time", F.col("__clock.time"))
-        .withColumn("explicit", F.col("__clock.explicit"))
-        .filter(F.col("event_time").isNotNull())
-        .drop("__clock")
+    dated = F.explode(F.filter(F.array(clock), lambda c: c["time"].isNotNull()))
+    rows = lines.select("*", dated.alias("__clock"))
+    return rows.select(
+        *lines.columns,
+        F.col("__clock.time").alias("event_time"),
+        F.col("__clock.explicit").alias("explicit"),
     )
 
 
 def file_host(timed: DataFrame) -> DataFrame:
-    """Adds ``file_host``: the first host seen in the file, from that line on."""
+    """Adds ``file_host``: the first host seen in the file, from that line on.
+
+    The first sighting per file is one small aggregate, so no row order is kept.
+    """
     seen = group(F.col("value"), HOST)
-    return running(
-        timed, ["path"], ["line_no"], line_chunks(), file_host=FirstKnown(seen)
+    first = timed.groupBy("path").agg(
+        F.min(F.when(seen.isNotNull(), F.struct("line_no", seen.alias("host")))).alias("__first")
     )
+    known = salted_join(timed, first, ["path"], ["line_no"])
+    here = F.when(F.col("line_no") >= F.col("__first.line_no"), F.col("__first.host"))
+    return known.withColumn("file_host", here).drop("__first")
 
 
 def syslog_logins(lines: DataFrame, zone: str = "UTC", year: int | None = None) -> DataFrame:
     """Parsed lines with the running failure counts of their source address."""
     hosted = file_host(timed_lines(lines, zone, year))
     shaped = (
-        hosted.withColumn("shape", line_shape(F.col("value")))
-        .filter(F.col("shape").isNotNull())
+        hosted.select("*", if_any(line_shape(F.col("value"))).alias("shape"))
         .withColumn("source", or_blank(F.col("shape.source")))
         .withColumn("account", or_blank(F.col("shape.user")))
     )
@@ -129,7 +135,8 @@ def syslog_events(
     source, detail = F.col("shape.source"), F.col("shape.detail")
     method = F.col("shape.method")
     cracked = F.col("cracked")
-    risk = sudo_risk(detail)
+    rows = rows.withColumn("risk", F.when(kind == "sudo", sudo_risk(detail)))
+    risk = F.col("risk")
 
     def per_kind(default=None, **values) -> Column:
         result: Column | None = None
