@@ -282,8 +282,11 @@ def history_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def config_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Account files of the customers and server configuration of the suppliers."""
+def config_lines(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
+    """Account files of the customers and server configuration of the suppliers.
+
+    ``kinds``: accounts, sshd, preload, service; all of them when none is given.
+    """
     c = load(spark, sf, "customer").withColumn("n", F.col("c_custkey"))
     n = F.col("n")
     passwd = c.select(
@@ -349,8 +352,15 @@ def config_lines(spark: SparkSession, sf: str) -> DataFrame:
             .otherwise("  other: true"),
         )).alias("__at", "value"),
     ).select("path", (F.col("__at") + 1).cast("long").alias("line_no"), "value")
-    whole = passwd
-    for part in (shadow, sudoers, keys, cron, sshd, preload, service):
+    files = {
+        "accounts": [passwd, shadow, sudoers, keys, cron],
+        "sshd": [sshd],
+        "preload": [preload],
+        "service": [service],
+    }
+    parts = [part for kind in (kinds or files) for part in files[kind]]
+    whole = parts[0]
+    for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole.withColumn("mtime", _collected())
 
