@@ -95,7 +95,7 @@ def search_substring(spark, sf):
 @query
 def search_regex(spark, sf):
     docs = d.load(spark, sf, "documents")
-    found = flt.search_regex(docs, r"[a-z]+@[a-z]+\.(com|org|net)", ["text", "lang"])
+    found = flt.search_regex(docs, r"[a-z0-9.]+@[a-z0-9.]+\.(com|org|net)", ["text", "lang"])
     return found.select("doc_id", "lang")
 
 
@@ -317,6 +317,13 @@ def rule_counts(spark, sf):
     return rul.hit_counts(hits, 200).withColumn("capped", F.col("capped").cast("int"))
 
 
+@query
+def rule_corpus(spark, sf):
+    """Six hundred unscoped rules, every one evaluated on every event in one scan."""
+    hits = rul.evaluate_rules(d.app_events(spark, sf), samples.rule_corpus(600))
+    return hits.select("id", "rule")
+
+
 @query
 def rule_text_hits(spark, sf):
     """Keyword rules over whole documents."""

@@ -67,7 +67,7 @@ SQL["search_substring"] = (
 )
 SQL["search_regex"] = (
     "SELECT doc_id, lang FROM documents WHERE "
-    "regexp_matches(text || chr(10) || lang, '[a-z]+@[a-z]+\\.(com|org|net)', 'i')"
+    "regexp_matches(text || chr(10) || lang, '[a-z0-9.]+@[a-z0-9.]+\\.(com|org|net)', 'i')"
 )
 _TOKENS = (
     "' ' || trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' '"
@@ -249,6 +249,9 @@ SQL["rule_cap"] = f"""WITH {_HITS} SELECT rule, hit_no, id FROM (SELECT *, row_n
   (PARTITION BY rule ORDER BY id) AS hit_no FROM h) WHERE hit_no <= 20"""
 SQL["rule_counts"] = f"""WITH {_HITS} SELECT rule, count(*) AS hits,
   CASE WHEN count(*) > 200 THEN 1 ELSE 0 END AS capped FROM h GROUP BY 1"""
+SQL["rule_corpus"] = app(
+    "SELECT id, 'c' || (k + 100 * (user_id % 10)) AS rule FROM ev WHERE user_id % 10 < 6"
+)
 SQL["rule_text_hits"] = """
 SELECT doc_id AS id, 't1' AS rule FROM documents
   WHERE contains(lower(text), 'the') AND contains(lower(text), 'example')
@@ -332,7 +335,7 @@ found AS (
   SELECT DISTINCT doc_id, text, type, regexp_replace(v, '[.,;:)\]}"'']+$', '') AS value FROM hit),
 oct AS (
   SELECT *, CASE WHEN type = 'ipv4' THEN list_transform(string_split(value, '.'),
-    lambda x: CAST(x AS INTEGER)) END AS o FROM found WHERE value <> '' AND length(value) <= 500),
+    lambda x: CAST(x AS BIGINT)) END AS o FROM found WHERE value <> '' AND length(value) <= 500),
 ok AS (
   SELECT *, CASE WHEN type = 'ipv4' THEN (o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4]) END AS n
   FROM oct WHERE CASE type
@@ -367,6 +370,12 @@ SQL["indicator_table"] = f"""WITH {_FANG} SELECT type, value, count(*) AS n,
 SQL["indicator_counts"] = f"""WITH {_FANG} SELECT type, count(*) AS n
   FROM (SELECT DISTINCT type, value FROM ind) GROUP BY 1"""
 
+SQL["indicators_pages"] = (
+    "WITH pages_text AS (SELECT page_id AS doc_id, concat_ws(chr(10), url, html) AS text FROM pages), "
+    + _FANG.strip().replace("FROM documents", "FROM pages_text")
+    + " SELECT doc_id AS page_id, type, count(*) AS n FROM ind GROUP BY 1, 2"
+)
+
 # --- text ---
 _SHELL = r"(?m)^(?:sudo |cd |ls|cat |curl |wget |vi |nano |apt |systemctl |mongo)"
 SQL["classify_documents"] = rf"""
@@ -399,6 +408,19 @@ d AS (SELECT doc_id, trim(question) AS question, i, row_number() OVER
   (PARTITION BY doc_id, lower(trim(question)) ORDER BY i) AS r FROM u)
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS position,
   question FROM d WHERE r = 1"""
+SQL["document_artifacts"] = SQL["classify_documents"].strip().removesuffix(
+    "SELECT doc_id, CASE label WHEN 'Authentication records' THEN 'auth' WHEN 'Web server access log' THEN 'web_access'\n"
+    "    WHEN 'List of filesystem paths' THEN 'path_list' WHEN 'Looks like a list of shell commands' THEN 'commands'\n"
+    "    WHEN '' THEN '' ELSE 'credentials' END AS kind, label,\n"
+    "  CASE WHEN label LIKE 'Contains%' THEN 'med' ELSE 'info' END AS severity FROM k"
+).strip() + r""",
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+fl AS (SELECT *, coalesce(sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM ln WHERE regexp_matches(v, '\S')),
+pv AS (SELECT doc_id, count(*) AS lines, left(string_agg(left(v, 2000), chr(10) ORDER BY i), 16384) AS raw FROM fl WHERE b < 16384 GROUP BY 1)
+SELECT pv.doc_id, CASE WHEN label LIKE 'Contains%' THEN 'med' ELSE 'info' END AS severity,
+  CASE WHEN label = '' THEN 'Text file with no timestamps' ELSE label END AS title, length(raw) AS raw_chars, lines, sha256(raw) AS raw_sha
+FROM pv JOIN k ON pv.doc_id = k.doc_id"""
 SQL["web_log_lines"] = facts(r""",
 x AS (
   SELECT *, user_id % 5 < 3 AS web, CASE WHEN user_id % 5 < 3 THEN '10.3.0.' || k || ' - - [' ||

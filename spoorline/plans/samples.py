@@ -134,3 +134,20 @@ QUESTIONS = [
     "Which sudo command was executed?",
     "What is the hostname?",
 ]
+
+
+def rule_corpus(size: int = 600) -> list[dict]:
+    """A rule set the size of a small public corpus: number and last digit of the user."""
+    return [
+        {
+            "title": f"Corpus rule {i}",
+            "id": f"c{i}",
+            "level": "low",
+            "detection": {
+                "number": {"k": str(i % 100)},
+                "user": {"User|endswith": str(i // 100)},
+                "condition": "number and user",
+            },
+        }
+        for i in range(size)
+    ]
