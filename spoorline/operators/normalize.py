@@ -52,7 +52,7 @@ def valid_techniques(ids: Column, known: Column | None = None) -> Column:
     )
     if known is None:
         return tidy
-    return F.filter(tidy, lambda t: F.array_contains(known, t))
+    return F.array_intersect(tidy, known)
 
 
 def with_valid_techniques(

@@ -257,7 +257,8 @@ def fold_condition(tree: ast.expr, selection: Callable[[int], Column]) -> Column
         parts = [fold_condition(value, selection) for value in tree.values]
         return reduce(and_ if isinstance(tree.op, ast.And) else or_, parts)
     if isinstance(tree, ast.UnaryOp):
-        return ~fold_condition(tree.operand, selection)
+        # A field that is absent matches nothing: unknown counts as false here.
+        return ~F.coalesce(fold_condition(tree.operand, selection), F.lit(False))
     if isinstance(tree, ast.Constant):
         return F.lit(bool(tree.value))
     return selection(int(tree.id[1:]))
@@ -281,15 +282,19 @@ class Fields:
     """
 
     used: dict[str, str] = field(default_factory=dict)
+    refs: dict[str, Column] = field(default_factory=dict)
 
-    def _name(self, source: str) -> str:
-        return self.used.setdefault(source, f"__f{len(self.used)}")
+    def _ref(self, source: str, ending: str) -> Column:
+        name = self.used.setdefault(source, f"__f{len(self.used)}") + ending
+        if name not in self.refs:
+            self.refs[name] = F.col(name)
+        return self.refs[name]
 
     def plain(self, source: str) -> Column:
-        return F.col(self._name(source))
+        return self._ref(source, "")
 
     def lower(self, source: str) -> Column:
-        return F.col(self._name(source) + "l")
+        return self._ref(source, "l")
 
     def columns(self) -> list[Column]:
         out = []
@@ -351,11 +356,11 @@ def _value_test(value: object, modifiers: set[str], fields: Fields, place: str)
             return fields.plain(place).rlike(rx(option, "cased" not in modifiers))
         probe = option if exact else option.lower()
         if "contains" in modifiers or "base64offset" in modifiers:
-            return subject.contains(F.lit(probe))
+            return subject.contains(probe)
         if "startswith" in modifiers:
-            return subject.startswith(F.lit(probe))
+            return subject.startswith(probe)
         if "endswith" in modifiers:
-            return subject.endswith(F.lit(probe))
+            return subject.endswith(probe)
         if "*" in probe or "?" in probe:
             shape = "".join(
                 ".*" if c == "*" else "." if c == "?" else re.escape(c) for c in probe
@@ -384,16 +389,12 @@ def _field_test(raw: str, expected: object, fields: Fields) -> Column:
     def value_test(value: object) -> Column:
         if value is None:
             return reduce(and_, [fields.plain(p).isNull() for p in places])
-        tests = [
-            F.coalesce(_value_test(value, modifiers, fields, p), F.lit(False)) for p in places
-        ]
+        tests = [_value_test(value, modifiers, fields, p) for p in places]
         if spare is not None and spare[1:] not in FIELD_ALIASES.get(name.lower(), ()):
             absent = reduce(and_, [fields.plain(p).isNull() for p in places])
-            tests.append(
-                absent & F.coalesce(_value_test(value, modifiers, fields, spare), F.lit(False))
-            )
+            tests.append(absent & _value_test(value, modifiers, fields, spare))
         elif spare is not None:
-            tests.append(F.coalesce(_value_test(value, modifiers, fields, spare), F.lit(False)))
+            tests.append(_value_test(value, modifiers, fields, spare))
         return reduce(or_, tests)
 
     if isinstance(expected, list):
@@ -412,7 +413,7 @@ def compile_selection(selection: object, fields: Fields) -> Column:
     if isinstance(selection, list):
         parts = [compile_selection(item, fields) for item in selection]
         return reduce(or_, parts) if parts else F.lit(False)
-    return F.coalesce(fields.lower("@message").contains(F.lit(str(selection).lower())), F.lit(False))
+    return fields.lower("@message").contains(str(selection).lower())
 
 
 # --- prefilter ----------------------------------------------------------------

@@ -34,7 +34,7 @@ def string_test(spec: str | Mapping, text: Column, lowered: Column) -> Column:
             body = f"(?<![A-Za-z0-9])(?:{body})(?![A-Za-z0-9])"
         return text.rlike(("(?i)" if nocase else "") + body)
     needle = spec["text"]
-    return lowered.contains(F.lit(needle.lower())) if nocase else text.contains(F.lit(needle))
+    return lowered.contains(needle.lower()) if nocase else text.contains(needle)
 
 
 def compile_signature(signature: Mapping, text: Column, lowered: Column) -> Column:

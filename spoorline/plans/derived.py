@@ -17,8 +17,22 @@ from spoorline.sources.lines import lines_of
 COLLECTED = "2024-02-01 00:00:00"
 
 
+SPLIT_BYTES, WORTH_SPREADING = 128 << 20, 1 << 20
+
+
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A table, spread over the cores when it is too small to fill them.
+
+    A table of a few megabytes sits in one file and one task. Its size on disk
+    is known before anything runs; a table with at least one split per core is
+    left as it is, and so is one too small to gain.
+    """
+    table = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if WORTH_SPREADING < size < cores * SPLIT_BYTES:
+        return table.repartition(cores)
+    return table
 
 
 def _collected() -> Column:

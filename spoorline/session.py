@@ -13,6 +13,9 @@ _RUNTIME_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes: a stage with many rules
+    # or patterns is faster as several small methods than as one huge one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -31,6 +34,8 @@ def local_session(cores: int = 8, app: str = "spoorline") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", os.environ.get("SPOORLINE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # Plans here have many columns; recording a call site for each is slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
