@@ -13,6 +13,7 @@ from spoorline.functions.text import (
     cut,
     entry,
     file_name,
+    if_any,
     or_blank,
     payload,
     put,
@@ -226,16 +227,19 @@ def winevent_rows(records: DataFrame, templates: DataFrame | None = None) -> Dat
     """
     record = F.col("record")
     stem = F.regexp_replace(file_name(F.col("path")), r"(?<=.)\.[^.]*$", "")
-    rows = records.select(
+    # Records without a time leave here; see ``if_any`` for why not by a filter.
+    dated = records.select(
+        "*", if_any(iso_time(F.trim(entry(record, *TIME_KEYS)), "UTC")).alias("event_time")
+    )
+    rows = dated.select(
         "*",
-        iso_time(F.trim(entry(record, *TIME_KEYS)), "UTC").alias("event_time"),
         or_blank(F.trim(entry(record, *EVENT_ID_KEYS))).alias("event_id"),
         or_blank(entry(record, *PROVIDER_KEYS)).alias("provider"),
         F.coalesce(entry(record, *CHANNEL_KEYS), blank_to_null(stem), F.lit("evtx")).alias(
             "channel"
         ),
         F.coalesce(blank_to_null(stem), F.lit("evtx")).alias("log"),
-    ).filter(F.col("event_time").isNotNull())
+    )
     rows = rows.withColumn("family", family(F.col("provider"), F.col("channel")))
     rows = rows.join(F.broadcast(taxonomy(records)), ["family", "event_id"], "left")
     if templates is None:
