@@ -191,11 +191,19 @@ def case_summary(
         F.count_if(~F.coalesce(noisy, F.lit(False))).alias("interesting_indicators"),
     )
     of_findings = findings.agg(F.count(F.lit(1)).alias("detections"))
-    # Four one-row results, put side by side on a constant.
-    row = files.withColumn("__k", F.lit(1))
-    for part in (of_events, of_findings, of_iocs):
-        row = row.join(part.withColumn("__k", F.lit(1)), "__k")
-    return row.drop("__k")
+    # One-row results are read as scalar subqueries: nothing is joined.
+    return beside(files, of_events, of_findings, of_iocs)
+
+
+def beside(row: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row tables side by side, the others as scalar subqueries of structs."""
+    for number, other in enumerate(others):
+        name = f"__r{number}"
+        packed = other.select(F.struct(*other.columns).alias("s")).scalar()
+        row = row.withColumn(name, packed).select(
+            *row.columns, *[F.col(name)[c].alias(c) for c in other.columns]
+        )
+    return row
 
 
 def events_with_artifacts(events: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -416,7 +416,7 @@ def indicator_allowlist(spark, sf):
     """Allowlist tags from a table: the registered domains of the pages."""
     links = ioc.extract_indicators(d.load(spark, sf, "pages"), "url", ["page_id"], allowlist=[])
     listed = d.load(spark, sf, "pages").filter(F.col("url").contains("example.com")).select(
-        F.lit(".example.com").alias("entry")
+        F.concat(F.lit("."), F.regexp_extract("url", r"example\.com", 0)).alias("entry")
     )
     return ioc.tag_from_table(links, listed, ["page_id", "value"]).select(
         "page_id", "type", "value", _join("tags")
