@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spoorline.llm import simhash
+from spoorline.llm import langid, lines, simhash
 from spoorline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,40 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return clean.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_removed").cast("long").alias("n_removed"),
+        F.md5("text").alias("text_md5"),
+    )
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        langid.held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.size("span_lang").alias("n_spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_language": op10_language,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_line_dedup": f"""
+WITH {lines.REPEATED_SQL.format(docs="documents")}
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       md5(clean.text) AS text_md5
+FROM documents d LEFT JOIN clean ON clean.doc_id = d.doc_id
+""",
+}
