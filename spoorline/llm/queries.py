@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import langid, lines, simhash
+from spoorline.llm import decontaminate, langid, lines, pieces, simhash
 from spoorline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +41,29 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = docs.select("doc_id", "text", pieces.encode(F.col("text"), path).alias("ids"))
+    back = coded.select("doc_id", "text", "ids", pieces.decode(F.col("ids"), path).alias("back"))
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("back", 256).alias("decoded_sha256"),
+        (F.col("back") == F.col("text")).alias("same"),
+    )
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("item_of_test", "item_id")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_simhash": op4_simhash,
+    "op5_decontaminate": op5_decontaminate,
     "op8_line_dedup": op8_line_dedup,
     "op10_language": op10_language,
 }
