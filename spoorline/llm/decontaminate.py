@@ -200,10 +200,20 @@ def slices_of(items: DataFrame, id: str, text: str, slice_terms: int) -> Iterato
         yield build(held, known, total, length)
 
 
-def contaminated(
+def _searcher(shared, kind: str, least: float, question: float, answer: float):
+    names = ("item", "score", "question", "answer")
+
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        rows = [search(shared.value, t, least, question, answer) for t in texts]
+        return pd.Series([[dict(zip(names, r, strict=True)) for r in x] for x in rows], dtype=object)
+
+    return run
+
+
+def test_items(
     docs: DataFrame,
     items: DataFrame,
-    id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
@@ -212,31 +222,25 @@ def contaminated(
     answer: float = 0.5,
     slice_terms: int = 20_000_000,
 ) -> DataFrame:
-    """One row per document and item it holds: id, item id, score and the two overlaps."""
-    kind = "id long, item long, score double, question double, answer double"
-    narrow = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
-    out = None
+    """Adds `test_items`: the items a text holds with their score and overlaps.
+
+    Only the text goes through Python; all columns are kept and nothing is shuffled.
+    """
+    kind = "array<struct<item:bigint,score:double,question:double,answer:double>>"
+    found = []
     for index in slices_of(items, item_id, item_text, slice_terms):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own = shared.value
-            for batch in batches:
-                rows = [
-                    (doc, *row)
-                    for doc, t in zip(batch["id"], batch["t"], strict=True)
-                    for row in search(own, t, least, question, answer)
-                ]
-                yield pd.DataFrame(rows, columns=["id", "item", "score", "question", "answer"]).astype(
-                    {"id": "Int64", "item": "Int64"}
-                )
-
-        found = narrow.mapInPandas(run, kind)
-        out = found if out is None else out.union(found)
-    return out.select(
-        F.col("id").alias(id),
-        F.col("item").alias("item_of_test"),
-        "score",
-        F.col("question").alias("question_overlap"),
-        F.col("answer").alias("answer_overlap"),
+        found.append(_searcher(shared, kind, least, question, answer)(F.col(text)))
+    return docs.withColumn("test_items", F.concat(*found))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", **options) -> DataFrame:
+    """One row per document and item it holds: id, item_of_test, score and the two overlaps."""
+    held = test_items(docs, items, **options).where(F.size("test_items") > 0)
+    return held.select(F.col(id).cast("long").alias(id), F.explode("test_items").alias("x")).select(
+        id,
+        F.col("x.item").alias("item_of_test"),
+        F.col("x.score").alias("score"),
+        F.col("x.question").alias("question_overlap"),
+        F.col("x.answer").alias("answer_overlap"),
     )
