@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import decontaminate, langid, lines, pieces, simhash
+from spoorline.llm import decontaminate, langid, lines, minhash, pieces, shards, simhash
 from spoorline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.order_minhash(table(spark, sf_dir, "documents"))
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -61,7 +69,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_shards": op3_token_shards,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op8_line_dedup": op8_line_dedup,
