@@ -89,7 +89,7 @@ def repeated_passages(docs: DataFrame, id: str, text: str, divisor: int = 2, wor
     places = written(narrow.join(often, narrow["hash"] == often["often"]).drop("often", "hash"), "places")
     per_doc = marked(places.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("found")))
     rows = keyed(docs, id, text)
-    held = rows.join(per_doc, same_text(rows, per_doc))
+    held = rows.join(per_doc.hint("merge"), same_text(rows, per_doc))
     texts = held.select("id", "mark", "lines", F.explode("found").alias("c")).select(
         F.struct("id", "c.start", "mark").alias("place"),
         chunk_text(F.col("lines"), F.col("c.start"), F.col("c.end")).alias("bytes"),
@@ -114,7 +114,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", divisor
     )
     rows = docs.withColumn("mark_of_text", F.xxhash64(text))
     joined = rows.join(
-        gone, rows[id].cast("long").eqNullSafe(gone["id_"]) & (rows["mark_of_text"] == gone["mark_"]), "left"
+        gone.hint("merge"), rows[id].cast("long").eqNullSafe(gone["id_"]) & (rows["mark_of_text"] == gone["mark_"]), "left"
     )
     lines = F.split(text, "\n", -1)
     kept = F.filter(
