@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import decontaminate, langid, lines, minhash, pieces, shards, simhash
+from spoorline.llm import decontaminate, langid, lines, mainregion, minhash, pieces, shards, simhash
 from spoorline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return mainregion.extract_pages(pages, mainregion.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return clean.select(
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_shards": op3_token_shards,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
+    "op6_html_text": op6_html_text,
     "op8_line_dedup": op8_line_dedup,
     "op10_language": op10_language,
 }
