@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import decontaminate, langid, lines, mainregion, minhash, pieces, shards, simhash
+from spoorline.llm import decontaminate, langid, licenses, lines, mainregion, minhash, pieces, shards, simhash, warc
 from spoorline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,15 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainregion.extract_pages(pages, mainregion.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = warc.responses(table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z")
+    return warc.derive(stored).select(
+        F.col("source").cast("long").alias("page_id"), "type", "record_id", "refers_to", "target_uri", "date",
+        "content_type", "content_length", "block_digest", "payload_digest", "source_payload_digest",
+        "source_block_digest", F.sha1("record").alias("record_sha1"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return clean.select(
@@ -41,6 +50,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", licenses.scan_texts(F.col("text")).alias("x")).select("doc_id", "x.*")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs)
@@ -80,7 +94,9 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_html_text": op6_html_text,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_line_dedup": op8_line_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_language": op10_language,
 }
 
