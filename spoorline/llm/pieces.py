@@ -4,11 +4,14 @@ The normalized text falls into words, each a run of word marks and what follows;
 crosses their edges. Words that were not met before are grouped by length, and the words
 of a length advance together: the hashes of all their substrings probe the sorted keys of
 the pieces, and the maxima over the pieces that end at a place are kept as backpointers.
-A segmentation is the one whose scores sum highest; of equal sums the earliest start of
-the last piece wins. Characters without a piece become byte pieces, or the unknown id.
 
-With a vocabulary whose scores are merge ranks (the public one is), the sum of ranks is
-what is minimized, so ids can differ from those of greedy merging; decoding is exact.
+With a unigram vocabulary a piece scores its log probability and every transition is free;
+of equal sums the earliest start of the last piece wins. With a merge vocabulary (the
+public one) the score lies in the transitions: a piece may follow another if merging the
+two pieces' characters ends in just these two. A sequence whose neighbours all may stand
+together is the one that merging gives, and there is one for every prefix, so the search
+finds the library's ids exactly. Pairs are tried once and remembered. Characters without
+a piece become byte pieces, or the unknown id.
 
 A null text counts as empty and gives no ids. Texts are handled whole, whatever their
 length; a worker keeps at most `KEPT` words.
@@ -29,6 +32,10 @@ MARK = "▁"
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 UNKNOWN_PENALTY = 10.0
 KEPT = 300_000
+#: Pairs of pieces remembered, an entry of a few dozen bytes each.
+PAIRS = 1_000_000
+#: In a search's table of last pieces: no piece yet, a character without a piece.
+NONE, ODD = -2, -1
 #: Words of one length are worked on in blocks of about this many characters.
 BLOCK = 1 << 18
 
@@ -38,9 +45,42 @@ def points_of(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), -1)
 
 
+def varint(octets: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (octets[at] & 127) << shift
+        shift, at = shift + 7, at + 1
+        if octets[at - 1] < 128:
+            return value, at
+
+
+def fields(octets: bytes) -> dict[int, int | bytes]:
+    """The last value of each numbered field of a serialized message."""
+    out: dict[int, int | bytes] = {}
+    at = 0
+    while at < len(octets):
+        tag, at = varint(octets, at)
+        kind = tag & 7
+        if kind == 0:
+            value, at = varint(octets, at)
+        else:
+            size, at = varint(octets, at) if kind == 2 else ({1: 8, 5: 4}[kind], at)
+            value, at = octets[at : at + size], at + size
+        out[tag >> 3] = value
+    return out
+
+
+def is_unigram(model: bytes) -> bool:
+    """Whether the trainer's settings (field 2) name the unigram type (field 3, its default)."""
+    return fields(fields(model).get(2, b"")).get(3, 1) == 1
+
+
 class Vocabulary:
     def __init__(self, path: str) -> None:
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as file:
+            octets = file.read()
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=octets)
+        self.unigram = is_unigram(octets)
         ids = range(self.model.get_piece_size())
         pieces = [self.model.id_to_piece(i) for i in ids]
         self.byte_ids = {int(pieces[i][3:5], 16): i for i in ids if self.model.is_byte(i)}
@@ -61,7 +101,9 @@ class Vocabulary:
         self.keys = keys[order]
         self.key_ids = np.array(plain, dtype=np.int32)[order]
         self.key_scores = np.array([scores[i] for i in plain])[order]
+        self.powers = np.array([pow(int(BASE), k, 1 << 64) for k in range(2 * self.longest + 1)], dtype=np.uint64)
         self.words: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
         self.octets = [self._octets(i, pieces[i]) for i in ids]
         self.pieces = pieces
 
@@ -93,25 +135,73 @@ class Vocabulary:
         points = points_of(words)
         n, size = points.shape
         hashes = self.prefix_hashes(points)
-        with np.errstate(over="ignore"):
-            powers = np.array([pow(int(BASE), k, 1 << 64) for k in range(self.longest + 1)], dtype=np.uint64)
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
         start = np.zeros((n, size + 1), dtype=np.int32)
-        piece = np.full((n, size + 1), -1, dtype=np.int32)
+        piece = np.full((n, size + 1), ODD, dtype=np.int32)
+        piece[:, 0] = NONE
         rows = np.arange(n)
         for j in range(1, size + 1):
             first = max(0, j - self.longest)
-            cut = hashes[:, j : j + 1] - hashes[:, first:j] * powers[j - first : 0 : -1]
+            cut = hashes[:, j : j + 1] - hashes[:, first:j] * self.powers[j - first : 0 : -1]
             ids, scores = self.probe(cut)
-            scores[:, -1] = np.where(ids[:, -1] < 0, self.unknown_score, scores[:, -1])
-            sums = best[:, first:j] + scores
+            if self.unigram:
+                scores[:, -1] = np.where(ids[:, -1] < 0, self.unknown_score, scores[:, -1])
+                sums = best[:, first:j] + scores
+            else:
+                there = ids >= 0
+                sums = np.where(there, 0.0, -np.inf)
+                sums[there] = np.where(self.may_follow(piece[:, first:j][there], ids[there]), 0.0, -np.inf)
+                sums[:, -1] = np.where(there[:, -1], sums[:, -1], 0.0)
             top = sums.argmax(axis=1)
             best[:, j] = sums[rows, top]
             start[:, j] = top + first
             piece[:, j] = ids[rows, top]
         return [self.trace(word, start[k], piece[k]) for k, word in enumerate(words)]
 
+    def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging leaves both pieces as they are; a missing left one asks for the right alone."""
+        codes = np.where(left < 0, -1, left).astype(np.int64) * len(self.pieces) + right
+        different, where = np.unique(codes, return_inverse=True)
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        new = [c for c in different.tolist() if c not in self.pairs]
+        by_size: dict[int, list[tuple[int, str, str]]] = {}
+        for code in new:
+            a, b = divmod(code, len(self.pieces))
+            one, two = self.pieces[a] if a >= 0 else "", self.pieces[b]
+            by_size.setdefault(len(one + two), []).append((code, one, two))
+        for size, same in by_size.items():
+            points = points_of([one + two for _, one, two in same])
+            begins = self.merged(points)
+            want = np.zeros(begins.shape, dtype=bool)
+            want[:, 0] = True
+            want[np.arange(len(same)), [len(one) % size for _, one, _ in same]] = True
+            self.pairs.update(zip((c for c, _, _ in same), (begins == want).all(axis=1).tolist(), strict=True))
+        return np.fromiter(map(self.pairs.__getitem__, different.tolist()), dtype=bool, count=len(different))[where]
+
+    def merged(self, points: np.ndarray) -> np.ndarray:
+        """Where pieces begin after all merges: best score first, then leftmost."""
+        n, size = points.shape
+        hashes = self.prefix_hashes(points)
+        begins = np.ones((n, size), dtype=bool)
+        after = np.tile(np.arange(1, size + 1), (n, 1))  # where the piece that begins here ends
+        rows = np.arange(n)
+        while True:
+            middle = np.minimum(after, size - 1)
+            end = np.where(after < size, np.take_along_axis(after, middle, axis=1), size)
+            open_ = begins & (after < size)
+            cut = np.take_along_axis(hashes, end, axis=1) - hashes[:, :size] * self.powers[end - np.arange(size)]
+            ids, scores = self.probe(cut)
+            scores = np.where(open_ & (ids >= 0), scores, -np.inf)
+            top = scores.argmax(axis=1)
+            go = np.flatnonzero(scores[rows, top] > -np.inf)
+            if not len(go):
+                return begins
+            at = top[go]
+            begins[go, after[go, at]] = False
+            after[go, at] = end[go, at]
+
     def trace(self, word: str, start: np.ndarray, piece: np.ndarray) -> bytes:
         out: list[int] = []
         j = len(word)

@@ -35,7 +35,7 @@ def test_base_phrases_and_words():
         assert (n, n_base) == (len(plain_words(text)), len(found))
         assert (first, last) == (min(starts, default=None), max(starts, default=None))
         assert base == ",".join(sorted({x for _, x in found}))
-        assert set(base.split(",")) <= set(labels.split(",")) and 0 <= score <= 1
+        assert {x for x in base.split(",") if x} <= set(labels.split(",")) and 0 <= score <= 1
 
 
 def test_gates_lose_no_match_and_kept_ones_are_not_contained():
