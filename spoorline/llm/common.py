@@ -38,6 +38,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The rows as one column `row`, so that no name of theirs meets the operator's own."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *more)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of `docs` and the new ones; a new one takes the place of its namesake."""
+    names = {c.lower() for c in docs.columns}
+    known = {k.lower(): v for k, v in new.items()}
+    old = [known.get(c.lower(), F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return rows.select(*old, *(v.alias(k) for k, v in new.items() if k.lower() not in names))
+
+
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -106,3 +119,24 @@ def components(edges: DataFrame) -> DataFrame:
 def _mark(links: DataFrame) -> tuple:
     row = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
     return tuple(row)
+
+
+class Kept(dict):
+    """A dictionary of at most about two times `size` entries: those of late use stay."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.size = size
+        self.older: dict = {}
+
+    def unknown(self, keys: set) -> set:
+        """The keys that have no value; what is known among them is taken over."""
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        if self.older:
+            old = new.intersection(self.older)
+            self.update((k, self.older[k]) for k in old)
+            new -= old
+        return new

@@ -24,8 +24,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoorline.llm.common import packed, unpacked
+
 LETTERS = 62
 UNKNOWN = "und"
+FOUND = {
+    "lang_pred": "string",
+    "score": "double",
+    "span_lang": "array<string>",
+    "span_start": "array<int>",
+    "span_end": "array<int>",
+}
 #: Batches of this many code points are worked on at a time.
 PIECE = 4_000_000
 
@@ -268,19 +277,19 @@ def pieces(texts: list[str]) -> Iterator[list[str]]:
 def predict(docs: DataFrame, model: Model, text: str = "text", switch: float = 12.0) -> DataFrame:
     """Adds lang_pred, score and the spans' languages and code point offsets.
 
-    Every other column is kept; only the text goes through Python.
+    Every other column is kept, one named as a result is replaced by it; only the text goes
+    through Python.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = "lang_pred string, score double, span_lang array<string>, span_start array<int>, span_end array<int>"
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(", ".join(map(" ".join, FOUND.items())))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         numbers = own.numbers()
         for batch in batches:
             texts = [x or "" for x in batch]
             rows = [row for part in pieces(texts) for row in label_texts(own, numbers, part, switch)]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "span_lang", "span_start", "span_end"])
+            yield pd.DataFrame(rows, columns=list(FOUND))
 
-    added = docs.withColumn("found_in_text", run(F.col(text)))
-    return added.select(*(docs[c] for c in docs.columns), "found_in_text.*")
+    rows = packed(docs).withColumn("found", run(F.col("row").getField(text)))
+    return unpacked(rows, docs, **{name: F.col("found").getField(name) for name in FOUND})

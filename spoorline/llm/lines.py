@@ -10,8 +10,8 @@ passages of more than `words` words are removed. Words are counted as spaces plu
 Only DataFrame functions are used. The texts cross the network twice by id, and once more
 the repeated chunks alone; counts and places are narrow rows. Nulls: a null text stays
 null; a null id comes first. Rows equal in id and text are treated alike. An empty text
-is one empty line. An empty table gives an empty result. Extra columns are kept, and may
-have any name but those of the result.
+is one empty line. An empty table gives an empty result. Extra columns are kept; one named
+as a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spoorline.llm.common import written
+from spoorline.llm.common import packed, unpacked, written
 
 ROLL = 31
 
@@ -112,21 +112,22 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", divisor
     gone = marked(
         written(found, "passages").groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("gone_"))
     )
-    rows = docs.withColumn("mark_of_text", F.xxhash64(text))
-    joined = rows.join(
-        gone.hint("merge"), rows[id].cast("long").eqNullSafe(gone["id_"]) & (rows["mark_of_text"] == gone["mark_"]), "left"
-    )
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(
-        lines, lambda line, i: ~F.exists("gone_", lambda g: (i >= g["start"]) & (i < g["end"]))
+    rows = packed(
+        docs,
+        F.col(id).cast("long").alias("id"),
+        F.xxhash64(text).alias("mark"),
+        F.split(text, "\n", -1).alias("lines"),
     )
+    joined = rows.join(gone.hint("merge"), same_text(rows, gone), "left")
+    kept = F.filter("lines", lambda line, i: ~F.exists("gone_", lambda g: (i >= g["start"]) & (i < g["end"])))
     removed = F.aggregate("gone_", F.lit(0), lambda a, g: a + g["end"] - g["start"])
-    out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn(
-        "n_removed", F.coalesce(removed, F.lit(0))
-    )
-    whole = F.when(F.col("gone_").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")))
-    return out.withColumn(text, whole).select(*docs.columns, "n_lines", "n_removed")
+    old = F.col("row").getField(text)
+    new = {
+        text: F.when(F.col("gone_").isNull(), old).otherwise(F.array_join(kept, "\n")),
+        "n_lines": F.when(old.isNull(), 0).otherwise(F.size("lines")),
+        "n_removed": F.coalesce(removed, F.lit(0)),
+    }
+    return unpacked(joined, docs, **new)
 
 
 #: The same result said in SQL. MD5 stands for the hash that finds equal chunks there.

@@ -14,7 +14,7 @@ finds the library's ids exactly. Pairs are tried once and remembered. Characters
 a piece become byte pieces, or the unknown id.
 
 A null text counts as empty and gives no ids. Texts are handled whole, whatever their
-length; a worker keeps at most `KEPT` words.
+length; a worker keeps at most about twice `KEPT` words.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spoorline.llm.common import Kept
+
 MARK = "▁"
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 UNKNOWN_PENALTY = 10.0
@@ -102,7 +104,7 @@ class Vocabulary:
         self.key_ids = np.array(plain, dtype=np.int32)[order]
         self.key_scores = np.array([scores[i] for i in plain])[order]
         self.powers = np.array([pow(int(BASE), k, 1 << 64) for k in range(2 * self.longest + 1)], dtype=np.uint64)
-        self.words: dict[str, bytes] = {}
+        self.words = Kept(KEPT)
         self.pairs: dict[int, bool] = {}
         self.octets = [self._octets(i, pieces[i]) for i in ids]
         self.pieces = pieces
@@ -244,10 +246,7 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cuts = [self.cut(x) for x in texts]
-        if len(self.words) > KEPT:
-            self.words.clear()
-        new = {w for words in cuts for w in words}
-        self.learn(new.difference(self.words))
+        self.learn(self.words.unknown({w for words in cuts for w in words}))
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, words)), dtype="<i4") for words in cuts]
 

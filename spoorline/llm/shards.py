@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spoorline.llm.common import parts_of, shared_folder
+from spoorline.llm.common import Kept, parts_of, shared_folder
 
 MAGIC = b"WVM1"
 RANK = 512
@@ -49,7 +49,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Kept(KEPT)
 
     def cut(self, text: str) -> list[str]:
         if SEPARATORS.search(text):
@@ -58,9 +58,7 @@ class Words:
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         cuts = [self.cut(t) for t in texts]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        new = list({w for words in cuts for w in words}.difference(self.known))
+        new = list(self.known.unknown({w for words in cuts for w in words}))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             coded = self.tokenizer.encode_batch(part, add_special_tokens=False)
