@@ -34,35 +34,65 @@ from spoorline.llm.common import Kept, parts_of, shared_folder
 MAGIC = b"WVM1"
 RANK = 512
 SHARD = 1 << 20
-KEPT = 300_000
+KEPT = 500_000
 # The white space of Unicode, at which the tokenizer's words end.
-SPACE = re.compile("[\t\n\v\f\r \x85\xa0  -     　]+")
+SPACE = re.compile("[\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: What str.split() takes for white space besides.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+# The tokenizer's own cut of lower-case text, for the first 256 code points.
+LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{LETTER}{NUMBER}\t\n\v\f\r \x85\xa0]+")
+#: Words encoded in one text, between two of the tokenizer's special tokens.
+TOGETHER = 200
 
 
 class Words:
-    """A tokenizer whose words are encoded once: its text ends at white space."""
+    """A tokenizer whose words are encoded once and remembered."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.border_id, self.border = next((i, t.content) for i, t in special.items() if t.special)
         self.known = Kept(KEPT)
 
     def cut(self, text: str) -> list[str]:
+        """Parts of a text that are encoded alike alone and in the text."""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return LATIN.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
         if SEPARATORS.search(text):
             return [w for w in SPACE.split(text) if w]
         return text.split()
 
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words; a special token parts them, so that they share a text."""
+        alone = [w for w in words if self.border in w]
+        for word, code in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(code.ids, dtype="<u4").tobytes()
+        rest = [w for w in words if self.border not in w] if alone else words
+        groups = [rest[at : at + TOGETHER] for at in range(0, len(rest), TOGETHER)]
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            texts = [self.border.join(group) for group in part]
+            for group, code in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(code.ids, dtype="<u4")
+                ends = np.flatnonzero(ids == self.border_id)
+                octets = ids.tobytes()
+                begins = [0, *(4 * (ends + 1)).tolist()]
+                self.known.update(
+                    (w, octets[a:b]) for w, a, b in zip(group, begins, [*(4 * ends).tolist(), len(octets)], strict=True)
+                )
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         cuts = [self.cut(t) for t in texts]
-        new = list(self.known.unknown({w for words in cuts for w in words}))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            coded = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(part, coded, strict=True))
+        self.learn(list(self.known.unknown({w for words in cuts for w in words})))
         tail = struct.pack("<I", end)
         return [b"".join(map(self.known.__getitem__, words)) + tail for words in cuts]
 
@@ -82,9 +112,9 @@ class Wavelet:
     @classmethod
     def build(cls, values: np.ndarray) -> Wavelet:
         depth = max(1, int(values.max()).bit_length()) if len(values) else 1
-        now, planes, ranks = values, [], []
+        now, planes, ranks = values.astype(np.uint16 if depth <= 16 else np.uint32), [], []
         for bit in range(depth - 1, -1, -1):
-            ones = (now >> bit & 1).astype(bool)
+            ones = (now & now.dtype.type(1 << bit)) != 0
             plane = np.packbits(ones, bitorder="little")
             planes.append(plane)
             ranks.append(cls.counts(plane))
@@ -153,9 +183,9 @@ class Wavelet:
 
     def values(self) -> np.ndarray:
         """The whole sequence."""
-        now = np.zeros(self.size, dtype=np.uint32)
+        now = np.zeros(self.size, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
         for bit, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
-            now[zeros:] |= np.uint32(1 << bit)
+            now[zeros:] |= now.dtype.type(1 << bit)
             ones = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
             back = np.empty_like(now)
             back[~ones], back[ones] = now[:zeros], now[zeros:]

@@ -50,6 +50,17 @@ def test_files_hold_every_document(spark):
         start += len(ids)
 
 
+def test_parts_encode_as_the_text_does():
+    rng = random.Random(7)
+    own, tokenizer = s.Words(PATH), Tokenizer.from_file(PATH)
+    latin = "".join(map(chr, range(1, 256)))
+    texts = ["".join(rng.choices(latin, k=rng.randrange(60))) for _ in range(500)]
+    texts += ["".join(rng.choices("aé'stdlm. <|>1\u0301ΣİK\u2003", k=rng.randrange(30))) for _ in range(500)]
+    for text, code in zip(texts, own.encode(texts, 2), strict=True):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert np.frombuffer(code, dtype="<u4").tolist() == ids, repr(text)
+
+
 def test_ties_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b", 0), (1, "a b", 0), (1, "c", 0)], "doc_id long, text string, part int")
     got = sorted((r["start"], r["n_tokens"]) for r in s.through_files(docs, PATH).collect())
