@@ -11,19 +11,23 @@ from spoorline.functions.times import seconds_text, to_utc
 from spoorline.operators.running import RunningSum, running
 from spoorline.schema import EVENTS_SCHEMA
 
-EMISSIONS_PER_LINE = 8
-
-
-def line_id(
-    artifact_id: Column, line_no: Column, emission: Column | int = 0
-) -> Column:
-    """A stable event id: file number, line number and place among a line's events."""
-    emission = F.lit(emission) if isinstance(emission, int) else emission
-    return (
-        F.shiftleft(artifact_id.cast("long"), 33)
-        + line_no.cast("long") * EMISSIONS_PER_LINE
-        + emission
-    )
+ID_DIGITS = 15
+
+
+def wide_id(*parts: Column | str | int) -> Column:
+    """The first 60 bits of the MD5 of the parts, one a line: positive, the same everywhere."""
+    texts = [part.cast("string") if isinstance(part, Column) else F.lit(str(part)) for part in parts]
+    digest = F.md5(F.array_join(F.array(*texts), "\n", ""))
+    return F.conv(F.substring(digest, 1, ID_DIGITS), 16, 10).cast("long")
+
+
+def line_id(path: Column, line_no: Column, emission: Column | int | str = 0) -> Column:
+    """A stable event id from the file's path, the line number and the place among its events.
+
+    It needs no numbering of the files, so parts of a case that are read apart can be
+    put together, and files and lines have no upper limit.
+    """
+    return wide_id(path, line_no, emission)
 
 
 def number_artifacts(artifacts: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoorline.functions.text import blank_to_null, cut, or_blank, payload, rx, strings
-from spoorline.operators.normalize import normalize
+from spoorline.operators.normalize import normalize, wide_id
 
 PARSER = "sigma"
 GROUP_SIZE = 50
@@ -688,7 +688,7 @@ def hit_counts(hits: DataFrame, limit: int = 200, by: str = "rule") -> DataFrame
 def hit_events(hits: DataFrame) -> DataFrame:
     """Hits as events that point at the event they matched."""
     rows = hits.select(
-        F.xxhash64("id", "rule").alias("id"),
+        wide_id(F.col("id"), F.col("rule"), "hit").alias("id"),
         "event_time",
         F.lit("Event Logged (rule hit)").alias("ts_desc"),
         F.lit("sigma_match").alias("event_type"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.text import cut, file_name, payload, strings
-from spoorline.operators.normalize import normalize
+from spoorline.operators.normalize import normalize, wide_id
 from spoorline.operators.rules import UnusableRule, _names_like, condition_tree, fold_condition
 
 PARSER = "yara"
@@ -113,7 +113,7 @@ def signature_scan(artifacts: DataFrame, signatures: Sequence[Mapping]) -> DataF
         files = files.withColumn("artifact_id", F.lit(0).cast("long"))
     hits = scan_texts(files, "__text", ["path", "artifact_id", "mtime"], signatures)
     rows = hits.select(
-        F.xxhash64("path", "rule").alias("id"),
+        wide_id(F.col("path"), F.col("rule"), "signature").alias("id"),
         "artifact_id",
         F.col("mtime").alias("event_time"),
         F.lit("Artifact mtime (signature hit)").alias("ts_desc"),

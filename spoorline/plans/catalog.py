@@ -25,7 +25,7 @@ from spoorline.operators import rarity as rare
 from spoorline.operators import rules as rul
 from spoorline.operators import running as run
 from spoorline.operators import signatures as sig
-from spoorline.operators.normalize import number_artifacts
+from spoorline.operators.normalize import number_artifacts, union_events
 from spoorline.operators.textkind import classify_text
 from spoorline.plans import derived as d
 from spoorline.plans import samples
@@ -826,3 +826,22 @@ def timesketch_rows(spark, sf):
 @query
 def l2t_rows(spark, sf):
     return exports.l2t_rows(d.app_events(spark, sf)).drop("extra")
+
+
+# --- ids ------------------------------------------------------------------------------------------
+
+
+@query
+def event_ids(spark, sf):
+    """The events of all normalizers in one table: every id once, though line numbers repeat."""
+    events = union_events(
+        syslog.syslog_events(d.syslog_lines(spark, sf)),
+        mongod.mongod_events(d.mongod_lines(spark, sf)),
+        history.history_events(d.history_lines(spark, sf)),
+        winevents.winevent_events(d.windows_records(spark, sf)),
+        registry.registry_events(d.registry_values(spark, sf)),
+        plain.generic_text_events(d.web_lines(spark, sf), zone="+02:00"),
+    ).filter(~F.col("event_type").isin("db_connection_flood", "registry_hive"))
+    return events.agg(
+        F.lit("all").alias("part"), F.count(F.lit(1)).alias("events"), F.count_distinct("id").alias("ids")
+    )

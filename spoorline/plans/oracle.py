@@ -8,6 +8,24 @@ from __future__ import annotations
 
 SQL: dict[str, str] = {}
 
+
+def _line_id(path: str, line: str, emission: str = "0") -> str:
+    """The id of a line's event: the first 60 bits of an MD5."""
+    text = f"concat({path}, chr(10), {line}, chr(10), {emission})"
+    return f"CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)"
+
+
+_AUTH_ID = _line_id("'/case/host', user_id % 7, '/var/log/auth.log'", "event_id + 1")
+_MONGO_ID = _line_id("'/case/db', user_id % 3, '/var/log/mongodb/mongod.log'", "event_id + 1")
+_WEB_ID = _line_id(
+    "CASE WHEN web THEN concat('/case/var/log/nginx/access', user_id % 5, '.log') "
+    "ELSE concat('/case/srv/app', user_id % 5, '.txt') END", "event_id + 1")
+_SHELL_ID = _line_id(
+    "CASE WHEN o = 0 THEN '/case/root/.bash_history' ELSE concat('/case/home/u', o, '/.zsh_history') END", "line_no")
+_WIN_ID = _line_id(
+    "'/case/logs/', CASE WHEN event_type = 'purchase' THEN 'System' ELSE 'Security' END, '.evtx'", "event_id + 1")
+_HIVE_ID = _line_id("'/case/p', (v // 4) % 4, '/config/HIVE'", "v", "hive")
+
 # The events table with the number inside props, and its rows as events.
 _FACTS = """
 f AS (
@@ -427,12 +445,12 @@ x AS (
     strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0100] "GET /p/' || k || ' HTTP/1.1" 200 5'
     ELSE strftime(ts, '%Y/%m/%d %H:%M:%S') || ' worker ' || k || ' done' END AS line
   FROM f WHERE k % 20 <> 7)
-SELECT (event_id + 1) * 8 AS id,
+SELECT __WEB__ AS id,
   strftime(ts - CASE WHEN web THEN INTERVAL 1 HOUR ELSE INTERVAL 2 HOUR END, '%Y-%m-%d %H:%M:%S') AS ts,
   CASE WHEN web THEN 'text/nginx' ELSE 'text/app' || (user_id % 5) || '.txt' END AS source_artifact,
   'log_line' AS event_type, CASE WHEN web THEN 'Web server access log' ELSE 'Log line' END AS title,
   line AS details, CASE WHEN web THEN 'requests with source addresses and user agents' ELSE '' END AS why,
-  CASE WHEN web THEN 'worth_reading' ELSE '' END AS tags FROM x""")
+  CASE WHEN web THEN 'worth_reading' ELSE '' END AS tags FROM x""").replace("__WEB__", _WEB_ID)
 
 # --- normalizers ---
 _AUTH = _FACTS + r""",
@@ -453,7 +471,7 @@ c AS (
     coalesce(sum(CASE WHEN kind = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY m, ip, user_id ORDER BY event_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS same FROM a),
 auth AS (
-  SELECT (event_id + 1) * 8 AS id, sec, tst AS ts,
+  SELECT __AUTH__ AS id, sec, tst AS ts,
     CASE kind WHEN 'failed' THEN 'SSH auth attempt' WHEN 'accepted' THEN 'SSH logon'
       WHEN 'invalid' THEN 'SSH auth attempt' WHEN 'new_user' THEN 'Account created'
       WHEN 'new_group' THEN 'Group created' WHEN 'sudo' THEN 'Privilege escalation'
@@ -485,6 +503,7 @@ authed AS (
     CASE WHEN kind = 'failed' THEN CAST(CAST(prior + 1 AS BIGINT) AS VARCHAR) ELSE '' END AS attempt,
     CASE WHEN kind = 'accepted' THEN CAST(CAST(prior AS BIGINT) AS VARCHAR) ELSE '' END AS prior_failures,
     CASE WHEN kind = 'sudo' THEN cmd ELSE '' END AS command FROM auth)"""
+_AUTH = _AUTH.replace("__AUTH__", _AUTH_ID)
 SQL["syslog_events"] = f"""WITH {_AUTH} SELECT id, ts, ts_desc, host, "user", event_type, severity, message,
   tags, attck, source_ip, attempt, prior_failures, command AS cmd FROM authed"""
 SQL["brute_force_logins"] = f"""WITH {_AUTH} SELECT id, ts, "user", host, message FROM authed
@@ -508,7 +527,7 @@ gm AS (SELECT *, CAST(floor(us2 / 1000) AS BIGINT) * 1000 AS tus,
     last_value(CASE WHEN kind = 'start' THEN 'db' || user_id END IGNORE NULLS) OVER (
       PARTITION BY db ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM g)"""
 SQL["mongod_events"] = f"""WITH {_MONGO}
-SELECT (event_id + 1) * 8 AS id, tus AS ts_epoch, coalesce(h, '') AS host,
+SELECT {_MONGO_ID} AS id, tus AS ts_epoch, coalesce(h, '') AS host,
   CASE kind WHEN 'conn' THEN 'db_connection' WHEN 'noauth' THEN 'db_no_auth' WHEN 'fail' THEN 'db_auth_failed'
     WHEN 'start' THEN 'service_start' WHEN 'index' THEN 'db_index' ELSE 'db_tuning_advice' END AS event_type,
   CASE kind WHEN 'noauth' THEN 'high' WHEN 'fail' THEN 'med' WHEN 'start' THEN 'low' ELSE 'info' END AS severity,
@@ -586,7 +605,7 @@ hs AS (
     sum(CASE WHEN timed THEN 0 ELSE 1 END) OVER (PARTITION BY o ORDER BY line_no
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS back FROM hh)"""
 SQL["history_events"] = f"""WITH {_HIST}
-SELECT line_no * 8 AS id, CASE WHEN timed THEN tst ELSE strftime(TIMESTAMP '2024-02-01' -
+SELECT {_SHELL_ID} AS id, CASE WHEN timed THEN tst ELSE strftime(TIMESTAMP '2024-02-01' -
     to_seconds(CAST(back AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS ts, owner AS "user",
   CASE event_type WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'med'
     WHEN 'view' THEN 'low' ELSE 'info' END AS severity,
@@ -743,7 +762,7 @@ w2 AS (
     ELSE 'Hashes: MD5=' || upper(md5(CAST(k AS VARCHAR))) || ',X=1 ¦ param2: ' || k || ' ¦ param10: ten' END ||
     ' ¦ Provider_Name: ' || prov || ' ¦ TimeCreated_SystemTime: ' || iso AS details FROM w1)"""
 SQL["windows_events"] = f"""WITH {_WIN}
-SELECT (event_id + 1) * 8 AS id, us AS ts_epoch, kind AS event_type, severity, 'PC' || (user_id % 9) AS host,
+SELECT {_WIN_ID} AS id, us AS ts_epoch, kind AS event_type, severity, 'PC' || (user_id % 9) AS host,
   CASE WHEN event_type IN ('click', 'error', 'signup') THEN u ELSE '' END AS "user",
   CASE event_type WHEN 'purchase' THEN 'System' WHEN 'view' THEN 'Acme/Operational' ELSE 'Security' END AS channel,
   CAST(event_id AS VARCHAR) AS record_id,
@@ -770,7 +789,7 @@ SELECT (event_id + 1) * 8 AS id, us AS ts_epoch, kind AS event_type, severity, '
     WHEN 'view' THEN 'Acme-Agent-' || (k % 2) ELSE 'Microsoft-Windows-Security-Auditing' END || ' (no template)' AS title,
   CASE WHEN event_type = 'purchase' THEN 'evtx/System' ELSE 'evtx/Security' END AS source_artifact FROM w2"""
 SQL["windows_templates"] = f"""WITH {_WIN}
-SELECT (event_id + 1) * 8 AS id, 'Logon failed' AS title, 'TgtUser: ' || u || ' ¦ SrcIP: 10.2.0.' || k || ' ¦ Why: 0xC000006A (bad password)' AS details,
+SELECT {_WIN_ID} AS id, 'Logon failed' AS title, 'TgtUser: ' || u || ' ¦ SrcIP: 10.2.0.' || k || ' ¦ Why: 0xC000006A (bad password)' AS details,
   'LogonType: 3 (Network) ¦ Provider_Name: ' || prov || ' ¦ TimeCreated_SystemTime: ' || iso AS extra_fields, '' AS tags
 FROM w2 WHERE event_type = 'error'"""
 SQL["detail_labels"] = f"""WITH {_WIN}
@@ -805,7 +824,7 @@ x AS (
   UNION ALL SELECT key * 4 + 1, ts, 'amcache_exec', 'med', 'amcache: c:\tools\' || key || '.exe', '', 'T1204', 'amcache', '', '',
     sha1(CAST(key AS VARCHAR)) FROM p WHERE s = 6
   UNION ALL SELECT key * 4 + 1, ts, 'usb_device', 'med', 'USB device: Disk&Ven_' || key, '', 'T1091', 'system', '', '', '' FROM p WHERE s = 7)
-SELECT v * 8 AS id, ts, event_type, severity, message, tags, attck, 'registry/' || hive AS source_artifact, why, utc_offset, sha1 FROM x"""
+SELECT __HIVE__ AS id, ts, event_type, severity, message, tags, attck, 'registry/' || hive AS source_artifact, why, utc_offset, sha1 FROM x""".replace("__HIVE__", _HIVE_ID)
 SQL["case_context"] = r"""
 SELECT '-05:00' AS zone, 'registry ActiveTimeBias (UTC-05:00)' AS zone_source, 'PC-' || min(p_partkey) FILTER (p_partkey % 8 = 2) AS host,
   'registry ComputerName' AS host_source, CAST(year(make_timestamp(greatest(1704067200 + max(p_partkey) * 60, 1706745600) * 1000000)) AS BIGINT) AS year,
@@ -887,3 +906,14 @@ SQL["l2t_rows"] = app("""
 SELECT strftime(ts, '%m/%d/%Y') AS date, strftime(ts, '%H:%M:%S') AS time, 'UTC' AS timezone, '....' AS "MACB", parser AS source,
   source_artifact AS sourcetype, 'Logged' AS type, "user", host, left(message, 80) AS short, message AS "desc", '2' AS version,
   '' AS filename, '-' AS inode, attck AS notes, parser AS format FROM ev""")
+
+# Ids of all normalizers in one table: as many as rows.
+_COUNTED = {
+    "linux_syslog": "syslog_events", "mongodb": "mongod_events", "shell_history": "history_events",
+    "evtx": "windows_events", "registry": "registry_events", "generic_text": "web_log_lines",
+}
+SQL["event_ids"] = "WITH " + ", ".join(
+    f"{parser} AS (SELECT count(*) AS n FROM ({SQL[name]}) AS t)" for parser, name in _COUNTED.items()
+) + " SELECT 'all' AS part, sum(n)::BIGINT AS events, sum(n)::BIGINT AS ids FROM (" + " UNION ALL ".join(
+    f"SELECT n FROM {parser}" for parser in _COUNTED
+) + ")"

@@ -139,7 +139,7 @@ def bodyfile_events(lines: DataFrame, *, host: str = "") -> DataFrame:
         F.coalesce(F.concat(F.lit(f"{SEP}MD5: "), md5), F.lit("")),
     )
     events = rows.select(
-        line_id(F.col("artifact_id"), F.col("line_no"), order - 1).alias("id"),
+        line_id(F.col("path"), F.col("line_no"), order - 1).alias("id"),
         "artifact_id",
         "event_time",
         macb_meaning(F.col("macb")).alias("ts_desc"),
@@ -165,7 +165,7 @@ def bodyfile_events(lines: DataFrame, *, host: str = "") -> DataFrame:
         F.lit(""),
     )
     summary = totals.select(
-        line_id(F.col("artifact_id"), F.col("line_no") + 1).alias("id"),
+        line_id(F.col("path"), F.col("line_no"), "summary").alias("id"),
         "artifact_id",
         F.col("latest").alias("event_time"),
         F.lit("Bodyfile summary").alias("ts_desc"),

@@ -88,7 +88,7 @@ def history_events(lines: DataFrame, *, host: str = "") -> DataFrame:
     number = F.col("line_no").cast("string")
     named = blank_to_null(F.col("owner"))
     events = rows.select(
-        line_id(artifact, F.col("line_no")).alias("id"),
+        line_id(F.col("path"), F.col("line_no")).alias("id"),
         artifact.cast("long").alias("artifact_id"),
         "event_time",
         F.when(F.col("run_time").isNotNull(), "Command run")

@@ -195,7 +195,7 @@ def mongod_events(lines: DataFrame, *, host: str = "") -> DataFrame:
     )
     common = [value.alias(name) for name, value in fixed.items()]
     events = rows.select(
-        line_id(artifact, F.col("line_no")).alias("id"),
+        line_id(F.col("path"), F.col("line_no")).alias("id"),
         artifact.cast("long").alias("artifact_id"),
         "event_time",
         F.when(advice, "db_tuning_advice").otherwise(F.col("meaning.event_type")).alias(
@@ -237,7 +237,7 @@ def mongod_events(lines: DataFrame, *, host: str = "") -> DataFrame:
     count = F.format_number("connections", 0)
     seconds = F.format_string("%.0f", F.col("span_seconds"))
     flood_events = floods.select(
-        line_id(F.col("artifact_id"), F.col("line_no"), 1).alias("id"),
+        line_id(F.col("path"), F.col("line_no"), 1).alias("id"),
         "artifact_id",
         F.col("first_time").alias("event_time"),
         F.lit("db_connection_flood").alias("event_type"),

@@ -303,7 +303,7 @@ def registry_events(values: DataFrame, *, host: str = "") -> DataFrame:
         numbers = values.groupBy("path").agg(F.max("artifact_id").alias("artifact_id"))
         rows, artifact = rows.join(numbers, "path"), F.col("artifact_id")
     events = rows.select(
-        line_id(artifact, F.col("value_no")).alias("id"),
+        line_id(F.col("path"), F.col("value_no"), F.col("hive_type")).alias("id"),
         artifact.cast("long").alias("artifact_id"),
         F.coalesce("key_time", "mtime").alias("event_time"),
         F.when(F.col("event_type") == "registry_hive", "Hive root last write")

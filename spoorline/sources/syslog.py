@@ -215,7 +215,7 @@ def syslog_events(
     assumed = F.when(F.col("explicit"), "").otherwise(f" (tz assumed {zone})")
     artifact = F.col("artifact_id") if "artifact_id" in lines.columns else F.lit(0)
     events = rows.select(
-        line_id(artifact, F.col("line_no")).alias("id"),
+        line_id(F.col("path"), F.col("line_no")).alias("id"),
         artifact.cast("long").alias("artifact_id"),
         "event_time",
         F.concat(clock_name, assumed).alias("ts_desc"),

@@ -77,7 +77,7 @@ def generic_text_events(
         filled.filter(F.col("event_time").isNotNull()), kinds, ["path"], ["line_no"]
     ).withColumn("why", F.col("kind.why"))
     line_rows = timed.select(
-        line_id(F.col("artifact_id"), F.col("line_no")).alias("id"),
+        line_id(F.col("path"), F.col("line_no")).alias("id"),
         "artifact_id",
         "event_time",
         F.lit("Log line time").alias("ts_desc"),
@@ -98,7 +98,7 @@ def generic_text_events(
     told = describe_text(file_name(F.col("path")), F.col("kind"), F.col("lines"))
     rows = previews.withColumn("told", told).withColumn("why", F.col("told.why"))
     file_rows = rows.select(
-        line_id(F.col("artifact_id"), F.col("line_no")).alias("id"),
+        line_id(F.col("path"), F.col("line_no")).alias("id"),
         "artifact_id",
         F.col("mtime").alias("event_time"),
         F.lit("Artifact mtime (no timestamps in content)").alias("ts_desc"),

@@ -339,7 +339,7 @@ def winevent_events(
     )
     artifact = F.col("artifact_id") if "artifact_id" in records.columns else F.lit(0)
     events = rows.select(
-        line_id(artifact, F.col("record_no")).alias("id"),
+        line_id(F.col("path"), F.col("record_no")).alias("id"),
         artifact.cast("long").alias("artifact_id"),
         "event_time",
         F.lit("Event Logged").alias("ts_desc"),
