@@ -37,14 +37,25 @@ class EventFilter:
 
 
 def where_time(
-    start: datetime | None, end: datetime | None, column: str = "event_time"
+    start: datetime | None,
+    end: datetime | None,
+    column: str = "event_time",
+    day: str | None = None,
 ) -> Column:
-    """Both ends inclusive. Tested on the timestamp, so it reaches the scan."""
+    """Both ends inclusive. Tested on the timestamp, so it reaches the scan.
+
+    ``day``: the date column a written table is partitioned by; its bounds leave out
+    the partitions of other days.
+    """
     tests = []
     if start is not None:
         tests.append(F.col(column) >= F.lit(start))
+        if day:
+            tests.append(F.col(day) >= F.to_date(F.lit(start)))
     if end is not None:
         tests.append(F.col(column) <= F.lit(end))
+        if day:
+            tests.append(F.col(day) <= F.to_date(F.lit(end)))
     return reduce(and_, tests, F.lit(True))
 
 
@@ -67,7 +78,7 @@ def where_tag(tag: str, column: str = "tags") -> Column:
     return F.array_contains(F.col(column), tag)
 
 
-def events_where(wanted: EventFilter) -> Column:
+def events_where(wanted: EventFilter, day: str | None = None) -> Column:
     """One predicate for all of a filter. Values are bound literals, never SQL text."""
     tests = [
         where_facet(
@@ -79,7 +90,7 @@ def events_where(wanted: EventFilter) -> Column:
         )
     ]
     if wanted.start is not None or wanted.end is not None:
-        tests.append(where_time(wanted.start, wanted.end))
+        tests.append(where_time(wanted.start, wanted.end, day=day))
     if wanted.source_artifact:
         tests.append(where_source(wanted.source_artifact))
     if wanted.min_severity:
@@ -89,6 +100,10 @@ def events_where(wanted: EventFilter) -> Column:
     return reduce(and_, tests)
 
 
+def _day(events: DataFrame) -> str | None:
+    return "event_date" if "event_date" in events.columns else None
+
+
 def in_order(
     events: DataFrame,
     order: str = "asc",
@@ -102,7 +117,7 @@ def in_order(
 
 
 def timeline(events: DataFrame, wanted: EventFilter = EventFilter()) -> DataFrame:
-    return in_order(events.filter(events_where(wanted)), wanted.order, wanted.limit)
+    return in_order(events.filter(events_where(wanted, _day(events))), wanted.order, wanted.limit)
 
 
 def folded(text: Column) -> Column:
@@ -167,7 +182,7 @@ def search_regex(
 def search(
     events: DataFrame, text: str, wanted: EventFilter = EventFilter(), regex: bool = False
 ) -> DataFrame:
-    """Text search within a filter, in time order; 500 rows unless told otherwise."""
-    kept = events.filter(events_where(wanted))
+    """Text search within a filter, in time order; all rows unless a limit is given."""
+    kept = events.filter(events_where(wanted, _day(events)))
     found = search_regex(kept, text) if regex else search_tokens(kept, text)
-    return in_order(found, wanted.order if regex else "asc", wanted.limit or 500)
+    return in_order(found, wanted.order if regex else "asc", wanted.limit)

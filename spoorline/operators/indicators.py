@@ -17,8 +17,6 @@ from spoorline.functions.network import (
 )
 from spoorline.functions.text import or_blank, strings
 
-VALUE_LIMIT = 500
-
 # Indicator types in order, and their shapes.
 URL = r"(?i)\b(?:https?|ftps?)://[^\s\"'<>\\)\]}]+"
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
@@ -56,7 +54,7 @@ def found_values(clear: Column, rest: Column) -> Column:
         )
         if kind in ("email", "sha256", "sha1", "md5", "domain"):
             hits = F.transform(hits, lambda v: F.lower(v))
-        hits = F.filter(hits, lambda v: (v != "") & (F.length(v) <= VALUE_LIMIT))
+        hits = F.filter(hits, lambda v: v != "")
         if kind == "domain":
             hits = F.filter(hits, domain_ok)
         return F.transform(

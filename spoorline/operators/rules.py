@@ -728,7 +728,7 @@ def findings(hit_rows: DataFrame) -> DataFrame:
             F.col("parser") == PARSER,
             F.concat(F.lit("matched event "), F.col("data")["matched_event_id"]),
         )
-        .otherwise(cut(or_blank(F.col("data")["strings"]), 500))
+        .otherwise(or_blank(F.col("data")["strings"]))
         .alias("detail"),
         "attck",
         "sev_rank",

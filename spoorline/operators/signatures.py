@@ -19,7 +19,6 @@ from spoorline.operators.normalize import normalize, wide_id
 from spoorline.operators.rules import UnusableRule, _names_like, condition_tree, fold_condition
 
 PARSER = "yara"
-MAX_BYTES = 512 * 1024 * 1024
 # Level of a signature and the level of its hits.
 HIT_LEVEL = {"critical": "high", "high": "high", "medium": "med", "low": "info"}
 
@@ -106,9 +105,7 @@ def scan_texts(
 
 def signature_scan(artifacts: DataFrame, signatures: Sequence[Mapping]) -> DataFrame:
     """Signature hits over file bytes (path, artifact_id, mtime, size, content) as events."""
-    files = artifacts.filter(F.col("size") <= MAX_BYTES).withColumn(
-        "__text", F.decode("content", "ISO-8859-1")
-    )
+    files = artifacts.withColumn("__text", F.decode("content", "ISO-8859-1"))
     if "artifact_id" not in files.columns:
         files = files.withColumn("artifact_id", F.lit(0).cast("long"))
     hits = scan_texts(files, "__text", ["path", "artifact_id", "mtime"], signatures)

@@ -455,9 +455,10 @@ def classify_documents(spark, sf):
 
 @query
 def document_artifacts(spark, sf):
-    """Documents as untimed files: one row each, described and with a preview."""
+    """Documents as untimed files: rows of about 16 KB that hold all their lines."""
     events = plain.generic_text_events(d.document_lines(spark, sf))
     return events.filter(F.col("event_type") == "text_artifact").select(
+        F.col("data")["block"].cast("long").alias("block"),
         F.regexp_extract("artifact_path", r"(\d+)\.txt", 1).cast("long").alias("doc_id"),
         "severity", "title", F.length("raw").cast("long").alias("raw_chars"),
         F.col("data")["lines"].cast("long").alias("lines"), F.sha2("raw", 256).alias("raw_sha"),
@@ -467,12 +468,21 @@ def document_artifacts(spark, sf):
 @query
 def web_log_lines(spark, sf):
     events = plain.generic_text_events(d.web_lines(spark, sf), zone="+02:00")
-    return events.select(
+    return events.filter(F.col("event_type") == "log_line").select(
         "id", "ts", "source_artifact", "event_type", "title", "details",
         or_blank(F.col("data")["why"]).alias("why"), _join("tags"),
     )
 
 
+@query
+def untimed_lines(spark, sf):
+    """Lines without a time in files that have some: none is lost, and search finds them."""
+    events = plain.generic_text_events(d.web_lines(spark, sf), zone="+02:00")
+    rest = flt.search_regex(events.filter(F.col("event_type") == "text_artifact"), "-- note [0-9]+ --", ["raw"])
+    lines_ = rest.select("artifact_path", F.explode(F.split("raw", "\n")).alias("line"))
+    return lines_.groupBy("artifact_path", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def questions(spark, sf):
     """Question lines of whole documents, in order, each once."""

@@ -435,10 +435,15 @@ SQL["document_artifacts"] = SQL["classify_documents"].strip().removesuffix(
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 fl AS (SELECT *, coalesce(sum(length(v)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
   FROM ln WHERE regexp_matches(v, '\S')),
-pv AS (SELECT doc_id, count(*) AS lines, left(string_agg(left(v, 2000), chr(10) ORDER BY i), 16384) AS raw FROM fl WHERE b < 16384 GROUP BY 1)
-SELECT pv.doc_id, CASE WHEN label LIKE 'Contains%' THEN 'med' ELSE 'info' END AS severity,
+pv AS (SELECT doc_id, b // 16384 AS block, count(*) AS lines, string_agg(v, chr(10) ORDER BY i) AS raw FROM fl GROUP BY 1, 2)
+SELECT pv.doc_id, CAST(block AS BIGINT) AS block, CASE WHEN label LIKE 'Contains%' THEN 'med' ELSE 'info' END AS severity,
   CASE WHEN label = '' THEN 'Text file with no timestamps' ELSE label END AS title, length(raw) AS raw_chars, lines, sha256(raw) AS raw_sha
 FROM pv JOIN k ON pv.doc_id = k.doc_id"""
+SQL["untimed_lines"] = facts(""",
+x AS (SELECT *, user_id % 5 < 3 AS web FROM f WHERE k % 20 = 7)
+SELECT CASE WHEN web THEN concat('/case/var/log/nginx/access', user_id % 5, '.log')
+  ELSE concat('/case/srv/app', user_id % 5, '.txt') END AS artifact_path, '-- note ' || k || ' --' AS line, count(*) AS n
+FROM x GROUP BY 1, 2""")
 SQL["web_log_lines"] = facts(r""",
 x AS (
   SELECT *, user_id % 5 < 3 AS web, CASE WHEN user_id % 5 < 3 THEN '10.3.0.' || k || ' - - [' ||

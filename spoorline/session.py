@@ -45,14 +45,14 @@ def local_session(cores: int = 8, app: str = "spoorline") -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder the cluster names.
+    """Cut lineage through the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Reads ``spark.checkpoint.dir``; a folder of our own is set only where the
-    session names none, which is the case in tests.
+    Only on one machine, as in tests, a folder of our own stands in for a missing one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.functions.text import SEP, blank_to_null, cut, if_any, let, payload, strings
+from spoorline.functions.text import SEP, blank_to_null, if_any, let, payload, strings
 from spoorline.functions.times import epoch_time
 from spoorline.operators.correlate import distinct_time_flags
 from spoorline.operators.normalize import line_id, normalize, union_events
 from spoorline.operators.scoring import score_file_entry
 
 PARSER = "bodyfile"
-FIELDS, NAME_LIMIT = 11, 400
+FIELDS = 11
 
 
 def bodyfile_fields(line: Column) -> Column:
@@ -30,7 +30,7 @@ def bodyfile_fields(line: Column) -> Column:
             (count >= FIELDS) & (name != ""),
             F.struct(
                 F.when(digest == "0", "").otherwise(digest).alias("md5"),
-                cut(name, NAME_LIMIT).alias("name"),
+                name.alias("name"),
                 field(0).alias("inode"),
                 field(1).alias("mode"),
                 field(2).alias("uid"),

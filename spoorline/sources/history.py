@@ -21,7 +21,7 @@ from spoorline.operators.running import GroupTotal, Previous, RunningSum, line_c
 from spoorline.operators.scoring import classify_command
 
 PARSER = "shell_history"
-COMMAND_LIMIT = 800
+SHOWN_CHARS = 800
 
 # An epoch on a line of its own, and the one-line extended form.
 EPOCH_MARKER = r"^#(\d{9,11})\s*$"
@@ -46,10 +46,7 @@ def read_shell_history(lines: DataFrame) -> DataFrame:
         )
         .withColumn(
             "command",
-            cut(
-                strip_ws(F.when(extended, F.regexp_extract(value, EXTENDED, 2)).otherwise(value)),
-                COMMAND_LIMIT,
-            ),
+            strip_ws(F.when(extended, F.regexp_extract(value, EXTENDED, 2)).otherwise(value)),
         )
         .drop("__above", "value")
     )
@@ -103,7 +100,7 @@ def history_events(lines: DataFrame, *, host: str = "") -> DataFrame:
         .otherwise(F.concat(F.lit("Command typed by "), F.coalesce(named, F.lit("?"))))
         .alias("title"),
         F.concat(
-            F.lit("Cmd: "), "command",
+            F.lit("Cmd: "), cut(F.col("command"), SHOWN_CHARS),
             F.coalesce(F.concat(F.lit(f"{SEP}User: "), named), F.lit("")),
             F.lit(f"{SEP}Line: "), number,
         ).alias("details"),

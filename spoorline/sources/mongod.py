@@ -24,7 +24,7 @@ from spoorline.operators.normalize import line_id, normalize, union_events
 from spoorline.operators.running import LastKnown, line_chunks, running
 
 PARSER = "mongodb"
-ATTR_LIMIT = 700
+SHOWN_CHARS = 700
 
 # Level of a record's severity letter; anything else is info.
 LETTER_LEVEL = {"F": "high", "E": "high", "W": "low"}
@@ -71,8 +71,7 @@ def read_mongod(lines: DataFrame) -> DataFrame:
             .when(or_blank(attr) != "", F.create_map(F.lit("attr"), attr))
             .otherwise(F.create_map().cast("map<string,string>"))
         )
-        known = F.map_filter(found, lambda k, v: v.isNotNull())
-        return F.transform_values(known, lambda k, v: cut(v, ATTR_LIMIT))
+        return F.map_filter(found, lambda k, v: v.isNotNull())
 
     def parsed(r: Column) -> Column:
         when = F.when(
@@ -180,7 +179,7 @@ def mongod_events(lines: DataFrame, *, host: str = "") -> DataFrame:
     component = F.col("component")
     shown = F.transform(
         F.slice(F.map_entries("attr"), 1, 10),
-        lambda e: F.concat(e["key"], F.lit(": "), e["value"]),
+        lambda e: F.concat(e["key"], F.lit(": "), cut(e["value"], SHOWN_CHARS)),
     )
     remote = blank_to_null(F.col("attr")["remote"])
     base = payload(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.levels import level_name, level_rank, rank_lit
@@ -22,7 +22,7 @@ from spoorline.operators.normalize import line_id, normalize, union_events
 from spoorline.operators.scoring import SUSPECT_IMAGE, is_pasted_lure, score_autorun
 
 PARSER = "registry"
-VALUE_LIMIT, MESSAGE_LIMIT, LISTED_VALUES = 1000, 400, 20
+MESSAGE_LIMIT = 400
 
 # Keys worth reading per hive, with type, techniques and level.
 RUN_KEYS = (
@@ -141,7 +141,7 @@ def leaf_events(values: DataFrame) -> DataFrame:
     """One event per value of a key that is not a container."""
     kind, raw_name = F.col("event_type"), F.coalesce(blank_to_null(F.col("value_name")), F.lit("(Default)"))
     name, lowered = raw_name, F.lower(raw_name)
-    text = cut(or_blank(F.col("value")), VALUE_LIMIT)
+    text = or_blank(F.col("value"))
     zone, run_key = kind == "system_timezone", kind == "autostart_run_key"
     bias = lowered.isin("activetimebias", "bias")
     zone_names = lowered.isin("timezonekeyname", "standardname", "daylightname")
@@ -204,7 +204,7 @@ def subkey_events(values: DataFrame) -> DataFrame:
 
     def named(*names: str) -> Column:
         tests = [F.max(F.when(F.col("value_name") == n, F.col("value"))) for n in names]
-        return cut(or_blank(F.coalesce(*[blank_to_null(t) for t in tests])), VALUE_LIMIT)
+        return or_blank(F.coalesce(*[blank_to_null(t) for t in tests]))
 
     facts = rows.groupBy(*keys).agg(
         F.max("key_time").alias("key_time"),
@@ -218,16 +218,13 @@ def subkey_events(values: DataFrame) -> DataFrame:
         named("FileId", "101").alias("sha1"),
         named("UsernameHint").alias("user_hint"),
     )
-    first = Window.partitionBy("path", "key_path", "subkey").orderBy("value_no")
     listed = (
         rows.filter(F.col("event_type").isin("shellbag", "file_assoc"))
         .filter(F.col("value_name").isNotNull())
-        .withColumn("__n", F.row_number().over(first))
-        .filter(F.col("__n") <= LISTED_VALUES)
         .groupBy("path", "key_path", "subkey")
         .agg(
             F.map_from_entries(
-                F.collect_list(F.struct("value_name", cut(F.col("value"), VALUE_LIMIT)))
+                F.collect_list(F.struct("value_name", "value"))
             ).alias("listed")
         )
     )

@@ -210,7 +210,7 @@ def syslog_events(
         method=F.when(kind == "accepted", method),
         prior_failures=F.when(kind == "accepted", F.col("prior_failures")),
         group=F.when(kind == "new_group", detail),
-        cmd=F.when(kind == "sudo", cut(detail, 500)),
+        cmd=F.when(kind == "sudo", detail),
     )
     assumed = F.when(F.col("explicit"), "").otherwise(f" (tz assumed {zone})")
     artifact = F.col("artifact_id") if "artifact_id" in lines.columns else F.lit(0)
@@ -232,7 +232,7 @@ def syslog_events(
         .otherwise(strings([]))
         .alias("tags"),
         attck.alias("attck"),
-        cut(F.col("value"), 2000).alias("raw"),
+        F.col("value").alias("raw"),
     )
     return normalize(events, host=host)
 

@@ -14,7 +14,7 @@ from spoorline.operators.skew import salted_join
 from spoorline.operators.textkind import describe_text, kind_of, line_flags
 
 PARSER = "generic_text"
-PREVIEW_CHARS, LINE_LIMIT, DETAIL_LIMIT = 16 * 1024, 2000, 500
+BLOCK_CHARS, SHOWN_CHARS = 16 * 1024, 500
 
 
 def file_kinds(lines: DataFrame) -> DataFrame:
@@ -32,33 +32,31 @@ def file_kinds(lines: DataFrame) -> DataFrame:
     return totals.select("path", kind_of(file_name(F.col("path")), facts).alias("kind"))
 
 
-def untimed_previews(untimed: DataFrame) -> DataFrame:
-    """Per file: the untimed lines that start within the first 16 KB of them.
+def untimed_blocks(untimed: DataFrame) -> DataFrame:
+    """All untimed lines of a file, whole, in blocks of about 16 KB.
 
-    ``untimed``: (path, line_no, value, mtime). The running length decides which
-    lines belong to the preview before anything is gathered, so what one group
-    gathers is bounded by the preview size.
+    ``untimed``: (path, line_no, value, mtime). The running length decides a line's
+    block before anything is gathered, so one group gathers no more than a block and
+    the line that ends it.
     """
     sized = running(
         untimed, ["path"], ["line_no"], line_chunks(),
         __before=RunningSum(F.length("value")),
-    ).filter(F.col("__before") < PREVIEW_CHARS)
-    gathered = sized.groupBy("path").agg(
+    ).withColumn("block", F.floor(F.col("__before") / BLOCK_CHARS))
+    gathered = sized.groupBy("path", "block").agg(
         F.count(F.lit(1)).alias("lines"),
-        F.array_sort(
-            F.collect_list(F.struct("line_no", cut(F.col("value"), LINE_LIMIT).alias("v")))
-        ).alias("__lines"),
+        F.array_sort(F.collect_list(F.struct("line_no", F.col("value").alias("v")))).alias("__lines"),
         F.max("mtime").alias("mtime"),
         F.min("line_no").alias("line_no"),
     )
     body = F.array_join(F.transform("__lines", lambda r: r["v"]), "\n")
-    return gathered.select("path", "line_no", "mtime", "lines", cut(body, PREVIEW_CHARS).alias("raw"))
+    return gathered.select("path", "block", "line_no", "mtime", "lines", body.alias("raw"))
 
 
 def generic_text_events(
     lines: DataFrame, *, host: str = "", zone: Column | str = "UTC"
 ) -> DataFrame:
-    """Each timestamped line an event; a file without one gives one preview row."""
+    """Each timestamped line an event; all other lines in rows of about 16 KB, dated by the file."""
     with_id = lines if "artifact_id" in lines.columns else lines.withColumn(
         "artifact_id", F.lit(0).cast("long")
     )
@@ -83,30 +81,34 @@ def generic_text_events(
         F.lit("Log line time").alias("ts_desc"),
         F.lit("log_line").alias("event_type"),
         F.col("kind.label").alias("title"),
-        cut(F.col("value"), DETAIL_LIMIT).alias("details"),
+        cut(F.col("value"), SHOWN_CHARS).alias("details"),
         payload(why=blank_to_null(F.col("why"))).alias("data"),
         worth.alias("tags"),
-        cut(F.col("value"), LINE_LIMIT).alias("raw"),
+        F.col("value").alias("raw"),
         *common(F.col("path")),
     )
 
     files = filled.groupBy("path").agg(
-        F.count("event_time").alias("__timed"), F.max("artifact_id").alias("artifact_id")
+        F.count("event_time").alias("timed"), F.max("artifact_id").alias("artifact_id")
+    )
+    facts = files.join(kinds, "path")
+    blocks = salted_join(
+        untimed_blocks(filled.filter(F.col("event_time").isNull())), facts, ["path"], ["line_no"]
     )
-    still = files.filter(F.col("__timed") == 0).select("path", "artifact_id").join(kinds, "path")
-    previews = untimed_previews(filled.filter(F.col("event_time").isNull())).join(still, "path")
     told = describe_text(file_name(F.col("path")), F.col("kind"), F.col("lines"))
-    rows = previews.withColumn("told", told).withColumn("why", F.col("told.why"))
+    rows = blocks.withColumn("told", told).withColumn("why", F.col("told.why"))
     file_rows = rows.select(
         line_id(F.col("path"), F.col("line_no")).alias("id"),
         "artifact_id",
         F.col("mtime").alias("event_time"),
-        F.lit("Artifact mtime (no timestamps in content)").alias("ts_desc"),
+        F.when(F.col("timed") == 0, "Artifact mtime (no timestamps in content)")
+        .otherwise("Artifact mtime (lines without a timestamp)")
+        .alias("ts_desc"),
         F.lit("text_artifact").alias("event_type"),
         F.col("told.title").alias("title"),
         F.col("told.details").alias("details"),
         F.col("told.severity").alias("severity"),
-        payload(lines=F.col("lines"), why=blank_to_null(F.col("why"))).alias("data"),
+        payload(lines=F.col("lines"), block=F.col("block"), why=blank_to_null(F.col("why"))).alias("data"),
         worth.alias("tags"),
         "raw",
         *common(F.col("path")),

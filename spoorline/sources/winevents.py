@@ -10,7 +10,6 @@ from spoorline.functions.levels import level_name, level_rank
 from spoorline.functions.network import normalize_ip
 from spoorline.functions.text import (
     blank_to_null,
-    cut,
     entry,
     file_name,
     if_any,
@@ -26,8 +25,6 @@ from spoorline.operators.normalize import line_id, normalize
 from spoorline.operators.scoring import escalate_cmdline, score_event
 
 PARSER = "evtx"
-SCRIPT_LIMIT = 4096
-KEYS_LIMIT, VALUE_LIMIT, PAYLOAD_LIMIT = 40, 512, 3000
 
 # Spellings of the container fields.
 EVENT_ID_KEYS = ("EventID", "EventID_", "EventId")
@@ -164,46 +161,19 @@ def taxonomy(table: DataFrame) -> DataFrame:
 
 
 def capture_fields(record: Column) -> Column:
-    """Every payload field, snake-cased, within a budget of keys and characters.
+    """Every payload field whole, its name in snake case."""
+
+    def kept(e: Column) -> Column:
+        name = F.lower(e["key"])
+        is_ip = name.contains("ipaddress") | name.endswith("address")
+        value = F.when(is_ip, normalize_ip(e["value"])).otherwise(e["value"])
+        return F.struct(snake(e["key"]).alias("key"), value.alias("value"))
 
-    What does not fit is counted in ``_truncated``.
-    """
     fields = F.filter(
         F.map_entries(record),
         lambda e: ~F.lower(e["key"]).isin(*CONTAINER_KEYS) & (or_blank(e["value"]) != ""),
     )
-    start = F.struct(
-        F.array().cast("array<struct<key:string,value:string>>").alias("kept"),
-        F.lit(PAYLOAD_LIMIT).alias("budget"),
-        F.lit(0).alias("dropped"),
-    )
-
-    def step(state: Column, item: Column) -> Column:
-        full = (F.size(state["kept"]) >= KEYS_LIMIT) | (state["budget"] <= 0)
-        name = F.lower(item["key"])
-        short = cut(item["value"], VALUE_LIMIT)
-        is_ip = name.contains("ipaddress") | name.endswith("address")
-        value = F.when(is_ip, normalize_ip(short)).otherwise(short)
-        keep = ~full & (value != "")
-        one = F.array(F.struct(snake(item["key"]).alias("key"), value.alias("value")))
-        return F.struct(
-            F.when(keep, F.concat(state["kept"], one)).otherwise(state["kept"]).alias("kept"),
-            F.when(keep, state["budget"] - F.length(value))
-            .otherwise(state["budget"])
-            .alias("budget"),
-            F.when(full, state["dropped"] + 1).otherwise(state["dropped"]).alias("dropped"),
-        )
-
-    def finish(state: Column) -> Column:
-        lost = F.array(
-            F.struct(
-                F.lit("_truncated").alias("key"), state["dropped"].cast("string").alias("value")
-            )
-        )
-        kept = F.when(state["dropped"] > 0, F.concat(state["kept"], lost)).otherwise(state["kept"])
-        return F.map_from_entries(kept)
-
-    return F.aggregate(fields, start, step, finish)
+    return F.map_from_entries(F.filter(F.transform(fields, kept), lambda e: e["value"] != ""))
 
 
 def split_hashes(hashes: Column) -> Column:
@@ -282,7 +252,7 @@ def winevent_events(
             event_id=F.col("event_id"),
             channel=F.col("channel"),
             provider=blank_to_null(F.col("provider")),
-            script=cut(blank_to_null(record["ScriptBlockText"]), SCRIPT_LIMIT),
+            script=blank_to_null(record["ScriptBlockText"]),
         ),
     )
     rows = rows.withColumn("__data", data)
