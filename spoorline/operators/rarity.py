@@ -151,34 +151,97 @@ def spawn_bursts(
     ).filter(F.col("children") >= min_children)
 
 
+def once(df: DataFrame, **columns) -> DataFrame:
+    """The columns behind a generator: each is worked out once a row, however often it is read.
+
+    The optimizer would otherwise copy an expensive expression of the input into every
+    filter and key that reads it, and a plan on a normalizer would not end.
+    """
+    one = F.array(F.struct(*(c.alias(name) for name, c in columns.items())))
+    return df.select(F.explode(one).alias("__once")).select("__once.*")
+
+
+def pair_facts(profiled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per parent and image: times seen, and the history of the image and of the parent.
+
+    One aggregation of the rows; all else is worked out on its result. A history of one
+    day is one whose first day is its last.
+    """
+    pairs = profiled.groupBy(*by, "parent", "image").agg(
+        F.count(F.lit(1)).alias("seen"),
+        F.min("event_date").alias("d0"),
+        F.max("event_date").alias("d1"),
+    )
+    of_image = Window.partitionBy(*by, "image")
+    of_parent = Window.partitionBy(*by, "parent")
+    dated = F.when(F.min("d0").over(of_image).isNull(), 0).otherwise(1)
+    told = (
+        pairs.withColumn("runs", F.sum("seen").over(of_image))
+        .withColumn("days", dated)
+        .withColumn("one_day", ~(F.min("d0").over(of_image) < F.max("d1").over(of_image)))
+        .withColumn("children_in_all", F.sum("seen").over(of_parent))
+        .withColumn(
+            "parent_one_day",
+            F.min("d0").over(of_parent).eqNullSafe(F.max("d1").over(of_parent)),
+        )
+    )
+    rare_image = (F.col("runs") <= RARE_RUNS) & F.coalesce("one_day", F.lit(True))
+    rare_pair = (F.col("parent") != "") & (F.col("seen") <= RARE_PAIR)
+    may_burst = (F.col("parent") != "") & F.col("parent_one_day") & (F.col("children_in_all") >= BURST_CHILDREN)
+    return told.select(
+        *by, "parent", "image",
+        F.when(rare_image, F.col("runs")).alias("runs"),
+        F.col("days"),
+        F.when(rare_pair, F.col("seen")).alias("seen"),
+        may_burst.alias("may_burst"),
+    ).filter(F.col("runs").isNotNull() | F.col("seen").isNotNull() | F.col("may_burst"))
+
+
 def rarity_promote(
     events: DataFrame, by: Sequence[str] = (), keep_tags: bool = False
 ) -> DataFrame:
     """Process events with rare behaviour lifted one level per signal, up to med.
 
     Other rows, and rows whose level would not change, pass through untouched
-    (``keep_tags`` still notes the signals on the latter). Facts joined to rows
-    hold the rare keys only, and rows enter those joins as names and ids.
+    (``keep_tags`` still notes the signals on the latter). The signals are facts of a
+    parent and an image; rows that can be lifted are joined with them once, salted, and
+    all other rows are not joined at all.
     """
     columns = events.columns
-    profiled = (
-        process_names(events.filter(F.col("event_type") == "process_created"))
-        .select("id", *by, "image", "parent", "event_date", "ts", "ts_epoch", "sev_rank")
-        .filter(F.col("image") != "")
+    is_process = F.col("event_type") == "process_created"
+    named = process_names(events)
+    profiled = once(
+        named,
+        kept=is_process & (F.col("image") != ""),
+        **{c: F.col(c) for c in (*by, "image", "parent", "event_date", "ts_epoch")},
+    ).filter("kept")
+    facts = pair_facts(profiled, by)
+    suspects = facts.filter("may_burst").select(*by, "parent").distinct()
+    ticks = salted_join(
+        profiled.select(*by, "parent", "event_date", "ts_epoch"), suspects, [*by, "parent"], ["ts_epoch"], how="inner"
+    )
+    bursts = spawn_bursts(ticks, "parent", by=by, max_days=None).select(*by, "parent", "children")
+    facts = facts.join(bursts, [*by, "parent"], "left").filter(
+        F.col("runs").isNotNull() | F.col("seen").isNotNull() | F.col("children").isNotNull()
     )
-    rare = rare_values(profiled, "image", by=by).select(*by, "image", "runs", "days")
-    pairs = rare_pairs(profiled, "parent", "image", by=by)
-    bursts = spawn_bursts(profiled, "parent", by=by).select(*by, "parent", "children")
 
-    # Names and ids only: the wide rows are touched once, by id, at the end.
-    open_rows = profiled if keep_tags else profiled.filter(
-        F.col("sev_rank") < LEVEL_RANK["med"]
+    # The row as it is, behind the generator; a row that no signal can change stands apart.
+    can_change = is_process & (F.col("image") != "") & (F.lit(keep_tags) | (F.col("sev_rank") < LEVEL_RANK["med"]))
+    staged = once(
+        named,
+        open=F.coalesce(can_change, F.lit(False)),
+        __image=F.col("image"),
+        __parent=F.col("parent"),
+        **{c: F.col(c) for c in columns},
     )
-    rows = open_rows.select("id", *by, "image", "parent")
-    rows = salted_join(rows, rare, [*by, "image"], ["id"])
-    rows = salted_join(rows, pairs, [*by, "parent", "image"], ["id"])
-    rows = salted_join(rows, bursts, [*by, "parent"], ["id"])
+    renamed = facts.withColumnRenamed("image", "__image").withColumnRenamed("parent", "__parent").drop("may_burst")
+    joined = salted_join(staged.filter("open"), renamed, [*by, "__parent", "__image"], ["id"])
+    changed_rows = _with_signals(joined.withColumnRenamed("__image", "image").withColumnRenamed("__parent", "parent"), columns, keep_tags)
+    return changed_rows.unionByName(staged.filter("not open").select(*columns))
+
 
+def _with_signals(rows: DataFrame, columns: Sequence[str], keep_tags: bool) -> DataFrame:
+    """The signals of the facts beside each row, applied to it."""
     signals = F.array_compact(
         F.array(
             F.when(
@@ -214,8 +277,8 @@ def rarity_promote(
             ),
         )
     )
-    found = rows.select("id", signals.alias("__signals")).filter(F.size("__signals") > 0)
-    joined = events.join(found, "id", "left")
+    found = F.when(F.size(signals) > 0, signals)
+    joined = rows.withColumn("__signals", found)
 
     rank = raised(F.col("sev_rank"), F.coalesce(F.size("__signals"), F.lit(0)))
     changed = rank != F.col("sev_rank")

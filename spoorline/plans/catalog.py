@@ -855,3 +855,14 @@ def event_ids(spark, sf):
     return events.agg(
         F.lit("all").alias("part"), F.count(F.lit(1)).alias("events"), F.count_distinct("id").alias("ids")
     )
+
+
+@query
+def rarity_of_records(spark, sf):
+    """Rarity straight on the normalizer of records: no row is lost or doubled."""
+    events = rare.rarity_promote(
+        winevents.winevent_events(winevents.read_winevents(d.windows_records(spark, sf)))
+    )
+    return events.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("id").alias("ids")
+    )

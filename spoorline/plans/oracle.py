@@ -922,3 +922,6 @@ SQL["event_ids"] = "WITH " + ", ".join(
 ) + " SELECT 'all' AS part, sum(n)::BIGINT AS events, sum(n)::BIGINT AS ids FROM (" + " UNION ALL ".join(
     f"SELECT n FROM {parser}" for parser in _COUNTED
 ) + ")"
+SQL["rarity_of_records"] = (
+    f"SELECT event_type, count(*) AS events, count(DISTINCT id) AS ids FROM ({SQL['windows_events']}) AS t GROUP BY 1"
+)
