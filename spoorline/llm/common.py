@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to a size that a small Python worker can hold.
+
+    Texts vary from nothing to megabytes, so the default of 10,000 rows bounds nothing.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
     """The rows as one column `row`, so that no name of theirs meets the operator's own."""
     return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *more)

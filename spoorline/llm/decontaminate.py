@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spoorline.llm.common import bounded_batches
+
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -180,6 +182,7 @@ def search(index: Index, text: str | None, least: float, question: float, answer
 def slices_of(items: DataFrame, id: str, text: str, slice_terms: int) -> Iterator[Index]:
     """Indexes of bounded size that together hold all items."""
     spark = items.sparkSession
+    bounded_batches(spark)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

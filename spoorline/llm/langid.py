@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.llm.common import packed, unpacked
+from spoorline.llm.common import bounded_batches, packed, unpacked
 
 LETTERS = 62
 UNKNOWN = "und"
@@ -36,7 +36,7 @@ FOUND = {
     "span_end": "array<int>",
 }
 #: Batches of this many code points are worked on at a time.
-PIECE = 4_000_000
+PIECE = 500_000
 
 # The blocks of the scripts (first, last code point).
 SCRIPTS = {
@@ -131,6 +131,7 @@ def held_out(id: Column) -> Column:
 
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 6000) -> Model:
     """Counts letters, scripts and trigrams of a bounded sample of labelled rows."""
+    bounded_batches(docs.sparkSession)
     known = training_rows(docs, id, lang)
     rows = known.select(id, lang).count()
     if rows > sample:
@@ -280,6 +281,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", switch: float = 1
     Every other column is kept, one named as a result is replaced by it; only the text goes
     through Python.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(", ".join(map(" ".join, FOUND.items())))

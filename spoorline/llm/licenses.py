@@ -17,9 +17,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from spoorline.llm.common import bounded_batches
+
 # Phrase and label.
 BASE = {
     "cc by": "cc-by",
@@ -255,6 +257,7 @@ FOUND = (
 
 def scan_texts(text: Column) -> Column:
     """A struct of FOUND for each text."""
+    bounded_batches(SparkSession.active())
     names = [part.split()[0] for part in FOUND.split(", ")]
 
     @F.pandas_udf(FOUND)

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoorline.llm.common import bounded_batches
+
 LEAST_COST = 0.01
 SAMPLE = 2000
 
@@ -188,6 +190,7 @@ def observed(page: str) -> Counter:
 
 def fit(pages: DataFrame, id: str = "page_id", page: str = "html", sample: int = SAMPLE) -> Weights:
     """Counts over at most about `sample` pages, summed by Spark."""
+    bounded_batches(pages.sparkSession)
     rows = pages.count()
     known = pages
     if rows > sample:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoorline.llm.common import id_cuts, parts_of, range_number
+from spoorline.llm.common import bounded_batches, id_cuts, parts_of, range_number
 
 K = 8
 FUNCTIONS = 32
@@ -162,5 +162,6 @@ def order_minhash(
                 last = (number, copy, doc, body, own)
             yield pd.DataFrame(out, columns=names).astype({"id": "Int64"})
 
+    bounded_batches(docs.sparkSession)
     rows = with_next(docs, id, text).select("run", "copy", "id", "t").mapInPandas(run, kind)
     return rows.withColumnRenamed("id", id)

@@ -25,17 +25,17 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import sentencepiece
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm.common import Kept
+from spoorline.llm.common import Kept, bounded_batches
 
 MARK = "▁"
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 UNKNOWN_PENALTY = 10.0
-KEPT = 300_000
+KEPT = 150_000
 #: Pairs of pieces remembered, an entry of a few dozen bytes each.
-PAIRS = 1_000_000
+PAIRS = 400_000
 #: In a search's table of last pieces: no piece yet, a character without a piece.
 NONE, ODD = -2, -1
 #: Words of one length are worked on in blocks of about this many characters.
@@ -261,7 +261,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def shares(texts: pd.Series, size: int = 4_000_000) -> Iterator[list[str]]:
+def shares(texts: pd.Series, size: int = 2_000_000) -> Iterator[list[str]]:
     """The texts of a batch in runs of about `size` characters."""
     held, total = [], 0
     for text in texts:
@@ -276,6 +276,7 @@ def shares(texts: pd.Series, size: int = 4_000_000) -> Iterator[list[str]]:
 
 def encode(text: Column, path: str) -> Column:
     """The ids of a text's pieces."""
+    bounded_batches(SparkSession.active())
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spoorline.llm.common import Kept, parts_of, shared_folder
+from spoorline.llm.common import Kept, bounded_batches, parts_of, shared_folder
 
 MAGIC = b"WVM1"
 RANK = 512
 SHARD = 1 << 20
-KEPT = 500_000
+KEPT = 250_000
 # The white space of Unicode, at which the tokenizer's words end.
 SPACE = re.compile("[\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: What str.split() takes for white space besides.
@@ -257,6 +257,7 @@ def write_shards(
         if ids:
             yield shard()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.xxhash64(text).alias("mark")
     )

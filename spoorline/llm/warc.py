@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoorline.llm.common import bounded_batches
 from spoorline.llm.mainregion import parse
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace
@@ -176,6 +177,7 @@ def derive(rows: DataFrame) -> DataFrame:
                 ]
                 yield pd.DataFrame(found, columns=["source", *names])
 
+    bounded_batches(rows.sparkSession)
     narrow = rows.select(F.col("source").cast("string").alias("source"), "target_uri", "date", "http_headers", "payload")
     return narrow.mapInPandas(run, f"source string, {RECORD}")
 
