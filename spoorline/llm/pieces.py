@@ -1,7 +1,6 @@
 """SentencePiece vocabularies: encoding by a batched Viterbi search, decoding, exact round trip.
 
-The normalized text falls into words, each a run of word marks and what follows; no piece
-crosses their edges. Words that were not met before are grouped by length, and the words
+The normalized text falls into words; no piece of the vocabulary crosses their edges. Words that were not met before are grouped by length, and the words
 of a length advance together: the hashes of all their substrings probe the sorted keys of
 the pieces, and the maxima over the pieces that end at a place are kept as backpointers.
 
@@ -19,6 +18,7 @@ length; a worker keeps at most about twice `KEPT` words.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +32,7 @@ from spoorline.llm.common import Kept, bounded_batches
 
 MARK = "▁"
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+FIRST = np.uint64(42)
 UNKNOWN_PENALTY = 10.0
 KEPT = 150_000
 #: Pairs of pieces remembered, an entry of a few dozen bytes each.
@@ -47,6 +48,18 @@ def points_of(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), -1)
 
 
+def word_pattern(touching: set[str]) -> re.Pattern:
+    """Words: a run of marks and what follows up to a place that no piece crosses.
+
+    Such places stand before a mark, and between a letter or digit and any other character
+    that no piece joins with one. `touching` holds the characters that some piece does.
+    """
+    joins = "".join(map(re.escape, sorted(touching)))
+    letters, others = "[^\\W_]", f"(?:[^\\w{MARK}{joins}]{'' if '_' in touching else '|_'})"
+    alone = f"(?![{joins}])" if joins else ""
+    return re.compile(f"{MARK}*(?:{letters}++{alone}|{others}++{alone}|[^{MARK}]+)|{MARK}+")
+
+
 def varint(octets: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
@@ -94,6 +107,14 @@ class Vocabulary:
         plain = [i for i in ids if i not in special]
         if any(MARK in pieces[i].lstrip(MARK) for i in plain):
             raise ValueError("a piece holds a word mark after its first letters")
+        touching = {
+            x
+            for i in plain
+            for pair in zip(pieces[i], pieces[i][1:], strict=False)
+            for x in pair
+            if MARK not in pair and pair[0].isalnum() != pair[1].isalnum() and not x.isalnum()
+        }
+        self.word = word_pattern(touching)
         self.unknown = self.model.unk_id()
         self.longest = max(map(len, (pieces[i] for i in plain)))
         scores = {i: self.model.get_score(i) for i in plain}
@@ -103,6 +124,9 @@ class Vocabulary:
         self.keys = keys[order]
         self.key_ids = np.array(plain, dtype=np.int32)[order]
         self.key_scores = np.array([scores[i] for i in plain])[order]
+        # Most substrings are no piece: a table of the keys' first bits tells.
+        self.first_bits = np.zeros(1 << (64 - int(FIRST)), dtype=bool)
+        self.first_bits[self.keys >> FIRST] = True
         self.powers = np.array([pow(int(BASE), k, 1 << 64) for k in range(2 * self.longest + 1)], dtype=np.uint64)
         self.words = Kept(KEPT)
         self.pairs: dict[int, bool] = {}
@@ -128,9 +152,15 @@ class Vocabulary:
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: none) and scores of the pieces with these hashes."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        hit = self.keys[at] == hashes
-        return np.where(hit, self.key_ids[at], -1), np.where(hit, self.key_scores[at], -np.inf)
+        ids = np.full(hashes.shape, -1, dtype=np.int32)
+        scores = np.full(hashes.shape, -np.inf)
+        maybe = np.flatnonzero(self.first_bits[hashes >> FIRST])
+        wanted = hashes.reshape(-1)[maybe]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = self.keys[at] == wanted
+        ids.reshape(-1)[maybe[hit]] = self.key_ids[at[hit]]
+        scores.reshape(-1)[maybe[hit]] = self.key_scores[at[hit]]
+        return ids, scores
 
     def search(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of words of equal length."""
@@ -159,7 +189,28 @@ class Vocabulary:
             best[:, j] = sums[rows, top]
             start[:, j] = top + first
             piece[:, j] = ids[rows, top]
-        return [self.trace(word, start[k], piece[k]) for k, word in enumerate(words)]
+        return self.traces(words, start, piece)
+
+    def traces(self, words: list[str], start: np.ndarray, piece: np.ndarray) -> list[bytes]:
+        """The ids along the backpointers of all words at once."""
+        n, size = len(words), start.shape[1] - 1
+        found = np.zeros((n, size), dtype="<i4")
+        count = np.zeros(n, dtype=np.int64)
+        odd = np.zeros(n, dtype=bool)
+        live, place = np.arange(n), np.full(n, size)
+        while len(live):
+            own = piece[live, place]
+            odd[live] |= own < 0
+            count[live] += 1
+            found[live, size - count[live]] = own
+            place = start[live, place]
+            live, place = live[place > 0], place[place > 0]
+        octets = found.tobytes()
+        ends = (np.arange(1, n + 1) * (4 * size)).tolist()
+        out = [octets[b - 4 * c : b] for b, c in zip(ends, count.tolist(), strict=True)]
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self.trace(words[k], start[k], piece[k])
+        return out
 
     def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging leaves both pieces as they are; a missing left one asks for the right alone."""
@@ -230,19 +281,7 @@ class Vocabulary:
 
     def cut(self, text: str) -> list[str]:
         """The words of a text with their marks."""
-        whole = self.model.normalize(text)
-        if not whole:
-            return []
-        parts = whole.split(MARK)
-        out, marks = [], 0
-        for k, part in enumerate(parts):
-            marks += k > 0
-            if part:
-                out.append(MARK * marks + part if marks != 1 else MARK + part)
-                marks = 0
-        if marks:
-            out.append(MARK * marks)
-        return out
+        return self.word.findall(self.model.normalize(text))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cuts = [self.cut(x) for x in texts]
