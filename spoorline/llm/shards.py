@@ -34,7 +34,7 @@ from spoorline.llm.common import Kept, bounded_batches, parts_of, shared_folder
 MAGIC = b"WVM1"
 RANK = 512
 SHARD = 1 << 20
-KEPT = 250_000
+KEPT = 450_000
 # The white space of Unicode, at which the tokenizer's words end.
 SPACE = re.compile("[\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: What str.split() takes for white space besides.
