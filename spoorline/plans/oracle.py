@@ -454,7 +454,7 @@ SELECT __WEB__ AS id,
   strftime(ts - CASE WHEN web THEN INTERVAL 1 HOUR ELSE INTERVAL 2 HOUR END, '%Y-%m-%d %H:%M:%S') AS ts,
   CASE WHEN web THEN 'text/nginx' ELSE 'text/app' || (user_id % 5) || '.txt' END AS source_artifact,
   'log_line' AS event_type, CASE WHEN web THEN 'Web server access log' ELSE 'Log line' END AS title,
-  line AS details, CASE WHEN web THEN 'requests with source addresses and user agents' ELSE '' END AS why,
+  line AS details, CASE WHEN web THEN 'tells which client asked for what' ELSE '' END AS why,
   CASE WHEN web THEN 'worth_reading' ELSE '' END AS tags FROM x""").replace("__WEB__", _WEB_ID)
 
 # --- normalizers ---
@@ -574,10 +574,10 @@ b AS (
     CASE key % 9 WHEN 0 THEN 'credential_path' WHEN 1 THEN 'unusual_exec_path suspicious' WHEN 2 THEN 'sensitive_path'
       WHEN 4 THEN 'suid' WHEN 5 THEN 'suid suspicious' WHEN 6 THEN CASE WHEN key % 3 <> 0 THEN 'user_file' ELSE '' END
       WHEN 7 THEN 'world_writable' ELSE '' END AS tags,
-    CASE key % 9 WHEN 0 THEN 'shell history or credential file' WHEN 1 THEN 'executable in a world-writable directory'
-      WHEN 2 THEN 'change to a security-relevant path' WHEN 4 THEN 'SUID/SGID binary (-rwsr-xr-x)'
-      WHEN 5 THEN 'SUID binary outside the usual locations (-rwsr-xr-x)'
-      WHEN 7 THEN 'in a world-writable directory' ELSE '' END AS why FROM o),
+    CASE key % 9 WHEN 0 THEN 'a history or a file of secrets' WHEN 1 THEN 'a program where every account can write'
+      WHEN 2 THEN 'a path that guards the host was touched' WHEN 4 THEN 'SUID/SGID binary (-rwsr-xr-x)'
+      WHEN 5 THEN 'an SUID program in an unusual place (-rwsr-xr-x)'
+      WHEN 7 THEN 'where every account can write' ELSE '' END AS why FROM o),
 t AS (
   SELECT key, m AS t FROM b UNION SELECT key, a FROM b UNION SELECT key, c FROM b
   UNION SELECT key, bt FROM b WHERE bt IS NOT NULL),
@@ -622,8 +622,8 @@ SELECT {_SHELL_ID} AS id, CASE WHEN timed THEN tst ELSE strftime(TIMESTAMP '2024
   CASE event_type WHEN 'error' THEN 'T1059.004 T1105' WHEN 'purchase' THEN 'T1005 T1030' WHEN 'signup' THEN 'T1136.001'
     WHEN 'view' THEN 'T1082' ELSE '' END AS attck,
   CASE WHEN event_type IN ('error', 'purchase') THEN 'shell_history suspicious' ELSE 'shell_history' END AS tags,
-  CASE event_type WHEN 'error' THEN 'remote content executed without ever touching disk'
-    WHEN 'purchase' THEN 'bulk export of database contents' WHEN 'signup' THEN 'account management from a shell'
+  CASE event_type WHEN 'error' THEN 'a download ran without being stored'
+    WHEN 'purchase' THEN 'a whole database was written out' WHEN 'signup' THEN 'accounts were changed by hand'
     ELSE '' END AS why,
   CASE WHEN o = 0 THEN 'history/bash' ELSE 'history/zsh' END AS source_artifact FROM hs"""
 SQL["diagnostics"] = f"""WITH {_FACTS}
@@ -646,42 +646,42 @@ acc AS (
     CASE WHEN c_custkey % 50 = 0 THEN 'Second UID 0 account: c' ELSE 'Service account with a login shell: c' END || c_custkey AS title,
     'user: c' || c_custkey || ' ¦ uid: ' || CASE WHEN c_custkey % 50 = 0 THEN 0 ELSE c_custkey END || ' ¦ gid: 100 ¦ home: /home/c' ||
       c_custkey || ' ¦ shell: ' || CASE WHEN c_custkey % 3 = 0 THEN '/bin/bash' ELSE '/usr/sbin/nologin' END AS details,
-    CASE WHEN c_custkey % 50 = 0 THEN 'c' || c_custkey || ' has uid 0, which is root-equivalent'
-      ELSE 'c' || c_custkey || ' (uid ' || c_custkey || ') has /bin/bash rather than nologin' END AS why,
+    CASE WHEN c_custkey % 50 = 0 THEN 'c' || c_custkey || ' shares uid 0 with root'
+      ELSE 'c' || c_custkey || ' (uid ' || c_custkey || ') has /bin/bash where nologin is usual' END AS why,
     CASE WHEN c_custkey % 50 = 0 THEN 'T1136.001 T1078.003' ELSE 'T1136.001' END AS attck FROM customer WHERE c_custkey > 0
   UNION ALL SELECT '/case/h' || (c_custkey % 10) || '/etc/shadow', 'shadow', c_custkey,
     CASE c_custkey % 40 WHEN 0 THEN 'config_empty_password' WHEN 1 THEN 'config_weak_hash' END,
     CASE WHEN c_custkey % 40 = 0 THEN 'crit' ELSE 'med' END,
     CASE WHEN c_custkey % 40 = 0 THEN 'Account with NO password: c' ELSE 'Account using MD5 password hashing: c' END || c_custkey,
     'user: c' || c_custkey || CASE WHEN c_custkey % 40 = 0 THEN ' ¦ password field: empty' ELSE ' ¦ hash: $1$ (MD5-crypt)' END,
-    CASE WHEN c_custkey % 40 = 0 THEN 'c' || c_custkey || ' can authenticate with no password at all' ELSE 'MD5-crypt is trivially crackable' END,
+    CASE WHEN c_custkey % 40 = 0 THEN 'c' || c_custkey || ' needs no password to log in' ELSE 'an MD5 hash is soon guessed' END,
     CASE WHEN c_custkey % 40 = 0 THEN 'T1078.003' ELSE 'T1110.002' END FROM customer WHERE c_custkey > 0
   UNION ALL SELECT '/case/h' || (s_suppkey % 10) || '/etc/sudoers', 'sudoers', s_suppkey,
     CASE s_suppkey % 4 WHEN 0 THEN 'config_nopasswd_sudo' WHEN 1 THEN 'config_nopasswd_sudo' WHEN 2 THEN 'config_sudo_rule' END,
     CASE s_suppkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'med' ELSE 'low' END,
     CASE s_suppkey % 4 WHEN 2 THEN 'Full sudo rule' ELSE 'Passwordless sudo rule' END,
     'sudoers: s' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN ' ALL=(ALL) NOPASSWD: ALL' WHEN 1 THEN ' ALL=(ALL) NOPASSWD: /bin/ls' ELSE ' ALL=(ALL:ALL) ALL' END,
-    CASE s_suppkey % 4 WHEN 2 THEN 'grants full sudo' ELSE 'this rule grants sudo without re-authenticating' END,
+    CASE s_suppkey % 4 WHEN 2 THEN 'gives all root rights' ELSE 'root rights without asking for the password' END,
     CASE s_suppkey % 4 WHEN 2 THEN '' ELSE 'T1548.003' END FROM supplier
   UNION ALL SELECT '/case/home/' || CASE WHEN s_suppkey % 5 = 0 THEN 'mysql' ELSE 's' || (s_suppkey % 20) END || '/.ssh/authorized_keys',
     'authorized_keys', s_suppkey, 'config_ssh_key', CASE WHEN s_suppkey % 5 = 0 THEN 'high' ELSE 'med' END,
     'SSH authorized key for ' || CASE WHEN s_suppkey % 5 = 0 THEN 'mysql' ELSE 's' || (s_suppkey % 20) END,
     'user: ' || CASE WHEN s_suppkey % 5 = 0 THEN 'mysql' ELSE 's' || (s_suppkey % 20) END || ' ¦ type: ssh-ed25519 ¦ comment: s' || s_suppkey ||
       '@laptop ¦ key: …' || lpad(CAST(s_suppkey AS VARCHAR), 24, 'k'),
-    'an authorized key is passwordless persistent access to ' || CASE WHEN s_suppkey % 5 = 0 THEN 'mysql' ELSE 's' || (s_suppkey % 20) END,
+    'whoever holds the key needs no password to ' || CASE WHEN s_suppkey % 5 = 0 THEN 'mysql' ELSE 's' || (s_suppkey % 20) END,
     'T1098.004' FROM supplier
   UNION ALL SELECT '/case/h' || (s_suppkey % 10) || '/etc/cron.d/jobs' || (s_suppkey % 3), 'jobs' || (s_suppkey % 3), s_suppkey,
     CASE s_suppkey % 3 WHEN 0 THEN 'config_cron_fetch' WHEN 1 THEN 'config_cron_job' END,
     CASE s_suppkey % 3 WHEN 0 THEN 'high' ELSE 'low' END,
-    CASE s_suppkey % 3 WHEN 0 THEN 'Scheduled job fetches or executes remote content' ELSE 'Scheduled job' END,
+    CASE s_suppkey % 3 WHEN 0 THEN 'Cron job that reaches the network' ELSE 'Scheduled job' END,
     'jobs' || (s_suppkey % 3) || ': ' || CASE s_suppkey % 3 WHEN 0 THEN '*/5 * * * * root curl -s http://h' || s_suppkey || '/p'
       ELSE '0 3 * * * root /usr/bin/backup' || s_suppkey END,
-    CASE s_suppkey % 3 WHEN 0 THEN 'cron job uses curl' ELSE 'Scheduled job' END,
+    CASE s_suppkey % 3 WHEN 0 THEN 'the job calls curl' ELSE 'Scheduled job' END,
     CASE s_suppkey % 3 WHEN 0 THEN 'T1053.003 T1105' ELSE 'T1053.003' END FROM supplier),
 whole AS (
   SELECT path, event_type, severity, title, details, why, attck FROM acc WHERE event_type IS NOT NULL
-  UNION ALL SELECT path, 'config_posture', 'info', fname || ' — nothing notable',
-    count(*) || ' line(s) read, no risky settings found', fname || ' — nothing notable', ''
+  UNION ALL SELECT path, 'config_posture', 'info', fname || ': as it should be',
+    count(*) || ' lines read, no risk seen', fname || ': as it should be', ''
     FROM acc GROUP BY path, fname HAVING count(event_type) = 0)"""
 SQL["config_accounts"] = (
     f"WITH {_ACCOUNTS.replace('customer WHERE c_custkey > 0', 'customer')} SELECT * FROM whole"
@@ -693,14 +693,14 @@ s AS (SELECT s_suppkey AS n, '/case/s' || s_suppkey || '/etc/ssh/sshd_config' AS
 SQL["config_sshd"] = f"""WITH {_SSHD}
 SELECT path, 'config_sshd_risk' AS event_type, CASE WHEN r = 'yes' THEN 'high' ELSE 'low' END AS severity,
   'sshd: permitrootlogin ' || r AS title, 'permitrootlogin: ' || r AS details,
-  CASE WHEN r = 'yes' THEN 'root may log in over SSH' ELSE 'root may log in with a key' END AS why, 'T1021.004' AS attck
+  CASE WHEN r = 'yes' THEN 'SSH lets root in' ELSE 'SSH lets root in by key' END AS why, 'T1021.004' AS attck
   FROM s WHERE r <> 'no'
 UNION ALL SELECT path, 'config_sshd_risk', 'low', 'sshd: passwordauthentication yes', 'passwordauthentication: yes',
-  'password authentication is enabled', 'T1021.004' FROM s WHERE p = 'yes'
-UNION ALL SELECT path, 'config_sshd_risk', 'low', 'sshd: x11forwarding yes', 'x11forwarding: yes', 'X11 forwarding is permitted',
+  'passwords are accepted', 'T1021.004' FROM s WHERE p = 'yes'
+UNION ALL SELECT path, 'config_sshd_risk', 'low', 'sshd: x11forwarding yes', 'x11forwarding: yes', 'X11 may be forwarded',
   'T1021.004' FROM s WHERE x = 'yes'
-UNION ALL SELECT path, 'config_sshd_risk', 'crit', 'sshd: root login permitted WITH password authentication',
-  'PermitRootLogin: yes ¦ PasswordAuthentication: yes', 'root is remotely reachable with a guessable password', 'T1110 T1021.004'
+UNION ALL SELECT path, 'config_sshd_risk', 'crit', 'sshd lets root in by password',
+  'PermitRootLogin: yes ¦ PasswordAuthentication: yes', 'a guessed password is enough to be root from afar', 'T1110 T1021.004'
   FROM s WHERE r = 'yes' AND p = 'yes'
 UNION ALL SELECT path, 'config_posture', 'low', 'sshd configuration', 'port: ' || (n + 1000) || ' ¦ permitrootlogin: ' || r ||
   ' ¦ passwordauthentication: ' || p || ' ¦ x11forwarding: ' || x, 'sshd configuration', '' FROM s"""
@@ -708,9 +708,9 @@ SQL["config_preload"] = """
 SELECT '/case/s' || s_suppkey || '/etc/ld.so.preload' AS path,
   CASE WHEN s_suppkey % 10 = 0 THEN 'config_ld_preload' ELSE 'config_posture' END AS event_type,
   CASE WHEN s_suppkey % 10 = 0 THEN 'crit' ELSE 'info' END AS severity,
-  CASE WHEN s_suppkey % 10 = 0 THEN 'ld.so.preload is populated' ELSE 'ld.so.preload — nothing notable' END AS title,
-  CASE WHEN s_suppkey % 10 = 0 THEN 'libraries: /lib/evil' || s_suppkey || '.so' ELSE '1 line(s) read, no risky settings found' END AS details,
-  CASE WHEN s_suppkey % 10 = 0 THEN 'every process on the host loads these libraries first' ELSE 'ld.so.preload — nothing notable' END AS why,
+  CASE WHEN s_suppkey % 10 = 0 THEN 'Libraries forced on every program' ELSE 'ld.so.preload: as it should be' END AS title,
+  CASE WHEN s_suppkey % 10 = 0 THEN 'libraries: /lib/evil' || s_suppkey || '.so' ELSE '1 lines read, no risk seen' END AS details,
+  CASE WHEN s_suppkey % 10 = 0 THEN 'they are loaded before all others, everywhere' ELSE 'ld.so.preload: as it should be' END AS why,
   CASE WHEN s_suppkey % 10 = 0 THEN 'T1574.006' ELSE '' END AS attck FROM supplier WHERE s_suppkey % 2 = 0"""
 _SERVICES = r"""
 sv AS (
@@ -722,11 +722,11 @@ svc AS (
   SELECT path, details, CASE WHEN a = 1 THEN CASE WHEN open THEN 'config_bind_all' ELSE 'config_posture' END
       WHEN open THEN 'config_exposed_service' ELSE 'config_no_auth' END AS event_type,
     CASE WHEN a = 1 THEN CASE WHEN open THEN 'med' ELSE 'low' END WHEN open THEN 'crit' ELSE 'high' END AS severity,
-    CASE WHEN a = 1 THEN CASE WHEN open THEN 'Service listens on every interface' ELSE 'mongod.conf configuration' END
-      WHEN open THEN 'Service listens on every interface with NO authentication' ELSE 'Service authentication is not enabled' END AS title,
+    CASE WHEN a = 1 THEN CASE WHEN open THEN 'Service on all interfaces' ELSE 'mongod.conf configuration' END
+      WHEN open THEN 'Open service: all interfaces, no login' ELSE 'Service without a login' END AS title,
     CASE WHEN a = 1 THEN CASE WHEN open THEN 'bindIp 0.0.0.0' ELSE 'mongod.conf configuration' END
-      WHEN open THEN 'bindIp 0.0.0.0 reaches every interface and authorization is ' || CASE WHEN a = 0 THEN 'commented out' ELSE 'not enabled' END
-      ELSE 'no security.authorization and no keyFile' END AS why,
+      WHEN open THEN 'bindIp 0.0.0.0 means all interfaces, and authorization is ' || CASE WHEN a = 0 THEN 'commented out' ELSE 'not enabled' END
+      ELSE 'neither authorization nor a key file is set' END AS why,
     CASE WHEN a = 1 THEN CASE WHEN open THEN 'T1190' ELSE '' END WHEN open THEN 'T1190' ELSE 'T1078' END AS attck FROM sv)"""
 SQL["config_services"] = (
     f"WITH {_SERVICES} SELECT path, event_type, severity, title, details, why, attck FROM svc"
@@ -779,13 +779,13 @@ SELECT {_WIN_ID} AS id, us AS ts_epoch, kind AS event_type, severity, 'PC' || (u
   concat_ws(' ', CASE event_type WHEN 'click' THEN 'T1059' WHEN 'error' THEN 'T1110' WHEN 'purchase' THEN 'T1543.003' WHEN 'signup' THEN 'T1053.005' END,
     CASE WHEN cert THEN 'T1140' END, CASE WHEN who THEN 'T1087' END, CASE WHEN own AND k % 4 = 0 THEN 'T1036' END) AS attck,
   coalesce(CASE event_type
-    WHEN 'click' THEN concat_ws('; ', CASE WHEN own AND k % 4 = 0 THEN 'runs from a user-writable path under a machine-generated name (qXzRt7Kp)'
-        WHEN own THEN 'runs from a user-writable path' END,
-      CASE WHEN dropper THEN 'cmd.exe launched a binary from a user-writable path' END,
-      CASE WHEN who THEN 'host recon: account enumeration' END)
-    WHEN 'purchase' THEN CASE k % 3 WHEN 0 THEN 'per-user svchost instance Windows creates at every logon (cdpsvc_*)'
-      WHEN 1 THEN 'service image is in a user-writable path' ELSE 'service image is outside the usual install roots' END
-    WHEN 'signup' THEN CASE k % 2 WHEN 0 THEN 'task is in a vendor or Microsoft task path' ELSE 'task created outside the known vendor paths' END END, '') AS why,
+    WHEN 'click' THEN concat_ws('; ', CASE WHEN own AND k % 4 = 0 THEN 'started in a folder users can write to, named as if by a machine (qXzRt7Kp)'
+        WHEN own THEN 'started in a folder users can write to' END,
+      CASE WHEN dropper THEN 'cmd.exe started a program in a folder users can write to' END,
+      CASE WHEN who THEN 'looks around: account enumeration' END)
+    WHEN 'purchase' THEN CASE k % 3 WHEN 0 THEN 'a copy of a system service made for each logon (cdpsvc_*)'
+      WHEN 1 THEN 'the service lies in a folder users can write to' ELSE 'the service lies outside the places programs are installed in' END
+    WHEN 'signup' THEN CASE k % 2 WHEN 0 THEN 'the task stands in a vendor folder' ELSE 'the task stands in no vendor folder' END END, '') AS why,
   details,
   CASE WHEN event_type = 'error' THEN '10.2.0.' || k ELSE '' END AS ip_address,
   CASE WHEN event_type = 'view' THEN md5(CAST(k AS VARCHAR)) ELSE '' END AS md5,
@@ -811,9 +811,9 @@ x AS (
     'autostart run key: v' || key || ' = ' || CASE key % 3 WHEN 0 THEN 'C:\Users\a\AppData\Roaming\qXzRt7Kp\go' || key || '.exe'
       WHEN 1 THEN 'C:\Program Files\Vendor\tray.exe' ELSE 'D:\tools\start.bat' END AS message,
     CASE key % 3 WHEN 0 THEN 'unusual_exec_path random_name' WHEN 1 THEN 'routine_vendor' ELSE '' END AS tags, 'T1547.001' AS attck,
-    'software' AS hive, CASE key % 3 WHEN 0 THEN 'autorun target is in a user-writable path; machine-generated name (qXzRt7Kp)'
-      WHEN 1 THEN 'autorun target is under a trusted install root'
-      ELSE 'autorun target is outside the usual install roots; target is a script, temp path or bare shell' END AS why,
+    'software' AS hive, CASE key % 3 WHEN 0 THEN 'the autostart points into a folder users can write to; looks named by a machine (qXzRt7Kp)'
+      WHEN 1 THEN 'the autostart points to an installed program'
+      ELSE 'the autostart points outside the places programs are installed in; it is a script, a shell or a temporary file' END AS why,
     '' AS utc_offset, '' AS sha1 FROM p WHERE s = 0
   UNION ALL SELECT key * 4 + 1, ts, 'system_timezone', 'info', 'system timezone: ActiveTimeBias = 300', '', '', 'system', '', 'UTC-05:00', '' FROM p WHERE s = 1
   UNION ALL SELECT key * 4 + 2, ts, 'system_timezone', 'info', 'system timezone: StandardName = @tzres.dll,-162', '', '', 'system', '', '', '' FROM p WHERE s = 1

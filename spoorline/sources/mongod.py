@@ -253,7 +253,7 @@ def mongod_events(lines: DataFrame, *, host: str = "") -> DataFrame:
             connections=F.col("connections"),
             window_seconds=F.col("window_seconds"),
             rate_per_second=F.col("rate_per_second"),
-            why=F.concat(count, F.lit(" connections from one address in "), seconds, F.lit("s")),
+            why=F.concat(count, F.lit(" connections by one address within "), seconds, F.lit("s")),
         ).alias("data"),
         or_blank(F.col("file_host")).alias("host"),
         F.lit("high").alias("severity"),

@@ -167,7 +167,7 @@ def leaf_events(values: DataFrame) -> DataFrame:
     )
     reasons = F.when(
         F.col("__bare"),
-        F.concat(F.col("__auto.reasons"), strings(["target is a script, temp path or bare shell"])),
+        F.concat(F.col("__auto.reasons"), strings(["it is a script, a shell or a temporary file"])),
     ).otherwise(F.col("__auto.reasons"))
     program = F.when(kind == "userassist_exec", rot13(name))
     none = strings([])
