@@ -334,3 +334,16 @@ def decode(ids: Column, path: str) -> Column:
         return pd.Series([None if x is None else own.decode(np.asarray(x)) for x in rows], dtype=object)
 
     return run(ids)
+
+
+def round_trip(text: Column, path: str) -> Column:
+    """A struct of the ids and the text they decode to, each worked out once."""
+    bounded_batches(SparkSession.active())
+
+    @F.pandas_udf("ids array<int>, back string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        own = vocabulary(path)
+        ids = [x for part in shares(texts) for x in own.encode(part)]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "back": [own.decode(x) for x in ids]})
+
+    return run(text)

@@ -71,8 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = docs.select("doc_id", "text", pieces.encode(F.col("text"), path).alias("ids"))
-    back = coded.select("doc_id", "text", "ids", pieces.decode(F.col("ids"), path).alias("back"))
+    back = docs.select("doc_id", "text", pieces.round_trip(F.col("text"), path).alias("x")).select("doc_id", "text", "x.*")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

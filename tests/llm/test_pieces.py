@@ -99,4 +99,6 @@ def test_columns_nulls_and_no_rows(spark):
     got = coded.select("doc_id", "text", "own", p.decode(coded.own, PATH).alias("back")).collect()
     assert [r["back"] for r in got] == [r["text"] or "" for r in got]
     assert got[0]["own"] == [] and np.asarray(got[3]["own"]).size == 1
+    whole = docs.select(p.round_trip(docs.text, PATH).alias("x")).select("x.*").collect()
+    assert [(r["ids"], r["back"]) for r in whole] == [(r["own"], r["back"]) for r in got]
     assert docs.limit(0).select(p.encode(docs.text, PATH)).collect() == []
