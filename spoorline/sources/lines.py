@@ -12,7 +12,8 @@ from spoorline.operators.running import RunningSum, running
 
 
 
-def _plain_path(uri: Column) -> Column:
+def plain_path(uri: Column) -> Column:
+    """The path a file URI stands for."""
     return F.regexp_replace(F.url_decode(F.regexp_replace(uri, r"\+", "%2B")), r"^file:/+", "/")
 
 
@@ -29,7 +30,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true")
         .text(list(paths) if not isinstance(paths, str) else paths)
         .select(
-            _plain_path(F.col("_metadata.file_path")).alias("path"),
+            plain_path(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_block_start").alias("__block"),
             F.col("_metadata.file_modification_time").alias("mtime"),
             F.monotonically_increasing_id().alias("__row"),
@@ -130,7 +131,7 @@ def inventory(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .load(list(paths) if not isinstance(paths, str) else paths)
     )
-    return inventory_of(files.withColumn("path", _plain_path(F.col("path"))))
+    return inventory_of(files.withColumn("path", plain_path(F.col("path"))))
 
 
 def inventory_of(files: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spoorline.sources.lines import plain_path
+
 
 def stream_texts(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """New files of a folder as (path, text, mtime), one row per file."""
@@ -21,7 +23,7 @@ def stream_texts(spark: SparkSession, folder: str, files_per_batch: int = 1000)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            plain_path(F.col("_metadata.file_path")).alias("path"),
             F.col("value").alias("text"),
             F.col("_metadata.file_modification_time").alias("mtime"),
         )
@@ -29,9 +31,12 @@ def stream_texts(spark: SparkSession, folder: str, files_per_batch: int = 1000)
 
 
 def texts_to_lines(texts: DataFrame) -> DataFrame:
-    return texts.select(
-        "path", "mtime", F.posexplode(F.split("text", "\n")).alias("__at", "value")
-    ).select("path", (F.col("__at") + 1).cast("long").alias("line_no"), "value", "mtime")
+    """The lines the batch reader gives: no carriage returns, no empty line after the last end."""
+    ended = F.regexp_replace("text", r"\r+(?=\n|\z)", "")
+    lines = F.split(F.regexp_replace(ended, r"\n\z", ""), "\n")
+    return texts.select("path", "mtime", F.posexplode(lines).alias("__at", "value")).select(
+        "path", (F.col("__at") + 1).cast("long").alias("line_no"), "value", "mtime"
+    )
 
 
 def ingest(
