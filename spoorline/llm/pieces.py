@@ -34,7 +34,7 @@ MARK = "▁"
 BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FIRST = np.uint64(42)
 UNKNOWN_PENALTY = 10.0
-KEPT = 150_000
+KEPT = 220_000
 #: Pairs of pieces remembered, an entry of a few dozen bytes each.
 PAIRS = 400_000
 #: In a search's table of last pieces: no piece yet, a character without a piece.
