@@ -47,13 +47,14 @@ BLOCKS = CONTAINERS - {"label", "button", "select", "svg", "math", "canvas", "ob
     "blockquote", "pre", "address", "figcaption", "hr", "summary", "legend", "optgroup", "option", "hgroup", "search",
 }
 CHROME = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline",
+    "ad", "ads", "alert", "aside", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs",
     "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "hidden", "login",
     "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
     "notification", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search",
-    "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toc",
+    "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toc",
     "toolbar", "topbar", "widget",
 }
+ABOUT = {"no", "non", "has", "with", "without"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
 TOKEN = re.compile(
@@ -89,7 +90,9 @@ def key_of(name: str, rest: str) -> tuple[str, bool, bool]:
     for m in ATTRIBUTE.finditer(rest) if "=" in rest or "hidden" in rest else ():
         what, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
         if what in ("class", "id"):
-            words.update(w.lower() for w in WORDS.findall(value))
+            found = [w.lower() for w in WORDS.findall(value)]
+            # A layout that says it has or lacks a sidebar is none.
+            words.update(w for before, w in zip(["", *found], found, strict=False) if before not in ABOUT)
         elif what == "role":
             words.update({"role"} if value.lower() in ROLES else ())
         elif what == "hidden" or (what == "aria-hidden" and value.lower() == "true"):

@@ -33,6 +33,7 @@ CASES = [
     ("<article><p>" + "long " * 30000 + "</p></article>", " ".join(["long"] * 30000)),
     ("<article>open <ul><li>one<li>two</ul> end", "open\none\ntwo\nend"),
     ("a < b and c > d", "a < b and c > d"),
+    ("<div class='page no-sidebar'><p class=byline>by me</p><p>words</p><div id=siteAlert>x</div></div>", "by me\nwords"),
 ]
 
 
