@@ -181,10 +181,12 @@ class Vocabulary:
                 scores[:, -1] = np.where(ids[:, -1] < 0, self.unknown_score, scores[:, -1])
                 sums = best[:, first:j] + scores
             else:
-                there = ids >= 0
-                sums = np.where(there, 0.0, -np.inf)
-                sums[there] = np.where(self.may_follow(piece[:, first:j][there], ids[there]), 0.0, -np.inf)
-                sums[:, -1] = np.where(there[:, -1], sums[:, -1], 0.0)
+                # One piece is right; if no longer one is, it is the single character.
+                longer = ids >= 0
+                longer[:, -1] = False
+                sums = np.full(ids.shape, -np.inf)
+                sums[longer] = np.where(self.may_follow(piece[:, first:j][longer], ids[longer]), 1.0, -np.inf)
+                sums[:, -1] = 0.0
             top = sums.argmax(axis=1)
             best[:, j] = sums[rows, top]
             start[:, j] = top + first
