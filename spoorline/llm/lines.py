@@ -6,6 +6,9 @@ of more than `words` words. What is inserted before a passage so moves no cut in
 Chunks whose hash occurs more than once are compared by their bytes; the first place, by
 id and line, keeps its text. Later places of adjacent repeated chunks form a passage, and
 passages of more than `words` words are removed. Words are counted as spaces plus one.
+Lines at a passage's edges may share a chunk with the lines outside, which hides them; with
+`whole`, the shortest ranges of more than `words` words from and to each line are searched too,
+compared by SHA-256, and every repeated passage of several lines goes with its edges.
 
 Only DataFrame functions are used. The texts cross the network twice by id, and once more
 the repeated chunks alone; counts and places are narrow rows. Nulls: a null text stays
@@ -16,6 +19,8 @@ as a result is replaced by it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,21 +87,74 @@ def marked(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("id", "id_").withColumnRenamed("mark", "mark_")
 
 
-def repeated_passages(docs: DataFrame, id: str, text: str, divisor: int = 2, words: int = 50) -> DataFrame:
-    """Rows (id, mark, start, end): line ranges that repeat an earlier place."""
-    narrow = written(chunks(docs, id, text, divisor, words), "chunks")
+def windows(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
+    """Rows (id, mark, start, end, hash): the shortest ranges of more than `words` words.
+
+    For each line the one that begins there and the one that ends there. A longer range that
+    occurs twice is covered by those inside it, which occur twice as well. Ranges of a single
+    line are left out, as those are chunks. No line has less than one word, so none is longer
+    than `words` + 1 lines.
+    """
+    rows = keyed(docs, id, text).where(F.size("lines") > 1)
+    rows = rows.withColumn("w", F.transform("lines", lambda x: n_words(x).cast("long")))
+    rows = rows.withColumn("v", F.reverse("w")).withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
+    size = F.size("lines")
+
+    def reach(counts: str, i: Column) -> Column:
+        """How many lines from i on it takes, null where all are too few."""
+        more = lambda a, x: F.when(F.shiftright(a, 20) > words, a).otherwise(a + F.shiftleft(x, 20) + 1)
+        total = F.aggregate(F.slice(counts, i + 1, words + 1), F.lit(0).cast("long"), more)
+        return F.when(F.shiftright(total, 20) > words, total.bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
+
+    def place(start: Column, end: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    numbers = F.sequence(F.lit(0), size - 1)
+    after = F.transform(numbers, lambda i: place(i, i + reach("w", i)))
+    before = F.transform(numbers, lambda i: place(size - i - reach("v", i), size - i))
+    long_ = F.filter(F.array_union(after, before), lambda p: p["end"] - p["start"] > 1)
+    found = rows.select("id", "mark", "hashes", F.explode(long_).alias("p"))
+    part = F.slice("hashes", F.col("p.start") + 1, F.col("p.end") - F.col("p.start"))
+    return found.select("id", "mark", "p.start", "p.end", F.xxhash64(part).alias("hash"))
+
+
+def later_places(narrow: DataFrame, docs: DataFrame, id: str, text: str, form: Callable[[Column], Column]) -> DataFrame:
+    """The rows of `narrow` whose lines, in the given form, stand at an earlier place as well."""
     often = written(narrow.groupBy(F.col("hash").alias("often")).count().where("count > 1").select("often"), "often")
     places = written(narrow.join(often, narrow["hash"] == often["often"]).drop("often", "hash"), "places")
     per_doc = marked(places.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("found")))
     rows = keyed(docs, id, text)
     held = rows.join(per_doc.hint("merge"), same_text(rows, per_doc))
     texts = held.select("id", "mark", "lines", F.explode("found").alias("c")).select(
-        F.struct("id", "c.start", "mark").alias("place"),
-        chunk_text(F.col("lines"), F.col("c.start"), F.col("c.end")).alias("bytes"),
+        F.struct("id", "c.start", "mark", "c.end").alias("place"),
+        form(chunk_text(F.col("lines"), F.col("c.start"), F.col("c.end"))).alias("bytes"),
     )
     first = texts.groupBy("bytes").agg(F.min("place").alias("place")).select("place.*")
-    first = written(first.select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), F.col("start").alias("start_")), "first")
-    later = places.join(first, same_text(places, first) & (places["start"] == first["start_"]), "left_anti").distinct()
+    first = first.select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), F.col("start").alias("start_"), F.col("end").alias("end_"))
+    first = written(first, "first")
+    same = same_text(places, first) & (places["start"] == first["start_"]) & (places["end"] == first["end_"])
+    return places.join(first, same, "left_anti").distinct()
+
+
+def repeated_windows(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
+    """Rows (id, mark, start, end): ranges of several lines that stand at an earlier place."""
+    narrow = written(windows(docs, id, text, words), "windows")
+    return later_places(narrow, docs, id, text, lambda x: F.sha2(x, 256))
+
+
+def merged(ranges: DataFrame) -> DataFrame:
+    """Ranges that overlap or touch as one."""
+    by_doc = Window.partitionBy("id", "mark").orderBy("start", "end")
+    reached = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = ranges.withColumn("fresh", (F.col("start") > F.coalesce(reached, F.lit(-1))).cast("int"))
+    runs = runs.withColumn("run", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("id", "mark", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
+def repeated_passages(docs: DataFrame, id: str, text: str, divisor: int = 2, words: int = 50) -> DataFrame:
+    """Rows (id, mark, start, end): line ranges that repeat an earlier place."""
+    narrow = written(chunks(docs, id, text, divisor, words), "chunks")
+    later = later_places(narrow, docs, id, text, lambda x: x)
     by_doc = Window.partitionBy("id", "mark").orderBy("start")
     fresh = (F.col("start") != F.lag("end", 1, -1).over(by_doc)).cast("int")
     runs = later.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_doc))
@@ -106,9 +164,16 @@ def repeated_passages(docs: DataFrame, id: str, text: str, divisor: int = 2, wor
     return passages.where(F.col("words") > words).select("id", "mark", "start", "end")
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", divisor: int = 2, words: int = 50) -> DataFrame:
-    """The documents with repeated passages removed; adds `n_lines` and `n_removed`."""
+def dedup_lines(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", divisor: int = 2, words: int = 50, whole: bool = False
+) -> DataFrame:
+    """The documents with repeated passages removed; adds `n_lines` and `n_removed`.
+
+    With `whole`, also every passage of several lines wherever the chunks are cut.
+    """
     found = repeated_passages(docs, id, text, divisor, words)
+    if whole:
+        found = merged(found.union(repeated_windows(docs, id, text, words)))
     gone = marked(
         written(found, "passages").groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("gone_"))
     )
