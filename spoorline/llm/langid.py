@@ -5,9 +5,11 @@ around it in every learned language; languages whose training text hardly uses t
 script are out for that word. The best path over the words pays `switch` for every change
 of language, which yields spans; the text's language is the one with most letters.
 
-The model is a table of trigram scores over a small alphabet, counted by Spark on a
-sample of at most about `sample` labelled rows (chosen by a hash of the id). Its size is
-bounded by the alphabet, `LETTERS` cubed per language, whatever the input.
+The model is a table of trigram scores over a small alphabet for each script, counted by
+Spark on a sample of each label's rows (chosen by a hash of the id): about an equal share of
+`sample`, `LEAST_ROWS` where there are many labels, all rows of a label that has fewer, and
+one in any case. Letters are chosen by their share in the label that uses them most. The
+model's size is bounded by the alphabet, `LETTERS` cubed per language, whatever the input.
 
 A text that is null or has no letter gives `und` with score 0. Equal texts give equal
 results; a table without rows gives none. Ids and labels are never read in a prediction.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from spoorline.llm.common import bounded_batches, packed, unpacked
 
 LETTERS = 62
+LEAST_ROWS = 200
 UNKNOWN = "und"
 FOUND = {
     "lang_pred": "string",
@@ -116,8 +119,11 @@ class Model:
 
     def numbers(self) -> np.ndarray:
         out = np.where(scripts() > 0, LETTERS - 1, 0).astype(np.uint8)
-        for number, point in enumerate(self.alphabet, 1):
-            out[point] = number
+        last = np.zeros(len(SCRIPTS) + 2, dtype=np.uint8)
+        for point in self.alphabet:
+            script = scripts()[point]
+            last[script] += 1
+            out[point] = last[script]
         return out
 
 
@@ -129,13 +135,22 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sampled(known: DataFrame, id: str, lang: str, sample: int) -> DataFrame:
+    """About an equal number of rows of each label, at least one."""
+    place = F.shiftrightunsigned(F.xxhash64(id), 2)
+    labels = known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
+    if sum(row["n"] for row in labels) <= sample:
+        return known
+    share = max(-(-sample // len(labels)), LEAST_ROWS)
+    cuts = [(row["l"], max(row["first"], (min(share, row["n"]) << 62) // row["n"])) for row in labels]
+    cuts = known.sparkSession.createDataFrame(cuts, "label_ string, cut_ long")
+    return known.join(F.broadcast(cuts), F.col(lang) == F.col("label_")).where(place <= F.col("cut_"))
+
+
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 6000) -> Model:
     """Counts letters, scripts and trigrams of a bounded sample of labelled rows."""
     bounded_batches(docs.sparkSession)
-    known = training_rows(docs, id, lang)
-    rows = known.select(id, lang).count()
-    if rows > sample:
-        known = known.where(F.pmod(F.xxhash64(id), F.lit(1_000_000)) < int(1e6 * sample / rows))
+    known = sampled(training_rows(docs, id, lang), id, lang, sample)
     narrow = known.select(F.col(text).alias("t"), F.col(lang).alias("l"))
 
     def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,13 +163,16 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     seen = narrow.mapInPandas(letters, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n"))
     seen = seen.toPandas().sort_values(["l", "k"])
     langs = sorted(seen["l"].unique())
-    top = seen.groupby("k")["n"].sum().reset_index().sort_values(["n", "k"], ascending=[False, True])
-    alphabet = sorted(top["k"].head(LETTERS - 2).tolist())
     size = len(SCRIPTS) + 2
     used = np.zeros((size, len(langs)))
     for row in seen.itertuples():
         used[scripts()[row.k], langs.index(row.l)] += row.n
     allowed = used >= 0.01 * used.sum(axis=0, keepdims=True)
+    seen["share"] = seen["n"] / seen.groupby("l")["n"].transform("sum")
+    top = seen.groupby("k")["share"].max().reset_index()
+    top["script"] = scripts()[top["k"].to_numpy(dtype=np.int64)]
+    top = top[allowed.any(axis=1)[top["script"]]].sort_values(["share", "k"], ascending=[False, True])
+    alphabet = sorted(top.groupby("script").head(LETTERS - 2)["k"].tolist())
     allowed[~allowed.any(axis=1)] = True
     empty = Model(langs, alphabet, np.zeros((0, 0)), allowed)
 
