@@ -9,7 +9,7 @@ from spoorline.functions.levels import clamp_level, level_rank
 from spoorline.functions.text import SEP, blank_to_null, or_blank, pretty, strings
 from spoorline.functions.times import seconds_text, to_utc
 from spoorline.operators.running import RunningSum, running
-from spoorline.schema import EVENTS_SCHEMA
+from spoorline.schema import EVENTS_SCHEMA, LOGGED
 
 ID_DIGITS = 15
 
@@ -118,6 +118,7 @@ def normalize(df: DataFrame, host: str = "", zone: Column | str = "UTC") -> Data
         "ts": seconds_text(at),
         "ts_epoch": F.unix_micros(at),
         "ts_desc": col("ts_desc", blank),
+        "time_kind": col("time_kind", F.lit(LOGGED)),
         "host": F.coalesce(blank_to_null(col("host", blank)), F.lit(host)),
         "event_type": F.col("__type"),
         "severity": F.col("__severity"),

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from spoorline.functions.text import blank_to_null, cut, or_blank, payload, rx, strings
 from spoorline.operators.normalize import normalize, wide_id
+from spoorline.schema import SCAN_TIME
 
 PARSER = "sigma"
 GROUP_SIZE = 50
@@ -691,6 +692,7 @@ def hit_events(hits: DataFrame) -> DataFrame:
         wide_id(F.col("id"), F.col("rule"), "hit").alias("id"),
         "event_time",
         F.lit("Event Logged (rule hit)").alias("ts_desc"),
+        F.lit(SCAN_TIME).alias("time_kind"),
         F.lit("sigma_match").alias("event_type"),
         cut(
             F.concat(F.lit("Sigma: "), "rule_title", F.lit(" — "), or_blank(F.col("message"))), 400

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from spoorline.functions.text import cut, file_name, payload, strings
 from spoorline.operators.normalize import normalize, wide_id
 from spoorline.operators.rules import UnusableRule, _names_like, condition_tree, fold_condition
+from spoorline.schema import SCAN_TIME
 
 PARSER = "yara"
 # Level of a signature and the level of its hits.
@@ -114,6 +115,7 @@ def signature_scan(artifacts: DataFrame, signatures: Sequence[Mapping]) -> DataF
         "artifact_id",
         F.col("mtime").alias("event_time"),
         F.lit("Artifact mtime (signature hit)").alias("ts_desc"),
+        F.lit(SCAN_TIME).alias("time_kind"),
         F.lit("yara_match").alias("event_type"),
         cut(
             F.concat(F.lit("YARA "), "rule", F.lit(" matched "), file_name(F.col("path"))), 400

@@ -772,6 +772,24 @@ def activity_window(spark, sf):
     )
 
 
+@query
+def case_year(spark, sf):
+    """The year for classic log lines: logged times decide, file times of later years do not."""
+    late = F.lit("2031-05-06 07:08:09").cast("timestamp")
+    events = union_events(
+        config.config_events(d.config_lines(spark, sf, "accounts", "sshd").withColumn("mtime", late)),
+        plain.generic_text_events(d.web_lines(spark, sf).withColumn("mtime", late), zone="+02:00"),
+        history.history_events(d.history_lines(spark, sf).filter("value not like '#%' and value not like ': %'")
+                               .withColumn("mtime", late)),
+        syslog.syslog_events(d.syslog_lines(spark, sf).withColumn("mtime", late)),
+    )
+    rows = ctx.activity_window(events)
+    return rows.select(
+        F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
+        F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), _int("year"), "year_source",
+    )
+
+
 @query
 def case_context(spark, sf):
     rows = ctx.derive_context(registry.registry_events(d.registry_values(spark, sf)))

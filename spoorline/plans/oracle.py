@@ -878,6 +878,10 @@ SELECT (SELECT count(*) FROM sx WHERE status = 'parsed') AS parsed,
 SQL["activity_window"] = app("""
 SELECT min(tst) AS first_seen, max(tst) AS last_seen, CAST(year(max(ts)) AS BIGINT) AS year,
   'latest event in artifacts with absolute timestamps' AS year_source FROM ev""")
+SQL["case_year"] = facts("""
+SELECT strftime(min(utc), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(utc), '%Y-%m-%d %H:%M:%S') AS last_seen,
+  CAST(year(max(utc)) AS BIGINT) AS year, 'latest event in artifacts with absolute timestamps' AS year_source
+FROM (SELECT ts - CASE WHEN user_id % 5 < 3 THEN INTERVAL 1 HOUR ELSE INTERVAL 2 HOUR END AS utc FROM f WHERE k % 20 <> 7)""")
 SQL["most_common_host"] = app(
     "SELECT host, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, host LIMIT 1"
 )
@@ -916,9 +920,17 @@ SELECT strftime(ts, '%m/%d/%Y') AS date, strftime(ts, '%H:%M:%S') AS time, 'UTC'
 _COUNTED = {
     "linux_syslog": "syslog_events", "mongodb": "mongod_events", "shell_history": "history_events",
     "evtx": "windows_events", "registry": "registry_events", "generic_text": "web_log_lines",
+    "untimed": "untimed_blocks",
 }
+# The untimed lines of a file become a row for each block of 16 KB.
+_BLOCKS = facts("""
+SELECT DISTINCT web, folder, b // 16384 AS block FROM (
+  SELECT user_id % 5 < 3 AS web, user_id % 5 AS folder, coalesce(sum(length('-- note ' || k || ' --')) OVER (
+    PARTITION BY user_id % 5 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM f WHERE k % 20 = 7)""")
 SQL["event_ids"] = "WITH " + ", ".join(
-    f"{parser} AS (SELECT count(*) AS n FROM ({SQL[name]}) AS t)" for parser, name in _COUNTED.items()
+    f"{parser} AS (SELECT count(*) AS n FROM ({_BLOCKS if name == 'untimed_blocks' else SQL[name]}) AS t)"
+    for parser, name in _COUNTED.items()
 ) + " SELECT 'all' AS part, sum(n)::BIGINT AS events, sum(n)::BIGINT AS ids FROM (" + " UNION ALL ".join(
     f"SELECT n FROM {parser}" for parser in _COUNTED
 ) + ")"

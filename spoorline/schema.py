@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 LEVELS = ("info", "low", "med", "high", "crit")
 LEVEL_RANK = {name: rank for rank, name in enumerate(LEVELS)}
 
+# Where an event's time comes from: the evidence recorded it; a file's change time
+# stands in for it; a scan of ours found it and it carries the time of what was scanned.
+LOGGED, FILE_TIME, SCAN_TIME = "logged", "file", "scan"
+
 _S = T.StringType()
 
 EVENTS_SCHEMA = T.StructType(
@@ -18,6 +22,7 @@ EVENTS_SCHEMA = T.StructType(
         T.StructField("ts", _S),
         T.StructField("ts_epoch", T.LongType()),
         T.StructField("ts_desc", _S),
+        T.StructField("time_kind", _S),
         T.StructField("host", _S),
         T.StructField("user", _S),
         T.StructField("event_type", _S),

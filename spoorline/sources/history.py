@@ -19,6 +19,7 @@ from spoorline.functions.times import epoch_time
 from spoorline.operators.normalize import line_id, normalize
 from spoorline.operators.running import GroupTotal, Previous, RunningSum, line_chunks, running
 from spoorline.operators.scoring import classify_command
+from spoorline.schema import FILE_TIME, LOGGED
 
 PARSER = "shell_history"
 SHOWN_CHARS = 800
@@ -95,6 +96,7 @@ def history_events(lines: DataFrame, *, host: str = "") -> DataFrame:
             )
         )
         .alias("ts_desc"),
+        F.when(F.col("run_time").isNotNull(), LOGGED).otherwise(FILE_TIME).alias("time_kind"),
         F.lit("shell_command").alias("event_type"),
         F.when(F.col("what.label") != "Command", F.col("what.label"))
         .otherwise(F.concat(F.lit("Command typed by "), F.coalesce(named, F.lit("?"))))

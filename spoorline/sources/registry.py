@@ -20,6 +20,7 @@ from spoorline.functions.text import (
 from spoorline.functions.times import bias_offset
 from spoorline.operators.normalize import line_id, normalize, union_events
 from spoorline.operators.scoring import SUSPECT_IMAGE, is_pasted_lure, score_autorun
+from spoorline.schema import FILE_TIME, LOGGED
 
 PARSER = "registry"
 MESSAGE_LIMIT = 400
@@ -277,7 +278,7 @@ def hive_events(values: DataFrame) -> DataFrame:
         values = values.withColumn("hive_type", hive_type(F.col("path")))
     root = F.max(F.when(F.col("key_path") == "", F.col("key_time")))
     hives = values.groupBy("path", "hive_type").agg(
-        F.coalesce(root, F.max("mtime")).alias("key_time"), F.max("mtime").alias("mtime")
+        root.alias("key_time"), F.max("mtime").alias("mtime")
     )
     return hives.select(
         "path", "hive_type", "key_time", "mtime",
@@ -306,6 +307,7 @@ def registry_events(values: DataFrame, *, host: str = "") -> DataFrame:
         F.when(F.col("event_type") == "registry_hive", "Hive root last write")
         .otherwise("Registry key last write")
         .alias("ts_desc"),
+        F.when(F.col("key_time").isNotNull(), LOGGED).otherwise(FILE_TIME).alias("time_kind"),
         "event_type",
         pretty(F.col("event_type")).alias("title"),
         F.col("message").alias("details"),

@@ -12,6 +12,7 @@ from spoorline.operators.normalize import line_id, normalize, union_events
 from spoorline.operators.running import RunningSum, line_chunks, running
 from spoorline.operators.skew import salted_join
 from spoorline.operators.textkind import describe_text, kind_of, line_flags
+from spoorline.schema import FILE_TIME
 
 PARSER = "generic_text"
 BLOCK_CHARS, SHOWN_CHARS = 16 * 1024, 500
@@ -104,6 +105,7 @@ def generic_text_events(
         F.when(F.col("timed") == 0, "Artifact mtime (no timestamps in content)")
         .otherwise("Artifact mtime (lines without a timestamp)")
         .alias("ts_desc"),
+        F.lit(FILE_TIME).alias("time_kind"),
         F.lit("text_artifact").alias("event_type"),
         F.col("told.title").alias("title"),
         F.col("told.details").alias("details"),
