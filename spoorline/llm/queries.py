@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import decontaminate, langid, licenses, lines, mainregion, minhash, pieces, shards, simhash, warc
+from spoorline.llm import (
+    decontaminate, filteraudit, langid, licenses, lines, mainregion, maxscore, minhash, pieces, shards, simhash, variants, warc,
+)
 from spoorline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +88,19 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("item_of_test", "item_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.quantized(table(spark, sf_dir, "embeddings"))
+    return maxscore.exact_topk(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -97,6 +112,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_language": op10_language,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 SQL: dict[str, str] = {
@@ -106,4 +124,7 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
        md5(clean.text) AS text_md5
 FROM documents d LEFT JOIN clean ON clean.doc_id = d.doc_id
 """,
+    "op11_spelling_variants": variants.VARIANTS_SQL,
+    "op12_exact_topk": maxscore.TOPK_SQL,
+    "op13_filter_audit": filteraudit.AUDIT_SQL,
 }
