@@ -8,18 +8,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.operators.aggregates import artifact_status
+from spoorline.operators.aggregates import artifact_status, diagnostics
 from spoorline.operators.context import derive_context
 from spoorline.operators.indicators import sweep
 from spoorline.operators.normalize import number_artifacts, union_events
 from spoorline.operators.rarity import rarity_promote
-from spoorline.operators.rules import evaluate_rules, findings, hit_events
-from spoorline.operators.signatures import signature_scan
+from spoorline.operators.rules import evaluate_rules, findings, hit_events, skipped_rules
+from spoorline.operators.signatures import signature_files
+from spoorline.session import written
 from spoorline.sinks.exports import write_events
+from spoorline.sources import bodyfile, history, mongod, syslog
 from spoorline.sources.bodyfile import bodyfile_events
 from spoorline.sources.config import config_events
+from spoorline.sources.files import lines_in, numbered, ranges
 from spoorline.sources.history import history_events
-from spoorline.sources.lines import inventory, read_lines, route
+from spoorline.sources.lines import inventory, route, unreadable
 from spoorline.sources.mongod import mongod_events
 from spoorline.sources.syslog import syslog_events
 from spoorline.sources.text import generic_text_events
@@ -33,6 +36,8 @@ class Case:
     findings: DataFrame
     links: DataFrame
     status: DataFrame
+    diagnostics: DataFrame
+    skipped: DataFrame
 
 
 # Normalizers of text formats that date themselves, by parser name.
@@ -59,16 +64,24 @@ def analyze(
 ) -> Case:
     """Read, normalize in two passes, profile, detect and extract; events land at ``out``.
 
+    Files of all names are listed and routed by their first bytes; those of a text format
+    are then read once, by ranges, into a table with a folder per parser. What cannot be
+    read shows in ``status`` and ``diagnostics`` with its error.
+
     ``decoded``: event tables made from decoded Windows records or registry
     rows. The context row is the one thing collected: classic logs are read
     only once zone and year are known from everything else.
     """
-    artifacts = number_artifacts(route(inventory(spark, paths)))
-    keys = artifacts.select("path", "artifact_id", "parser")
-    lines = read_lines(spark, paths).join(keys, "path")
+    artifacts = written(number_artifacts(route(inventory(spark, paths))), "artifacts")
+    texts = artifacts.where(F.col("error").isNull() & F.col("parser").isin(*SELF_DATING, "linux_syslog"))
+    lines = written(
+        lines_in(ranges(texts.select("path", "size", "mtime", "artifact_id", "parser"))), "lines", by="parser"
+    )
 
     def of(parser: str) -> DataFrame:
-        return lines.filter(F.col("parser") == parser).drop("parser")
+        """The lines of the files that go to a parser: one folder of the table."""
+        mine = numbered(lines.filter(F.col("parser") == parser)).where("value IS NOT NULL")
+        return mine.select("path", "line_no", "value", "mtime", "artifact_id")
 
     first = union_events(
         *[build(of(parser), host=host or "") for parser, build in SELF_DATING.items()], *decoded
@@ -87,18 +100,28 @@ def analyze(
     if rules:
         hits.append(hit_events(evaluate_rules(events, rules)))
     if signatures:
-        hits.append(signature_scan(artifacts, signatures))
+        hits.append(signature_files(artifacts.where("error IS NULL"), signatures))
     if hits:
         write_events(union_events(*hits), f"{out}/hits")
         found = spark.read.parquet(f"{out}/hits")
     else:
         found = events.filter(F.lit(False))
     whole = union_events(events, found)
+    problems = artifacts.where("error IS NOT NULL").select("path", "error").unionByName(unreadable(lines))
     return Case(
         artifacts=artifacts,
         events=whole,
         context=derive_context(first, zone=zone, host=host, year=year),
         findings=findings(found),
         links=sweep(whole),
-        status=artifact_status(artifacts, events),
+        status=artifact_status(artifacts.drop("error"), events, problems),
+        diagnostics=diagnostics(
+            mongod.malformed(of("mongodb")),
+            mongod.unauthenticated(of("mongodb")),
+            bodyfile.malformed(of("bodyfile")),
+            history.untimed(of("shell_history")),
+            syslog.year_assumed(of("linux_syslog")),
+            problems.select("path", F.col("error").alias("cause"), F.lit(0).cast("long").alias("lines")),
+        ),
+        skipped=skipped_rules(events, rules),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorline.functions.text import any_of, file_name
-from spoorline.operators.running import RunningSum, running
+from spoorline.sources.files import digests, list_files, numbered, ranges, read_table
 
 
 
@@ -18,56 +18,20 @@ def plain_path(uri: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, line_no, value, mtime) of text files, plain or gz/bz2 by extension.
+    """(path, line_no, value, mtime) of text files of any name, plain or gz/bz2 by extension.
 
-    Bad bytes become replacement characters. Lines are numbered without sorting
-    a file in one task: each file block counts its lines, the block counts of a
-    file are summed in order, and a line's number is its block's offset plus its
-    place in the block. Files whose name starts with ``.`` or ``_`` are not read
-    by Spark; see :func:`hidden_files`.
+    Bad bytes become replacement characters. Files are read once, by ranges, into a table;
+    the lines of a range are numbered there from the counts of the ranges before. Files that
+    cannot be read give no line here; :func:`unreadable` lists them.
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(list(paths) if not isinstance(paths, str) else paths)
-        .select(
-            plain_path(F.col("_metadata.file_path")).alias("path"),
-            F.col("_metadata.file_block_start").alias("__block"),
-            F.col("_metadata.file_modification_time").alias("mtime"),
-            F.monotonically_increasing_id().alias("__row"),
-            F.regexp_replace("value", r"[\r]+$", "").alias("value"),
-        )
-    )
-    blocks = raw.groupBy("path", "__block").agg(
-        F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__lines")
-    )
-    offsets = running(
-        blocks, ["path"], ["__block"], F.floor(F.col("__block") / (1 << 40)).cast("long"),
-        __offset=RunningSum(F.col("__lines")),
-    )
-    placed = raw.join(
-        offsets.select("path", "__block", "__first", "__offset"), ["path", "__block"]
-    )
-    number = F.col("__offset") + F.col("__row") - F.col("__first") + 1
-    return placed.select("path", number.cast("long").alias("line_no"), "value", "mtime")
-
+    listed = list_files(spark, paths).where("error IS NULL").drop("error")
+    lines = numbered(read_table(ranges(listed)))
+    return lines.where("value IS NOT NULL").select("path", "line_no", "value", "mtime")
 
-def hidden_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root`` that Spark's readers skip because of their name.
 
-    Land such files under a visible name and keep the original one in ``path``.
-    """
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(root)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    listing = fs.listFiles(where, True)
-    skipped = []
-    while listing.hasNext():
-        status = listing.next()
-        path = status.getPath()
-        parts = path.toString()[len(fs.makeQualified(where).toString()):].strip("/").split("/")
-        if any(part.startswith((".", "_")) for part in parts):
-            skipped.append((path.toUri().getPath(), status.getLen()))
-    return spark.createDataFrame(skipped, "path string, size long")
+def unreadable(lines: DataFrame) -> DataFrame:
+    """(path, error): files whose reading ended with an error, from a table of lines."""
+    return lines.where("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("error"))
 
 
 # Leading bytes (hex) and the kind they name; first match wins.
@@ -125,13 +89,15 @@ def file_kind(header: Column) -> Column:
 
 
 def inventory(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per distinct (path, sha256): kind, size, mtime, header, content."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(list(paths) if not isinstance(paths, str) else paths)
+    """One row per file: path, sha256, kind, size, mtime, header, error.
+
+    The bytes pass by for the digest and are not kept; a file that cannot be read has its
+    error and no digest.
+    """
+    found = digests(list_files(spark, paths)).filter(~F.col("path").contains("/__pycache__/"))
+    return found.select(
+        "path", "sha256", file_kind(F.col("header")).alias("kind"), "size", "mtime", "header", "error"
     )
-    return inventory_of(files.withColumn("path", plain_path(F.col("path"))))
 
 
 def inventory_of(files: DataFrame) -> DataFrame:

