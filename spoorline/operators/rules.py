@@ -743,3 +743,22 @@ def skipped_rules(events: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     return events.sparkSession.createDataFrame(
         compile_rules(rules).skipped, "rule string, cause string"
     )
+
+
+def rule_diagnostics(
+    events: DataFrame, rules: Sequence[Mapping], limit: int = 200
+) -> DataFrame:
+    """(rule, cause, hits, capped) of every rule: skipped with its cause, or evaluated."""
+    spark = events.sparkSession
+    names = [(rule_name(rule),) for rule in rules]
+    listed = spark.createDataFrame(names, "rule string").distinct()
+    counts = hit_counts(evaluate_rules(events, rules), limit)
+    return (
+        listed.join(F.broadcast(skipped_rules(events, rules)), "rule", "left")
+        .join(counts, "rule", "left")
+        .select(
+            "rule", or_blank(F.col("cause")).alias("cause"),
+            F.coalesce("hits", F.lit(0)).cast("long").alias("hits"),
+            F.coalesce("capped", F.lit(False)).alias("capped"),
+        )
+    )

@@ -31,7 +31,7 @@ from spoorline.plans import derived as d
 from spoorline.plans import samples
 from spoorline.session import prepare
 from spoorline.sinks import exports
-from spoorline.sources import bodyfile, config, history, lines, mongod, registry, syslog, winevents
+from spoorline.sources import bodyfile, config, files, history, lines, mongod, registry, syslog, winevents
 from spoorline.sources import text as plain
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,6 +317,15 @@ def rule_counts(spark, sf):
     return rul.hit_counts(hits, 200).withColumn("capped", F.col("capped").cast("int"))
 
 
+@query
+def rule_diagnostics(spark, sf):
+    """Every rule: why it is not evaluated, or how many events it matched."""
+    events = d.app_events(spark, sf)
+    return rul.rule_diagnostics(events, [*samples.EVENT_RULES, *samples.UNUSABLE_RULES], limit=200).select(
+        "rule", "cause", "hits", F.col("capped").cast("int").alias("capped")
+    )
+
+
 @query
 def rule_corpus(spark, sf):
     """Six hundred unscoped rules, every one evaluated on every event in one scan."""
@@ -759,6 +768,56 @@ def case_summary(spark, sf):
     return agg.case_summary(_status(spark, sf), events, rul.findings(hits), iocs)
 
 
+@query
+def dotfile_history(spark, sf):
+    """Shell histories as real files with hidden names, found and read by ranges."""
+    folder, _ = d.stored_history(spark, sf)
+    read = lines.read_lines(spark, folder)
+    events = history.history_events(read.withColumn("path", files.case_path(F.col("path"), folder)))
+    return events.select(
+        "artifact_path", "user", "severity", "title", "details", _join("attck"), _join("tags"),
+        F.when(F.col("ts_desc") == "Command run", F.col("ts")).otherwise("").alias("ts"),
+    )
+
+
+@query
+def stored_inventory(spark, sf):
+    """Files listed, digested and routed without a row that holds one."""
+    folder, _ = d.stored_files(spark, sf)
+    rows = lines.route(lines.inventory(spark, folder))
+    return rows.select(
+        files.case_path(F.col("path"), folder).alias("path"), "sha256", "kind", "size",
+        or_blank(F.col("parser")).alias("parser"),
+    )
+
+
+@query
+def signature_chunks(spark, sf):
+    """Signatures over the same files in chunks of 4 KB, strings over an edge included."""
+    folder, _ = d.stored_files(spark, sf)
+    hits = sig.scan_files(
+        files.list_files(spark, folder).where("error IS NULL").select("path", "size"),
+        samples.PAGE_SIGNATURES, 4096,
+    )
+    return hits.select(
+        files.case_path(F.col("path"), folder).alias("path"), "rule", "severity", _join("strings")
+    )
+
+
+@query
+def artifact_errors(spark, sf):
+    """Files that cannot be unpacked: their status says so, and the rest is read."""
+    folder, _ = d.stored_notes(spark, sf)
+    found = number_artifacts(lines.route(lines.inventory(spark, folder)))
+    texts = found.where("error IS NULL AND parser IS NOT NULL").select("path", "size", "artifact_id")
+    read = files.read_table(files.ranges(texts))
+    status = agg.artifact_status(found.drop("error"), read.where("value IS NOT NULL"), lines.unreadable(read))
+    return status.select(
+        files.case_path(F.col("path"), folder).alias("path"), "status", "event_count",
+        or_blank(F.substring_index("error", ":", 1)).alias("error"),
+    )
+
+
 # --- context and answers ---------------------------------------------------------------------
 
 

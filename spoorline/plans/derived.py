@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from spoorline.functions.text import SEP, payload, strings
 from spoorline.operators.normalize import normalize
+from spoorline.session import shared_folder, written
+from spoorline.sources.files import save_files
 from spoorline.sources.lines import lines_of
 
 COLLECTED = "2024-02-01 00:00:00"
@@ -555,3 +557,32 @@ def page_files(spark: SparkSession, sf: str) -> DataFrame:
         "path", "content", F.length("content").cast("long").alias("length"),
         _collected().alias("modificationTime"),
     )
+
+
+def stored_history(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """The shell histories as real files below a new shared folder, one for each thousand events."""
+    part = F.floor(F.col("line_no") / 4000).cast("long")
+    rows = history_lines(spark, sf).withColumn(
+        "path", F.regexp_replace("path", "^/case", F.concat(F.lit("/case/part"), part.cast("string")))
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "value")))
+    text = F.concat(F.array_join(F.transform(ordered, lambda r: r["value"]), "\n"), F.lit("\n"))
+    return _stored(rows.groupBy("path").agg(text.alias("content")), "history")
+
+
+def stored_files(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """The page files below a new shared folder."""
+    return _stored(page_files(spark, sf).select("path", "content"), "files")
+
+
+def stored_notes(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """Documents as files; every fifth has the name of a packed file, which it is not."""
+    path = F.when(F.col("doc_id") % 5 == 0, _t("/case/packed/.", F.col("doc_id"), ".gz")).otherwise(
+        _t("/case/notes/_", F.col("doc_id"), ".txt")
+    )
+    return _stored(load(spark, sf, "documents").select(path.alias("path"), F.col("text").alias("content")), "notes")
+
+
+def _stored(rows: DataFrame, name: str) -> tuple[str, DataFrame]:
+    folder = shared_folder(rows.sparkSession, name)
+    return folder, written(save_files(rows, folder), "saved")

@@ -267,6 +267,12 @@ SQL["rule_cap"] = f"""WITH {_HITS} SELECT rule, hit_no, id FROM (SELECT *, row_n
   (PARTITION BY rule ORDER BY id) AS hit_no FROM h) WHERE hit_no <= 20"""
 SQL["rule_counts"] = f"""WITH {_HITS} SELECT rule, count(*) AS hits,
   CASE WHEN count(*) > 200 THEN 1 ELSE 0 END AS capped FROM h GROUP BY 1"""
+SQL["rule_diagnostics"] = f"""WITH {_HITS}, c AS (SELECT rule, count(*) AS hits FROM h GROUP BY 1),
+r AS (SELECT * FROM (VALUES ('r1', ''), ('r2', ''), ('r3', ''), ('r4', ''), ('r5', 'foreign product'),
+  ('r6', 'modifier [' || chr(39) || 'near' || chr(39) || ']'), ('u1', 'aggregation'), ('u2', 'pattern ' || chr(39) || '(5' || chr(39)), ('u3', 'no condition or no selection'),
+  ('u4', '')) AS t(rule, cause))
+SELECT r.rule, cause, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) > 200 THEN 1 ELSE 0 END AS capped
+FROM r LEFT JOIN c ON c.rule = r.rule"""
 SQL["rule_corpus"] = app(
     "SELECT id, 'c' || (k + 100 * (user_id % 10)) AS rule FROM ev WHERE user_id % 10 < 6"
 )
@@ -626,6 +632,21 @@ SELECT {_SHELL_ID} AS id, CASE WHEN timed THEN tst ELSE strftime(TIMESTAMP '2024
     WHEN 'purchase' THEN 'a whole database was written out' WHEN 'signup' THEN 'accounts were changed by hand'
     ELSE '' END AS why,
   CASE WHEN o = 0 THEN 'history/bash' ELSE 'history/zsh' END AS source_artifact FROM hs"""
+SQL["dotfile_history"] = f"""WITH {_HIST},
+pl AS (
+  SELECT *, '/case/part' || (event_id // 1000) || CASE WHEN o = 0 THEN '/root/.bash_history' ELSE '/home/u' || o || '/.zsh_history' END
+    AS artifact_path, sum(CASE WHEN k % 4 = 0 THEN 3 ELSE 1 END) OVER (PARTITION BY o, event_id // 1000 ORDER BY event_id) AS place FROM hs)
+SELECT artifact_path, owner AS "user",
+  CASE event_type WHEN 'error' THEN 'high' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'med'
+    WHEN 'view' THEN 'low' ELSE 'info' END AS severity,
+  CASE event_type WHEN 'error' THEN 'Download piped straight into a shell' WHEN 'purchase' THEN 'Database dump'
+    WHEN 'signup' THEN 'Account created or modified' WHEN 'view' THEN 'Host discovery'
+    ELSE 'Command typed by ' || owner END AS title,
+  'Cmd: ' || cmd || ' ¦ User: ' || owner || ' ¦ Line: ' || place AS details,
+  CASE event_type WHEN 'error' THEN 'T1059.004 T1105' WHEN 'purchase' THEN 'T1005 T1030' WHEN 'signup' THEN 'T1136.001'
+    WHEN 'view' THEN 'T1082' ELSE '' END AS attck,
+  CASE WHEN event_type IN ('error', 'purchase') THEN 'shell_history suspicious' ELSE 'shell_history' END AS tags,
+  CASE WHEN timed THEN tst ELSE '' END AS ts FROM pl"""
 SQL["diagnostics"] = f"""WITH {_FACTS}
 SELECT '/case/db' || (user_id % 3) || '/var/log/mongodb/mongod.log' AS path, 'not a JSON record' AS cause, count(*) AS lines
   FROM f WHERE k = 99 GROUP BY 1
@@ -856,6 +877,23 @@ sx AS (
     CASE WHEN parser = '' THEN 0 ELSE size % 3 + 1 END AS event_count FROM st)"""
 SQL["inventory"] = f"WITH {_KINDS} SELECT path, sha256(content) AS sha256, kind, size FROM sx"
 SQL["route"] = f"WITH {_KINDS} SELECT path, parser, confidence FROM sx"
+SQL["stored_inventory"] = f"WITH {_KINDS} SELECT path, sha256(content) AS sha256, kind, size, parser FROM sx"
+SQL["signature_chunks"] = (
+    f"WITH {_FILES}, pg AS (SELECT path AS page_id, coalesce(body, '') AS html FROM files), "
+    + _SIGNS.format(table="pg").strip() + " SELECT page_id AS path, rule, severity, strings FROM hit"
+)
+SQL["artifact_errors"] = """
+WITH n AS (
+  SELECT doc_id, coalesce(text, '') AS t, encode(coalesce(text, '')) AS b, doc_id % 5 = 0 AS packed FROM documents),
+h AS (
+  SELECT *, least(512, octet_length(b)) AS size, list_sum(list_transform(range(1, least(512, octet_length(b)) + 1), lambda i:
+    CASE WHEN hex(b[i:i]) BETWEEN '20' AND '7E' OR hex(b[i:i]) BETWEEN '09' AND '0D' THEN 1 ELSE 0 END)) AS good FROM n),
+s AS (SELECT *, size > 0 AND good / size > 0.85 AS read FROM h)
+SELECT CASE WHEN packed THEN '/case/packed/.' || doc_id || '.gz' ELSE '/case/notes/_' || doc_id || '.txt' END AS path,
+  CASE WHEN NOT read THEN 'unsupported' WHEN packed THEN 'error' ELSE 'parsed' END AS status,
+  CASE WHEN read AND NOT packed THEN len(string_split(t, chr(10))) - CASE WHEN t LIKE '%' || chr(10) THEN 1 ELSE 0 END
+    ELSE 0 END::BIGINT AS event_count,
+  CASE WHEN read AND packed THEN 'BadGzipFile' ELSE '' END AS error FROM s"""
 SQL["event_files"] = f"WITH {_KINDS} SELECT kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM sx GROUP BY 1"
 SQL["artifact_status"] = f"WITH {_KINDS} SELECT path, status, event_count FROM sx"
 SQL["sweepings"] = f"""WITH {_KINDS} SELECT count(*) FILTER (path LIKE '%.pem') AS sweepings,

@@ -126,6 +126,14 @@ TEMPLATES = [
     ),
 ]
 
+# Rules that cannot be evaluated, each for another cause.
+UNUSABLE_RULES = [
+    {"title": "Counted", "id": "u1", "detection": {"s": {"k": "1"}, "condition": "s | count() > 5"}},
+    {"title": "Bad pattern", "id": "u2", "detection": {"s": {"value|re": "(5"}, "condition": "s"}},
+    {"title": "No condition", "id": "u3", "detection": {"s": {"k": "1"}}},
+    {"title": "Never true", "id": "u4", "detection": {"s": {"k": "1000"}, "condition": "s"}},
+]
+
 QUESTIONS = [
     "What is the attacker IP?",
     "Which account was compromised?",

@@ -353,7 +353,7 @@ def save_files(rows: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 system, inner = opened(f"{folder.rstrip('/')}/{row['path'].lstrip('/')}")
                 system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(inner) as out:
+                with system.open_output_stream(inner, compression=None) as out:
                     out.write(row["content"] or b"")
                 sizes.append(len(row["content"] or b""))
             yield pa.RecordBatch.from_arrays([batch["path"], pa.array(sizes, pa.int64())], names=["path", "bytes"])
