@@ -13,7 +13,8 @@ from spoorline.operators.context import derive_context
 from spoorline.operators.indicators import sweep
 from spoorline.operators.normalize import number_artifacts, union_events
 from spoorline.operators.rarity import rarity_promote
-from spoorline.operators.rules import evaluate_rules, findings, hit_events, skipped_rules
+from spoorline.operators.rulebook import evaluate_book
+from spoorline.operators.rules import findings, hit_events, skipped_rules
 from spoorline.operators.signatures import signature_files
 from spoorline.session import written
 from spoorline.sinks.exports import write_events
@@ -98,7 +99,7 @@ def analyze(
 
     hits = []
     if rules:
-        hits.append(hit_events(evaluate_rules(events, rules)))
+        hits.append(hit_events(evaluate_book(events, rules)))
     if signatures:
         hits.append(signature_files(artifacts.where("error IS NULL"), signatures))
     if hits:

@@ -22,6 +22,7 @@ from spoorline.operators import correlate as cor
 from spoorline.operators import filters as flt
 from spoorline.operators import indicators as ioc
 from spoorline.operators import rarity as rare
+from spoorline.operators import rulebook as book
 from spoorline.operators import rules as rul
 from spoorline.operators import running as run
 from spoorline.operators import signatures as sig
@@ -333,6 +334,22 @@ def rule_corpus(spark, sf):
     return hits.select("id", "rule")
 
 
+@query
+def rule_corpus_mixed(spark, sf):
+    """2,935 rules of nine kinds as data: one pass, and a plan that does not grow with them."""
+    hits = book.evaluate_book(d.command_events(spark, sf), samples.mixed_corpus())
+    return hits.groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("id").alias("ids")
+    )
+
+
+@query
+def rule_modifiers(spark, sf):
+    """The same kinds, a hundred and eight rules, each as an expression: hits one by one."""
+    hits = rul.evaluate_rules(d.command_events(spark, sf), samples.mixed_corpus(108))
+    return hits.select("id", "rule", "level")
+
+
 @query
 def rule_text_hits(spark, sf):
     """Keyword rules over whole documents."""

@@ -83,6 +83,16 @@ def app_events(spark: SparkSession, sf: str) -> DataFrame:
     return normalize(rows)
 
 
+def command_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The same events with a command line that ends in Base64; ids of one kind in the scope of processes."""
+    code = F.get_json_object(F.to_json("data"), "$.k")
+    user = F.substring("user", 2, 20)
+    line = _t("Tool.exe -N", code, " /U ", user, " ", F.base64(F.encode(_t("id=", user, ";end"), "UTF-8")))
+    return app_events(spark, sf).withColumn(
+        "data", F.map_concat("data", F.create_map(F.lit("command_line"), line))
+    ).withColumn("event_id", F.when(F.col("event_type") == "click", "4688").otherwise(F.col("event_id")))
+
+
 def process_events(spark: SparkSession, sf: str) -> DataFrame:
     """Process starts: many images, routine parents, and parents that live one day."""
     k, user = F.col("k"), F.col("user_id")
@@ -577,7 +587,7 @@ def stored_files(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
 
 def stored_notes(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     """Documents as files; every fifth has the name of a packed file, which it is not."""
-    path = F.when(F.col("doc_id") % 5 == 0, _t("/case/packed/.", F.col("doc_id"), ".gz")).otherwise(
+    path = F.when(F.col("doc_id") % 5 == 0, _t("/case/packed/.n", F.col("doc_id"), ".gz")).otherwise(
         _t("/case/notes/_", F.col("doc_id"), ".txt")
     )
     return _stored(load(spark, sf, "documents").select(path.alias("path"), F.col("text").alias("content")), "notes")

@@ -276,6 +276,33 @@ FROM r LEFT JOIN c ON c.rule = r.rule"""
 SQL["rule_corpus"] = app(
     "SELECT id, 'c' || (k + 100 * (user_id % 10)) AS rule FROM ev WHERE user_id % 10 < 6"
 )
+_MIXED = """,
+cv AS (
+  SELECT *, CAST(k AS VARCHAR) AS ks, CAST(value AS VARCHAR) AS vs, CAST(user_id AS VARCHAR) AS us,
+    'Tool.exe -N' || k || ' /U ' || user_id || ' ' || base64(encode('id=' || user_id || ';end')) AS cmd,
+    CASE WHEN event_type = 'click' THEN '4688' ELSE eid END AS pid FROM ev),
+ru AS (SELECT i, i % 9 AS kind, i // 9 AS n FROM (SELECT unnest(range({size})) AS i)),
+mh AS (
+  SELECT id, 'm' || i AS rule FROM cv JOIN ru ON kind = 0 AND k = n % 100 AND ends_with("user", CAST(n // 100 AS VARCHAR))
+  UNION ALL SELECT id, 'm' || i FROM cv JOIN ru ON kind = 1 AND
+    ((contains(lower(message), 'k: ' || (n % 100) || ' ') AND provider <> 'p' || (n % 3)) OR user_id = n)
+  UNION ALL SELECT id, 'm' || i FROM cv JOIN ru ON kind = 2 AND contains(lower(channel), 'chan3')
+    AND starts_with(vs, (n % 100) || '.') AND ends_with(vs, CAST(n % 10 AS VARCHAR)) AND vs NOT LIKE '%e%'
+    AND length(vs) > length((n % 100) || '.')
+  UNION ALL SELECT id, 'm' || i FROM cv JOIN ru ON kind = 3 AND
+    (user_id = n OR (contains(lower(cmd), '-n' || (n % 100) || ' ') AND contains(lower(cmd), '/u ' || (n % 30))))
+  UNION ALL SELECT id, 'm' || i FROM cv JOIN ru ON kind = 4 AND starts_with("user", 'u' || (n % 100))
+    AND (starts_with(ks, CAST(n % 10 AS VARCHAR)) OR starts_with(ks, '77')) AND ends_with(ks, '3')
+  UNION ALL SELECT id, 'm' || i FROM cv JOIN ru ON kind = 5 AND (contains(lower(cmd), '-n' || (n % 100) || ' ')
+    OR contains(lower(cmd), '/n' || (n % 100) || ' ')) AND ends_with("user", CAST(n // 100 AS VARCHAR))
+  UNION ALL SELECT id, 'm' || i FROM cv JOIN ru ON kind = 6 AND user_id = n
+  UNION ALL SELECT id, 'm' || i FROM cv JOIN ru ON kind = 7 AND pid IN ('4688', '1') AND k = n % 100 AND ends_with("user", '1')
+  UNION ALL SELECT id, 'm' || i FROM cv JOIN ru ON kind = 8 AND event_type = 'signup' AND k = n % 100)"""
+SQL["rule_corpus_mixed"] = app(
+    _MIXED.format(size=2935) + " SELECT rule, count(*) AS n, min(id) AS first_id, max(id) AS last_id, "
+    "CAST(sum(id) AS BIGINT) AS ids FROM mh GROUP BY 1"
+)
+SQL["rule_modifiers"] = app(_MIXED.format(size=108) + " SELECT id, rule, 'low' AS level FROM mh")
 SQL["rule_text_hits"] = """
 SELECT doc_id AS id, 't1' AS rule FROM documents
   WHERE contains(lower(text), 'the') AND contains(lower(text), 'example')
@@ -889,7 +916,7 @@ h AS (
   SELECT *, least(512, octet_length(b)) AS size, list_sum(list_transform(range(1, least(512, octet_length(b)) + 1), lambda i:
     CASE WHEN hex(b[i:i]) BETWEEN '20' AND '7E' OR hex(b[i:i]) BETWEEN '09' AND '0D' THEN 1 ELSE 0 END)) AS good FROM n),
 s AS (SELECT *, size > 0 AND good / size > 0.85 AS read FROM h)
-SELECT CASE WHEN packed THEN '/case/packed/.' || doc_id || '.gz' ELSE '/case/notes/_' || doc_id || '.txt' END AS path,
+SELECT CASE WHEN packed THEN '/case/packed/.n' || doc_id || '.gz' ELSE '/case/notes/_' || doc_id || '.txt' END AS path,
   CASE WHEN NOT read THEN 'unsupported' WHEN packed THEN 'error' ELSE 'parsed' END AS status,
   CASE WHEN read AND NOT packed THEN len(string_split(t, chr(10))) - CASE WHEN t LIKE '%' || chr(10) THEN 1 ELSE 0 END
     ELSE 0 END::BIGINT AS event_count,

@@ -159,3 +159,35 @@ def rule_corpus(size: int = 600) -> list[dict]:
         }
         for i in range(size)
     ]
+
+
+def mixed_corpus(size: int = 2935) -> list[dict]:
+    """As many rules as a large public corpus, of nine kinds: lists, patterns, scopes, modifiers."""
+    def detection(i: int) -> dict:
+        kind, n = i % 9, i // 9
+        if kind == 0:
+            return {"number": {"k": str(n % 100)}, "user": {"User|endswith": str(n // 100)}, "condition": "number and user"}
+        if kind == 1:
+            return {"a": {"Message|contains": f"k: {n % 100} "}, "b": {"provider": f"p{n % 3}"}, "u": {"User": f"u{n}"},
+                    "condition": "a and not b or u"}
+        if kind == 2:
+            return {"s": {"value|re": f"^{n % 100}\\.[0-9]*{n % 10}$"}, "condition": "s"}
+        if kind == 3:
+            return {"s": [{"User": f"u{n}"}, {"CommandLine|contains|all": [f"-n{n % 100} ", f"/u {n % 30}"]}], "condition": "s"}
+        if kind == 4:
+            return {"a": {"User": f"u{n % 100}*"}, "b": {"k|startswith": [str(n % 10), "77"]}, "f": {"Absent": None, "k|endswith": "3"},
+                    "condition": "all of them"}
+        if kind == 5:
+            return {"s": {"CommandLine|contains|windash": f"-n{n % 100} "}, "u": {"User|endswith": f"{n // 100}"}, "condition": "s and u"}
+        if kind == 6:
+            return {"s": {"CommandLine|base64offset|contains": f"id={n};end"}, "condition": "s"}
+        if kind == 7:
+            return {"s": {"CommandLine|contains|cased": f"-N{n % 100} "}, "t": {"CommandLine|contains|cased": f"-n{n % 100} "},
+                    "u": {"User|endswith": "1"}, "condition": "1 of s* and u and not t"}
+        return {"words": [f"Signup ¦ k: {n % 100} ", "no such text"], "condition": "words"}
+
+    scopes = ({}, {}, {"service": "chan3"}, {}, {}, {}, {}, {"category": "process_creation"}, {})
+    return [
+        {"title": f"Mixed rule {i}", "id": f"m{i}", "level": "low", "logsource": scopes[i % 9], "detection": detection(i)}
+        for i in range(size)
+    ]
