@@ -30,10 +30,11 @@ from spoorline.operators.normalize import number_artifacts, union_events
 from spoorline.operators.textkind import classify_text
 from spoorline.plans import derived as d
 from spoorline.plans import samples
-from spoorline.session import prepare
+from spoorline.session import prepare, shared_folder
 from spoorline.sinks import exports
 from spoorline.sources import bodyfile, config, files, history, lines, mongod, registry, syslog, winevents
 from spoorline.sources import text as plain
+from spoorline.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -273,6 +274,32 @@ def notable_total(spark, sf):
     return cor.notable_total(d.app_events(spark, sf))
 
 
+@query
+def stream_logins(spark, sf):
+    """Logins after failures over files that arrive out of order; what comes too late is left out."""
+    folder, like = d.login_arrivals(spark, sf)
+    stream = stateful.logins_as_they_come(stateful.arriving(spark, folder, like), "11 days")
+    out = shared_folder(spark, "counted")
+    stateful.run_to_end(stream, out, shared_folder(spark, "state"))
+    return spark.read.parquet(out).filter("source <> 'flush'").select(
+        "source", "account", "line_no", "attempt", "prior_failures", F.col("cracked").cast("int").alias("cracked")
+    )
+
+
+@query
+def stream_sessions(spark, sf):
+    """Bursts of a source over the same arriving files, as sessions without a gap of six hours."""
+    folder, like = d.login_arrivals(spark, sf)
+    stream = stateful.flood_sessions(
+        stateful.arriving(spark, folder, like), keys=["source"], at="event_time", gap="6 hours", minimum=2, delay="11 days"
+    )
+    out = shared_folder(spark, "sessions")
+    stateful.run_to_end(stream, out, shared_folder(spark, "state"))
+    return spark.read.parquet(out).select(
+        "source", "connections", F.unix_micros("first_time").alias("first_us"), F.unix_micros("last_time").alias("last_us")
+    )
+
+
 @query
 def forward_fill(spark, sf):
     """Last and first user turn known at each turn of a conversation."""

@@ -15,6 +15,7 @@ from spoorline.operators.normalize import normalize
 from spoorline.session import shared_folder, written
 from spoorline.sources.files import save_files
 from spoorline.sources.lines import lines_of
+from spoorline.streaming.stateful import delayed
 
 COLLECTED = "2024-02-01 00:00:00"
 
@@ -596,3 +597,29 @@ def stored_notes(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
 def _stored(rows: DataFrame, name: str) -> tuple[str, DataFrame]:
     folder = shared_folder(rows.sparkSession, name)
     return folder, written(save_files(rows, folder), "saved")
+
+
+def login_arrivals(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """Login attempts as files that arrive: six slices of time, shuffled inside, the first two
+    swapped; some rows of those two come last of all, behind every watermark; then rows of
+    later months, which let the watermark pass the rest.
+    """
+    kind, k = F.col("event_type"), F.col("k")
+    rows = facts(spark, sf)
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    piece = delayed(F.col("at"), 6, F.lit(first), F.lit(last))
+    table = rows.select(
+        _t("10.7.0.", F.col("user_id") % 40).alias("source"), _t("u", k % 12).alias("account"),
+        F.col("event_id").alias("line_no"), F.col("at").alias("event_time"),
+        kind.isin("error", "click").alias("failed"), (kind == "purchase").alias("accepted"), (k % 5 == 0).alias("exempt"),
+        F.when((piece < 2) & (k == 99), 6).otherwise(piece).alias("piece"),
+    )
+    table = written(table, "logins")
+    folder = shared_folder(spark, "arrivals")
+    for number in (1, 0, 2, 3, 4, 5, 6):
+        part = table.where(F.col("piece") == number).drop("piece")
+        part.orderBy(F.xxhash64("line_no")).coalesce(1).write.mode("append").parquet(folder)
+    for month in ("2030-01-01", "2031-01-01"):
+        flush = table.limit(1).drop("piece").withColumn("source", F.lit("flush")).withColumn("event_time", F.lit(month).cast("timestamp"))
+        flush.coalesce(1).write.mode("append").parquet(folder)
+    return folder, table.drop("piece")

@@ -981,6 +981,23 @@ SELECT strftime(ts, '%m/%d/%Y') AS date, strftime(ts, '%H:%M:%S') AS time, 'UTC'
   source_artifact AS sourcetype, 'Logged' AS type, "user", host, left(message, 80) AS short, message AS "desc", '2' AS version,
   '' AS filename, '-' AS inode, attck AS notes, parser AS format FROM ev""")
 
+# --- streams: what came behind the watermark is left out ---
+_ARRIVED = """,
+sl AS (SELECT *, (us - (SELECT min(us) FROM f)) * 6 // ((SELECT max(us) - min(us) FROM f) + 1) AS piece FROM f),
+ar AS (SELECT '10.7.0.' || (user_id % 40) AS source, 'u' || (k % 12) AS account, event_id AS line_no, us,
+  CASE WHEN event_type IN ('error', 'click') THEN 1 ELSE 0 END AS failed, event_type = 'purchase' AND k % 5 <> 0 AS entered
+  FROM sl WHERE NOT (piece < 2 AND k = 99))"""
+SQL["stream_logins"] = f"""WITH {_FACTS}{_ARRIVED}
+SELECT source, account, line_no, CAST(prior + failed AS BIGINT) AS attempt, CAST(prior AS BIGINT) AS prior_failures,
+  CASE WHEN entered AND own > 0 THEN 1 ELSE 0 END AS cracked
+FROM (SELECT *, coalesce(sum(failed) OVER (PARTITION BY source ORDER BY us, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior,
+  coalesce(sum(failed) OVER (PARTITION BY source, account ORDER BY us, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own
+  FROM ar)"""
+SQL["stream_sessions"] = f"""WITH {_FACTS}{_ARRIVED},
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY source ORDER BY us) <= 21600000000 THEN 0 ELSE 1 END AS new FROM ar),
+n AS (SELECT *, sum(new) OVER (PARTITION BY source ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT source, count(*) AS connections, min(us) AS first_us, max(us) AS last_us FROM n GROUP BY source, session HAVING count(*) >= 2"""
+
 # Ids of all normalizers in one table: as many as rows.
 _COUNTED = {
     "linux_syslog": "syslog_events", "mongodb": "mongod_events", "shell_history": "history_events",
