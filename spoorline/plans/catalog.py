@@ -145,7 +145,7 @@ def attck_summary(spark, sf):
 @query
 def attck_named(spark, sf):
     """Technique counts joined to a techniques dimension (here: the parts table)."""
-    names = d.load(spark, sf, "part").filter(F.col("p_partkey") % 1000 == 78).select(
+    names = d.load(spark, sf, "part").select(
         F.format_string("t10%02d", F.col("p_partkey") % 100).alias("technique_id"),
         F.col("p_name").alias("name"),
         F.col("p_type").alias("tactics"),
@@ -944,6 +944,33 @@ def timeline_rows(spark, sf):
     return exports.timeline_rows(d.app_events(spark, sf))
 
 
+@query
+def written_events(spark, sf):
+    """A case written, its later days replaced, read back: counts by day, and how the files lie."""
+    events = d.app_events(spark, sf)
+    folder = shared_folder(spark, "case")
+    exports.write_events(events, folder)
+    later = F.col("event_date") >= F.lit("2024-01-16").cast("date")
+    exports.write_days(events.where(later).withColumn("title", F.upper("title")), folder)
+    stored = spark.read.parquet(folder).withColumn("file", F.input_file_name())
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return stored.groupBy(F.col("event_date").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"),
+        F.count_if(F.col("title") == F.upper("title")).alias("replaced"),
+        F.min("ts_epoch").alias("first_us"), F.max("ts_epoch").alias("last_us"),
+        (F.count_distinct("file") <= tasks).cast("int").alias("few_files"),
+    )
+
+
+@query
+def exported_json(spark, sf):
+    """The JSON Lines export, read back."""
+    folder = shared_folder(spark, "jsonl")
+    exports.export(d.app_events(spark, sf), folder, "jsonl")
+    back = spark.read.json(folder)
+    return back.select(F.col("id").cast("long").alias("id"), "ts", "event_type", "severity", "message")
+
+
 @query
 def triage_rows(spark, sf):
     return exports.triage_rows(d.app_events(spark, sf)).select("Id", "Level", "Title", "Details")

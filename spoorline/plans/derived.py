@@ -345,7 +345,7 @@ def config_lines(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
             _t("X11Forwarding ", F.when(n % 5 == 0, "yes").otherwise("no")),
         )).alias("__at", "value"),
     ).select("path", (F.col("__at") + 1).cast("long").alias("line_no"), "value")
-    preload = s.filter(n % 2 == 0).select(
+    preload = s.select(
         _t("/case/s", n, "/etc/ld.so.preload").alias("path"), F.lit(1).cast("long").alias("line_no"),
         F.when(n % 10 == 0, _t("/lib/evil", n, ".so")).otherwise("# none").alias("value"),
     )

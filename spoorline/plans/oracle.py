@@ -115,8 +115,8 @@ SQL["attck_summary"] = app(
 SQL["attck_named"] = app(
     "SELECT a.technique_id, a.n, p.name, p.tactics FROM (SELECT technique_id, count(*) AS n FROM "
     "(SELECT unnest(string_split(attck, ' ')) AS technique_id FROM ev WHERE attck <> '') GROUP BY 1) a "
-    "LEFT JOIN (SELECT 'T1078' AS technique_id, min(p_name) AS name, min(p_type) AS tactics FROM part "
-    "WHERE p_partkey % 1000 = 78) p ON a.technique_id = p.technique_id"
+    "LEFT JOIN (SELECT 'T10' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS technique_id, min(p_name) AS name, "
+    "min(p_type) AS tactics FROM part GROUP BY 1) p ON a.technique_id = p.technique_id"
 )
 SQL["coverage"] = app(
     "SELECT CASE WHEN channel = '' THEN source_artifact ELSE channel END AS channel, "
@@ -759,7 +759,7 @@ SELECT '/case/s' || s_suppkey || '/etc/ld.so.preload' AS path,
   CASE WHEN s_suppkey % 10 = 0 THEN 'Libraries forced on every program' ELSE 'ld.so.preload: as it should be' END AS title,
   CASE WHEN s_suppkey % 10 = 0 THEN 'libraries: /lib/evil' || s_suppkey || '.so' ELSE '1 lines read, no risk seen' END AS details,
   CASE WHEN s_suppkey % 10 = 0 THEN 'they are loaded before all others, everywhere' ELSE 'ld.so.preload: as it should be' END AS why,
-  CASE WHEN s_suppkey % 10 = 0 THEN 'T1574.006' ELSE '' END AS attck FROM supplier WHERE s_suppkey % 2 = 0"""
+  CASE WHEN s_suppkey % 10 = 0 THEN 'T1574.006' ELSE '' END AS attck FROM supplier"""
 _SERVICES = r"""
 sv AS (
   SELECT s_suppkey AS n, '/case/s' || s_suppkey || '/etc/mongod.conf' AS path, s_suppkey % 2 = 0 AS open,
@@ -971,6 +971,11 @@ SQL["timeline_rows"] = app("""
 SELECT tst AS "Timestamp", severity AS "Level", title AS "Title", host AS "Host", channel AS "Channel", eid AS "EventID",
   "user" AS "User", details AS "Details", event_type AS "Type", 'Logged' AS "TimestampDesc", attck AS "ATTCK", tags AS "Tags",
   source_artifact AS "Source", '' AS "RecordId", '' AS "ExtraFields", '' AS "ArtifactPath", CAST(id AS VARCHAR) AS "Id" FROM ev""")
+SQL["written_events"] = app("""
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT id) AS ids,
+  count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS replaced, min(ts_epoch) AS first_us, max(ts_epoch) AS last_us, 1 AS few_files
+FROM ev GROUP BY 1""")
+SQL["exported_json"] = app("SELECT id, tst AS ts, event_type, severity, message FROM ev")
 SQL["triage_rows"] = app("""
 SELECT CAST(id AS VARCHAR) AS "Id", severity AS "Level", title AS "Title", details AS "Details" FROM ev WHERE sev_rank >= 2""")
 SQL["timesketch_rows"] = app("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -26,13 +27,48 @@ CSV_COLUMNS = (
 )
 
 
+def _clustered(events: DataFrame):
+    """Rows dealt out by day, host and time: each file holds one stretch of that order.
+
+    Tasks hold ranges, so all days together have at most a file for each task and one more
+    for each day, and a reader of one host or hour opens few of them.
+    """
+    order = ["event_date", "host", "ts_epoch", "id"]
+    return events.repartitionByRange(*order[:3]).sortWithinPartitions(*order).write.partitionBy("event_date")
+
+
 def write_events(events: DataFrame, path: str) -> None:
-    """Replace the case at ``path``: one folder per day, rows in time order inside."""
+    """Replace the case at ``path``, one folder per day.
+
+    The new case is written beside the old one and takes its place only when it is whole: a
+    run that fails leaves the old case as it was. On a file system the change of place is a
+    rename; on an object store give each run a path of its own instead.
+    """
+    spark = events.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    base, run = path.rstrip("/"), uuid.uuid4().hex
+    staged, old = f"{base}_staged_{run}", f"{base}_old_{run}"
+    system = at(base).getFileSystem(conf)
+    try:
+        _clustered(events).parquet(staged)
+    except BaseException:
+        system.delete(at(staged), True)
+        raise
+    if system.exists(at(base)) and not system.rename(at(base), at(old)):
+        raise OSError(f"{base} could not be moved aside")
+    if not system.rename(at(staged), at(base)):
+        system.rename(at(old), at(base))
+        raise OSError(f"{staged} could not take the place of {base}")
+    system.delete(at(old), True)
+
+
+def write_days(events: DataFrame, path: str) -> None:
+    """Replace only the days that ``events`` has; the committer moves them in when all are written."""
     (
-        events.repartitionByRange("event_date", "ts_epoch")
-        .sortWithinPartitions("event_date", "ts_epoch", "id")
-        .write.mode("overwrite")
-        .partitionBy("event_date")
+        _clustered(events)
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
 

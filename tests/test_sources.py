@@ -293,3 +293,21 @@ def test_streamed_files_give_the_same_events(spark, tmp_path):
     run()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 9 and got.filter("severity = 'high'").count() == 2
+
+
+def test_a_failed_write_leaves_the_old_case(spark, tmp_path):
+    from spoorline.operators.normalize import normalize
+
+    rows = normalize(spark.createDataFrame([(i, datetime(2024, 1, 1 + i % 3), f"h{i % 5}") for i in range(60)], "id long, event_time timestamp, host string"))
+    path = str(tmp_path / "case")
+    exports.write_events(rows, path)
+    broken = rows.withColumn("title", F.when(F.col("id") < 100, F.raise_error(F.lit("no"))))
+    with pytest.raises(Exception, match="no"):
+        exports.write_events(broken, path)
+    assert spark.read.parquet(path).count() == 60
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["case"]
+    exports.write_events(rows.filter("id < 30"), path)
+    assert spark.read.parquet(path).count() == 30
+    exports.write_days(rows.filter("event_date = '2024-01-02'"), path)
+    counts = {str(r.event_date): r["count"] for r in spark.read.parquet(path).groupBy("event_date").count().collect()}
+    assert counts == {"2024-01-01": 10, "2024-01-02": 20, "2024-01-03": 10}
