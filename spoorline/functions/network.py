@@ -120,6 +120,38 @@ def ip_tags(value: Column) -> Column:
     ).when(value.rlike(V6_FULL_SHAPE), let(_joined_bits(F.split(value, ":"), 16, 16), v6))
 
 
+def address_bits(value: Column) -> Column:
+    """The family (4 or 6) and the address as bits; null for what is no address.
+
+    IPv6 in any spelling; an IPv4 address mapped into IPv6 is the IPv4 address.
+    """
+    def v6(text: Column) -> Column:
+        def groups(halves: Column) -> Column:
+            some = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+            left, right = some(F.get(halves, F.lit(0))), some(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+            short = F.size(halves) == 2
+            gap = F.lit(8) - F.size(left) - F.size(right)
+            whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
+            sound = F.when(short, gap >= 1).otherwise(gap == 0) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+            return F.when(sound, F.concat(F.lit("6"), _joined_bits(whole, 16, 16)))
+        return F.when(~text.rlike("::.*::"), let(F.split(text, "::"), groups))
+
+    def family(text: Column) -> Column:
+        bare = F.regexp_replace(text, "^::ffff:(?=[0-9]+[.])", "")
+        return F.when(bare.rlike(V4_SHAPE), F.concat(F.lit("4"), _joined_bits(F.split(bare, r"\."), 10, 8))).when(
+            text.rlike("^[0-9a-f:]+$") & text.contains(":"), v6(text)
+        )
+
+    return let(F.lower(F.trim(value)), family)
+
+
+def network_bits(network: Column) -> Column:
+    """The bits every address of a network (``address/length``, or one address) begins with."""
+    bits = address_bits(F.substring_index(network, "/", 1))
+    length = F.when(network.contains("/"), F.substring_index(network, "/", -1).try_cast("int")).otherwise(128)
+    return F.left(bits, length + 1)
+
+
 def normalize_ip(value: Column) -> Column:
     """Comparable spelling: blanks dropped, mapped and loopback forms as IPv4."""
     return let(

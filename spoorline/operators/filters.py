@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -120,13 +121,26 @@ def timeline(events: DataFrame, wanted: EventFilter = EventFilter()) -> DataFram
     return in_order(events.filter(events_where(wanted, _day(events))), wanted.order, wanted.limit)
 
 
+@lru_cache(maxsize=1)
+def accents() -> tuple[str, str]:
+    """All lower-case letters of the basic plane that are a letter and marks, and those letters.
+
+    From the decompositions of the Unicode character data; three stroked letters, which have
+    none there, count as their base as well.
+    """
+    pairs = {"đ": "d", "ł": "l", "ø": "o"}
+    for code in (*range(0xC0, 0xD800), *range(0xF900, 0x10000)):
+        letter = chr(code)
+        base, *marks = unicodedata.normalize("NFD", letter)
+        if marks and letter == letter.lower() and base.isalpha() and all(unicodedata.category(m) == "Mn" for m in marks):
+            pairs[letter] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
 def folded(text: Column) -> Column:
     """Lower case without accents, every run of other characters one blank."""
-    # Accented Latin letters and their base letters.
-    accented = "àáâãäåāăąçćčďđèéêëēėęěìíîïīįłñńňòóôõöøōřśšťùúûüūůűýÿźżž"
-    plain = "aaaaaaaaacccddeeeeeeeeiiiiiilnnnooooooorsstuuuuuuuyyzzz"
-    lowered = F.translate(F.lower(or_blank(text)), accented, plain)
-    return F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N}]+", " "))
+    bare = F.regexp_replace(F.translate(F.lower(or_blank(text)), *accents()), r"[\u0300-\u036f]+", "")
+    return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
 
 
 _QUERY_PARTS = re.compile(r'"([^"]*)"|(\S+)')

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.network import (
+    address_bits,
     allowlisted,
     domain_ok,
     host_of,
     ip_tags,
+    network_bits,
     refang,
     suffixes,
 )
@@ -134,6 +136,32 @@ def tag_from_table(
     return joined.withColumn("tags", tagged).drop("__listed").select(*indicators.columns)
 
 
+def tag_networks(indicators: DataFrame, networks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``network``: the label of the longest network that holds the address, else null.
+
+    ``networks``: (network, label), of any size; of equal networks the least label counts.
+    Each distinct address is looked up once for every prefix length that the table has (at
+    most 33 and 129), so the join is on equal prefixes.
+    """
+    known = (
+        networks.select(network_bits(F.col("network")).alias("prefix"), "label")
+        .where("prefix IS NOT NULL")
+        .groupBy("prefix")
+        .agg(F.min("label").alias("label"))
+    )
+    found = known.select(F.left("prefix", F.lit(1)).alias("f"), F.length("prefix").alias("n")).distinct().collect()
+    lengths = {f: sorted(r.n for r in found if r.f == f) for f in ("4", "6")}
+    cuts = lambda f: F.array(*[F.left("bits", F.lit(n)) for n in lengths[f]]).cast("array<string>")
+    addresses = indicators.where(F.col("type").isin("ipv4", "ipv6")).select("value").distinct()
+    keyed = addresses.select("value", address_bits(F.col("value")).alias("bits")).select(
+        "value", F.explode(F.when(F.col("bits").startswith("4"), cuts("4")).otherwise(cuts("6"))).alias("prefix")
+    )
+    best = keyed.join(known, "prefix").groupBy("value").agg(F.max_by("label", F.length("prefix")).alias("network"))
+    from spoorline.operators.skew import salted_join
+
+    return salted_join(indicators, best, ["value"], list(keys))
+
+
 def event_text(events: DataFrame, include_raw: bool = True) -> Column:
     parts = [F.col("message"), F.concat_ws("\n", F.map_values("data"))]
     if include_raw:

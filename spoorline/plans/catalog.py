@@ -108,6 +108,14 @@ def search_words(spark, sf):
     return flt.search_tokens(docs, "the and", ["text"]).select("doc_id")
 
 
+@query
+def search_accents(spark, sf):
+    """The same words where every vowel carries marks, and other marks in what is asked."""
+    docs = d.load(spark, sf, "documents")
+    marked = docs.withColumn("text", F.translate("text", "aeouAEO", "ắễởụẮỄỞ"))
+    return flt.search_tokens(marked, "THẾ ánd", ["text"]).select("doc_id")
+
+
 @query
 def search_phrase(spark, sf):
     docs = d.load(spark, sf, "documents")
@@ -439,10 +447,21 @@ def indicators(spark, sf):
 
 @query
 def indicators_ipv6(spark, sf):
-    rows = _document_links(spark, sf).filter(F.col("type") == "ipv6")
+    """IPv6 addresses of the documents and of log lines that name some."""
+    lines_ = ioc.extract_indicators(d.address_lines(spark, sf), "text", ["doc_id"])
+    rows = _document_links(spark, sf).unionByName(lines_).filter(F.col("type") == "ipv6")
     return rows.select("doc_id", "value", _join("tags"))
 
 
+@query
+def indicator_networks(spark, sf):
+    """Addresses of log lines with the narrowest network of the suppliers that holds them."""
+    links = ioc.extract_indicators(d.address_lines(spark, sf), "text", ["doc_id"])
+    return ioc.tag_networks(links, d.networks(spark, sf), ["doc_id", "value"]).select(
+        "doc_id", "type", "value", or_blank(F.col("network")).alias("network")
+    )
+
+
 @query
 def indicators_pages(spark, sf):
     """Indicators of whole pages: address and markup."""

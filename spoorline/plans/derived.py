@@ -623,3 +623,23 @@ def login_arrivals(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
         flush = table.limit(1).drop("piece").withColumn("source", F.lit("flush")).withColumn("event_time", F.lit(month).cast("timestamp"))
         flush.coalesce(1).write.mode("append").parquet(folder)
     return folder, table.drop("piece")
+
+
+def address_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text): log lines that name an IPv4 and an IPv6 address, one for each event."""
+    k, user = F.col("k"), F.col("user_id")
+    six = _t("2001:db8:", F.lower(F.hex(user % 30)), ":", F.lower(F.hex(k)), ":0:0:0:1")
+    local = _t("fe80:0:0:0:0:0:0:", F.lower(F.hex(k + 1)))
+    return facts(spark, sf).select(
+        F.col("event_id").alias("doc_id"),
+        _t("peer 10.", k % 4, ".", user % 20, ".", k, " by ", six, F.when(k % 10 == 0, _t(" on ", local)).otherwise("")).alias("text"),
+    )
+
+
+def networks(spark: SparkSession, sf: str) -> DataFrame:
+    """(network, label): a wide, a narrow and an IPv6 network of every supplier."""
+    n = F.col("s_suppkey")
+    nets = F.array(
+        _t("10.", n % 8, ".0.0/16"), _t("10.", n % 4, ".", n % 256, ".0/24"), _t("2001:db8:", F.lower(F.hex(n)), "::/48")
+    )
+    return load(spark, sf, "supplier").select(F.explode(nets).alias("network"), F.col("s_name").alias("label"))

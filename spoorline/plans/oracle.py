@@ -94,6 +94,7 @@ SQL["search_words"] = (
     f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) "
     "WHERE contains(t, ' the ') AND contains(t, ' and ')"
 )
+SQL["search_accents"] = SQL["search_words"]
 SQL["search_phrase"] = (
     f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) "
     "WHERE contains(t, ' of the ') AND contains(t, ' re')"
@@ -961,6 +962,18 @@ SELECT event_type AS answer, count(*) AS n, min(us) AS first_at, arg_min(event_i
     ELSE greatest(0.45, 1.0 - ((SELECT count(DISTINCT event_type) FROM f) - 1) * 0.12) END), 2) AS confidence
 FROM f GROUP BY 1 ORDER BY first_at, first_id LIMIT 5""")
 
+_ADDRESSED = """,
+al AS (SELECT event_id, k, user_id, '2001:db8:' || lower(to_hex(user_id % 30)) || ':' || lower(to_hex(k)) || ':0:0:0:1' AS six,
+  '10.' || (k % 4) || '.' || (user_id % 20) || '.' || k AS four, 'fe80:0:0:0:0:0:0:' || lower(to_hex(k + 1)) AS here FROM f),
+ad AS (SELECT event_id AS doc_id, 'ipv4' AS type, four AS value, k, user_id FROM al
+  UNION ALL SELECT event_id, 'ipv6', six, k, user_id FROM al UNION ALL SELECT event_id, 'ipv6', here, k, -1 FROM al WHERE k % 10 = 0)"""
+SQL["indicators_ipv6"] = f"WITH {_FACTS}{_ADDRESSED} SELECT doc_id, value, 'private' AS tags FROM ad WHERE type = 'ipv6'"
+SQL["indicator_networks"] = f"""WITH {_FACTS}{_ADDRESSED},
+wide AS (SELECT s_suppkey % 8 AS a, min(s_name) AS label FROM supplier GROUP BY 1),
+narrow AS (SELECT s_suppkey % 4 AS a, s_suppkey % 256 AS b, min(s_name) AS label FROM supplier GROUP BY 1, 2)
+SELECT doc_id, type, value, coalesce(CASE WHEN type = 'ipv6' THEN s.s_name ELSE coalesce(narrow.label, wide.label) END, '') AS network
+FROM ad LEFT JOIN wide ON type = 'ipv4' AND wide.a = k % 4 LEFT JOIN narrow ON type = 'ipv4' AND narrow.a = k % 4 AND narrow.b = user_id % 20
+  LEFT JOIN supplier s ON type = 'ipv6' AND user_id >= 0 AND s.s_suppkey = user_id % 30"""
 SQL["indicator_allowlist"] = r"""
 WITH u AS (SELECT page_id, regexp_replace(regexp_extract(url, '(?i)\b(?:https?|ftps?)://[^\s"''<>\\)\]}]+', 0), '[.,;:)\]}"'']+$', '') AS value FROM pages)
 SELECT page_id, 'url' AS type, value, CASE WHEN EXISTS (SELECT 1 FROM pages WHERE contains(url, 'example.com')) AND

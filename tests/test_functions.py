@@ -152,3 +152,30 @@ def test_paths(spark):
     assert [o["o"] for o in owners] == ["ann", "root", ""]
     homes = one(spark, ["/root/.ssh/k", "/c/home/bo/.ssh/k", "/etc/x"], o=paths.home_owner(F.col("v")))
     assert [o["o"] for o in homes] == ["root", "bo", ""]
+
+
+def test_addresses_and_networks_as_bits(spark):
+    import ipaddress
+
+    from spoorline.functions.network import address_bits, network_bits
+
+    good = ["10.1.2.3", "0.0.0.0", "::", "::1", "1::", "2001:db8::8:800:200C:417A", "1:2:3:4:5:6:7:8", "fe80::1:2", "1:2:3:4:5:6:7::"]
+    bad = ["1.2.3", "256.1.1.1", "1:2:3", "1::2::3", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8::", "g::1", "", None, ":", "12345::"]
+    rows = spark.createDataFrame([(v,) for v in good + bad], "v string").select("v", address_bits(F.col("v")).alias("b")).collect()
+    for r in rows:
+        if r.v in bad:
+            assert r.b is None, r
+        else:
+            ip = ipaddress.ip_address(r.v)
+            assert r.b == f"{ip.version}" + format(int(ip), f"0{ip.max_prefixlen}b")
+    mapped = spark.range(1).select(address_bits(F.lit("::FFFF:10.0.0.1")).alias("m"), network_bits(F.lit("10.0.0.0/8")).alias("n"),
+                                   network_bits(F.lit("::1")).alias("h"), network_bits(F.lit("x/8")).alias("x")).first()
+    assert mapped.m == "4" + format(0x0A000001, "032b") and mapped.n == "400001010" and len(mapped.h) == 129 and mapped.x is None
+
+
+def test_folding_follows_the_character_data(spark):
+    from spoorline.operators.filters import folded
+
+    cases = {"Ἀθῆναι": "αθηναι", "Việt Nam": "viet nam", "İstanbul ŞİŞLİ": "istanbul sisli", "Čeština": "cestina", "Øst-Łódź": "ost lodz", "e\u0301te\u0301": "ete", "Ёлка": "елка", "straße": "straße"}
+    got = {r.t: r.f for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", folded(F.col("t")).alias("f")).collect()}
+    assert got == cases
