@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 SHINGLE = 5
 BLOCK = 16
+#: Passages of a text, times blocks of items, that are looked up together.
+TOGETHER = 1 << 18
 
 
 @dataclass
@@ -52,6 +55,7 @@ class Index:
     block_from: np.ndarray
     block_number: np.ndarray
     block_share: np.ndarray
+    block_post: np.ndarray  # the first posting of each block of a term
     highest: np.ndarray  # per term
     size: int
     stride: int
@@ -101,6 +105,7 @@ def build(items: list[tuple], frequency: dict[str, int], total: int, mean: float
         np.searchsorted(term[new], np.arange(n + 1)),
         item[new] // BLOCK,
         block_share,
+        np.r_[new, len(term)],
         highest,
         2 * stride,
         stride,
@@ -116,20 +121,38 @@ def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def retrieve(index: Index, passage: np.ndarray, least: float) -> list[tuple[int, float]]:
     """Items whose share of their own score the passage's distinct terms reach."""
-    terms = np.unique(passage[passage >= 0])
-    if index.highest[terms].sum() < least:
-        return []
-    at, _ = ranges(index.block_from[terms], index.block_from[terms + 1])
-    bound = np.bincount(index.block_number[at], weights=index.block_share[at])
-    open_ = bound >= least
-    if not open_.any():
+    found = retrieve_all(index, passage, np.array([0]), np.array([len(passage)]), least)
+    return [(item, score) for _, item, score in found]
+
+
+def retrieve_all(
+    index: Index, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: float
+) -> list[tuple[int, int, float]]:
+    """(passage, item, score): items whose share of their own score a passage's distinct terms reach.
+
+    Passages are runs of the words. All are looked up together: block maxima first, then the
+    postings of those blocks that can still reach the bound for their passage, no others.
+    """
+    at, owner = ranges(starts, ends)
+    term = words[at]
+    owner, term = owner[term >= 0], term[term >= 0]
+    wide = len(index.highest)
+    owner, term = np.divmod(np.unique(owner * wide + term), max(1, wide))
+    may = np.bincount(owner, weights=index.highest[term], minlength=len(starts)) >= least
+    owner, term = owner[may[owner]], term[may[owner]]
+    blocks = len(index.ids) // BLOCK + 1
+    entry, which = ranges(index.block_from[term], index.block_from[term + 1])
+    where = owner[which] * blocks + index.block_number[entry]
+    opened = (np.bincount(where, weights=index.block_share[entry]) >= least)[where] if len(where) else where > 0
+    if not opened.any():
         return []
-    at, _ = ranges(index.post_from[terms], index.post_from[terms + 1])
-    item = index.post_item[at]
-    inside = open_[item // BLOCK]
-    score = np.bincount(item[inside], weights=index.post_share[at][inside])
-    found = np.flatnonzero(score >= least)
-    return list(zip(found.tolist(), score[found].tolist(), strict=True))
+    entry, owner = entry[opened], owner[which[opened]]
+    at, which = ranges(index.block_post[entry], index.block_post[entry + 1])
+    pair, where = np.unique(owner[which] * len(index.ids) + index.post_item[at], return_inverse=True)
+    score = np.bincount(where, weights=index.post_share[at], minlength=len(pair))
+    found = score >= least
+    passage, item = np.divmod(pair[found], len(index.ids))
+    return list(zip(passage.tolist(), item.tolist(), score[found].tolist(), strict=True))
 
 
 def shingles(words: np.ndarray, width: int) -> set[tuple]:
@@ -160,8 +183,8 @@ def overlap(index: Index, number: int, passage: np.ndarray) -> tuple[float, floa
 
 def search(index: Index, text: str | None, least: float, question: float, answer: float) -> list[tuple]:
     """Verified items of one text: (item id, score, question share, answer share)."""
-    get = index.terms.get
-    words = np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
+    own = words_of(text)
+    words = np.fromiter(map(index.terms.get, own, repeat(-1)), dtype=np.int64, count=len(own))
     if not len(words):
         return []
     weight = np.where(words >= 0, index.highest[words] if len(index.highest) else 0, 0.0)
@@ -169,10 +192,12 @@ def search(index: Index, text: str | None, least: float, question: float, answer
     starts = np.arange(0, max(1, len(words) - index.stride), index.stride)
     ends = np.minimum(starts + index.size, len(words))
     best: dict[int, tuple] = {}
-    for k in np.flatnonzero(sums[ends] - sums[starts] >= least - 1e-9):
-        passage = words[starts[k] : ends[k]]
-        for number, score in retrieve(index, passage, least):
-            q, a = overlap(index, number, passage)
+    likely = np.flatnonzero(sums[ends] - sums[starts] >= least - 1e-9)
+    many = max(1, TOGETHER // (len(index.ids) // BLOCK + 1))
+    for first in range(0, len(likely), many):
+        some = likely[first : first + many]
+        for k, number, score in retrieve_all(index, words, starts[some], ends[some], least):
+            q, a = overlap(index, number, words[starts[some[k]] : ends[some[k]]])
             if q >= question and a >= answer:
                 row = (score, q, a)
                 best[number] = max(best.get(number, row), row)
