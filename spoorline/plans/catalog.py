@@ -6,6 +6,7 @@ flat (strings, integers, doubles) so that another engine can be compared.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -413,6 +414,23 @@ def hit_sources(spark, sf):
     return rul.matched_events(hits, events).select("id", "event_type")
 
 
+def bucketed_case(spark, sf, buckets: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Hit links and events as tables in buckets of the event's id."""
+    events = d.app_events(spark, sf)
+    hits = rul.hit_events(rul.evaluate_rules(events, samples.EVENT_RULES))
+    run = uuid.uuid4().hex
+    links = exports.write_bucketed(exports.hit_links(hits), f"links_{run}", shared_folder(spark, "links"), "matched_id", buckets)
+    stored = exports.write_bucketed(events, f"events_{run}", shared_folder(spark, "events"), "id", buckets)
+    return links, stored
+
+
+@query
+def linked_events(spark, sf):
+    """Events with their hits, from tables in buckets: no exchange in the join or the count."""
+    rows = exports.linked_events(*bucketed_case(spark, sf))
+    return rows.select("id", "event_type", "hits", _int("worst"))
+
+
 @query
 def signature_hits(spark, sf):
     pages = d.load(spark, sf, "pages")
@@ -598,6 +616,17 @@ def mongod_events(spark, sf):
     )
 
 
+@query
+def mongod_nested(spark, sf):
+    """A numeric attribute two levels down, with its own type, next to one above it."""
+    records = mongod.read_records(d.mongod_lines(spark, sf))
+    deep = mongod.attribute("uuid.a", "long")
+    return records.where(deep.isNotNull()).groupBy("path", deep.alias("a")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(mongod.attribute("connectionId", "long")).alias("ids"),
+        F.count(mongod.attribute("remote", "long")).alias("not_numbers"),
+    )
+
+
 @query
 def mongod_floods(spark, sf):
     records = mongod.read_mongod(d.mongod_lines(spark, sf)).filter(F.col("event_time").isNotNull())

@@ -268,6 +268,8 @@ SQL["rule_cap"] = f"""WITH {_HITS} SELECT rule, hit_no, id FROM (SELECT *, row_n
   (PARTITION BY rule ORDER BY id) AS hit_no FROM h) WHERE hit_no <= 20"""
 SQL["rule_counts"] = f"""WITH {_HITS} SELECT rule, count(*) AS hits,
   CASE WHEN count(*) > 200 THEN 1 ELSE 0 END AS capped FROM h GROUP BY 1"""
+SQL["linked_events"] = f"""WITH {_HITS} SELECT id, event_type, count(*) AS hits,
+  CAST(max(CASE hit_severity WHEN 'high' THEN 3 WHEN 'med' THEN 2 ELSE 0 END) AS BIGINT) AS worst FROM h GROUP BY 1, 2"""
 SQL["rule_diagnostics"] = f"""WITH {_HITS}, c AS (SELECT rule, count(*) AS hits FROM h GROUP BY 1),
 r AS (SELECT * FROM (VALUES ('r1', ''), ('r2', ''), ('r3', ''), ('r4', ''), ('r5', 'foreign product'),
   ('r6', 'modifier [' || chr(39) || 'near' || chr(39) || ']'), ('u1', 'aggregation'), ('u2', 'pattern ' || chr(39) || '(5' || chr(39)), ('u3', 'no condition or no selection'),
@@ -582,6 +584,9 @@ SELECT {_MONGO_ID} AS id, tus AS ts_epoch, coalesce(h, '') AS host,
   CASE kind WHEN 'conn' THEN 'mongodb/NETWORK' WHEN 'fail' THEN 'mongodb/ACCESS' WHEN 'index' THEN 'mongodb/INDEX'
     ELSE 'mongodb/CONTROL' END AS channel,
   CASE WHEN kind = 'conn' THEN ip ELSE '' END AS source_ip FROM gm"""
+SQL["mongod_nested"] = facts("""
+SELECT '/case/db' || (user_id % 3) || '/var/log/mongodb/mongod.log' AS path, CAST(k AS BIGINT) AS a, count(*) AS n,
+  CAST(sum(k) AS BIGINT) AS ids, 0 AS not_numbers FROM f WHERE event_type IN ('click', 'view') AND k <> 99 GROUP BY 1, 2""")
 SQL["mongod_floods"] = f"""WITH {_MONGO}
 SELECT '/case/db' || db || '/var/log/mongodb/mongod.log' AS path, ip AS source_ip, count(*) AS connections,
   round(greatest((max(tus) - min(tus)) / 1000000.0, 1.0), 1) AS window_seconds,

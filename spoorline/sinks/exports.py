@@ -73,6 +73,38 @@ def write_days(events: DataFrame, path: str) -> None:
     )
 
 
+def write_bucketed(rows: DataFrame, name: str, path: str, key: str, buckets: int = 64) -> DataFrame:
+    """The rows as table ``name`` at ``path``, dealt into buckets by ``key`` and sorted in them.
+
+    Tables of equal bucket number are joined and grouped by their keys without an exchange,
+    however often. Choose buckets so that one holds some hundred MB.
+    """
+    (
+        rows.repartition(buckets, key)
+        .write.bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", path)
+        .format("parquet")
+        .saveAsTable(name)
+    )
+    return rows.sparkSession.table(name)
+
+
+def hit_links(hits: DataFrame) -> DataFrame:
+    """(matched_id, id, rule, severity) of hit events: what leads from a hit to its event."""
+    data = F.col("data")
+    return hits.select(
+        data["matched_event_id"].cast("long").alias("matched_id"), "id", data["rule"].alias("rule"), "severity"
+    )
+
+
+def linked_events(links: DataFrame, events: DataFrame) -> DataFrame:
+    """The events that hits point at, each once, with the number of hits and their worst level."""
+    rank = F.element_at(F.create_map(*[x for k, v in LEVEL_RANK.items() for x in (F.lit(k), F.lit(v))]), F.col("severity"))
+    told = links.groupBy("matched_id").agg(F.count(F.lit(1)).alias("hits"), F.max(rank).alias("worst"))
+    return events.join(told, events["id"] == told["matched_id"]).drop("matched_id")
+
+
 def _text(name: str):
     return or_blank(F.col(name).cast("string"))
 

@@ -91,6 +91,20 @@ def read_mongod(lines: DataFrame) -> DataFrame:
     return rows.select(*lines.columns, "__r.*")
 
 
+def read_records(lines: DataFrame) -> DataFrame:
+    """Lines with ``record``, the whole record as a variant; null where a line is none.
+
+    Each line is parsed once; any attribute, however deep, is then read by its path with its
+    own type: see :func:`attribute`.
+    """
+    return lines.select("*", F.try_parse_json(strip_ws(F.col("value"))).alias("record"))
+
+
+def attribute(path: str, kind: str) -> Column:
+    """A value of a record by its path below ``attr`` (``uuid.a``); null if absent or of no such type."""
+    return F.try_variant_get(F.col("record"), f"$.attr.{path}", kind)
+
+
 def message_meaning(msg: Column) -> Column:
     """struct(title, event_type, floor): exact message, else a contained one."""
 

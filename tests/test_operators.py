@@ -290,3 +290,21 @@ def test_artifact_numbers_are_dense(spark):
 def test_payload_drops_nulls(spark):
     got = spark.range(1).select(payload(a=F.lit(1), b=F.lit(None)).alias("m")).first().m
     assert got == {"a": "1"}
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    import os
+
+    from spoorline.plans import catalog
+    from spoorline.sinks import exports
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    links, stored = catalog.bucketed_case(spark, "/root/testdata/sf0.001")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exports.linked_events(links, stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
