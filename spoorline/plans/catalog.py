@@ -27,7 +27,7 @@ from spoorline.operators import rulebook as book
 from spoorline.operators import rules as rul
 from spoorline.operators import running as run
 from spoorline.operators import signatures as sig
-from spoorline.operators.normalize import number_artifacts, union_events
+from spoorline.operators.normalize import number_artifacts, union_events, with_valid_techniques
 from spoorline.operators.textkind import classify_text
 from spoorline.plans import derived as d
 from spoorline.plans import samples
@@ -162,6 +162,36 @@ def attck_named(spark, sf):
     return agg.with_technique_names(agg.attck_summary(d.app_events(spark, sf)), names)
 
 
+@query
+def valid_attck(spark, sf):
+    """Techniques of the events that a table of techniques knows."""
+    known = d.load(spark, sf, "part").select(
+        F.format_string("t10%02d", F.col("p_partkey") % 100).alias("technique_id")
+    ).distinct()
+    return with_valid_techniques(d.app_events(spark, sf), known).select("id", _join("attck"))
+
+
+@query
+def appended_hits(spark, sf):
+    """Events and the hits on them in one table, by parser and level."""
+    events = d.app_events(spark, sf)
+    hits = rul.hit_events(rul.evaluate_rules(events, samples.EVENT_RULES))
+    whole = union_events(events, hits)
+    return whole.groupBy("parser", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@query
+def defanged_links(spark, sf):
+    """Addresses that were written so that nobody follows them, as what they stand for."""
+    k, user = F.col("k").cast("string"), (F.col("user_id") % 10).cast("string")
+    lines_ = d.facts(spark, sf).select(
+        F.col("event_id").alias("doc_id"),
+        F.concat(F.lit("see hxxps://h"), k, F.lit("[.]example[.]net/p"), user, F.lit(" or 198[.]51[.]100[.]"), user).alias("text"),
+    )
+    rows = ioc.extract_indicators(lines_, "text", ["doc_id"], allowlist=[])
+    return rows.select("doc_id", "type", "value", _join("tags"))
+
+
 @query
 def coverage(spark, sf):
     return agg.coverage(d.app_events(spark, sf), limit=6).withColumn(

@@ -119,6 +119,13 @@ SQL["attck_named"] = app(
     "LEFT JOIN (SELECT 'T10' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS technique_id, min(p_name) AS name, "
     "min(p_type) AS tactics FROM part GROUP BY 1) p ON a.technique_id = p.technique_id"
 )
+SQL["valid_attck"] = app("""
+SELECT id, coalesce((SELECT string_agg(t, ' ' ORDER BY p) FROM (SELECT unnest(string_split(attck, ' ')) AS t,
+  generate_subscripts(string_split(attck, ' '), 1) AS p) WHERE t IN (SELECT 'T10' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') FROM part)), '') AS attck
+FROM ev""")
+SQL["defanged_links"] = facts("""
+SELECT event_id AS doc_id, 'url' AS type, 'https://h' || k || '.example.net/p' || (user_id % 10) AS value, 'defanged' AS tags FROM f
+UNION ALL SELECT event_id, 'ipv4', '198.51.100.' || (user_id % 10), 'private defanged' FROM f""")
 SQL["coverage"] = app(
     "SELECT CASE WHEN channel = '' THEN source_artifact ELSE channel END AS channel, "
     "count(*) AS total, count(*) FILTER (k % 3 = 0) AS auto, "
@@ -270,6 +277,8 @@ SQL["rule_counts"] = f"""WITH {_HITS} SELECT rule, count(*) AS hits,
   CASE WHEN count(*) > 200 THEN 1 ELSE 0 END AS capped FROM h GROUP BY 1"""
 SQL["linked_events"] = f"""WITH {_HITS} SELECT id, event_type, count(*) AS hits,
   CAST(max(CASE hit_severity WHEN 'high' THEN 3 WHEN 'med' THEN 2 ELSE 0 END) AS BIGINT) AS worst FROM h GROUP BY 1, 2"""
+SQL["appended_hits"] = f"""WITH {_HITS} SELECT parser, severity, count(*) AS n, count(DISTINCT id) AS ids FROM (
+  SELECT parser, severity, CAST(id AS VARCHAR) AS id FROM ev UNION ALL SELECT 'sigma', hit_severity, id || ' ' || rule FROM h) GROUP BY 1, 2"""
 SQL["rule_diagnostics"] = f"""WITH {_HITS}, c AS (SELECT rule, count(*) AS hits FROM h GROUP BY 1),
 r AS (SELECT * FROM (VALUES ('r1', ''), ('r2', ''), ('r3', ''), ('r4', ''), ('r5', 'foreign product'),
   ('r6', 'modifier [' || chr(39) || 'near' || chr(39) || ']'), ('u1', 'aggregation'), ('u2', 'pattern ' || chr(39) || '(5' || chr(39)), ('u3', 'no condition or no selection'),
