@@ -12,6 +12,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: The state store that keyed state with timers needs.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COUNTED = "source string, account string, line_no long, event_time timestamp, attempt long, prior_failures long, cracked boolean"
-WAITING = "account string, line_no long, at long, failed boolean, accepted boolean, exempt boolean"
+#: Waiting rows lie in the state as packed columns, so many to a value: the state is asked per
+#: batch and per account, never per row.
+WAITING = "line_nos binary, times binary, flags binary, accounts array<string>"
+PACKED_ROWS = 10_000
+FAILED, ACCEPTED, EXEMPT = 1, 2, 4
+
+
+def packed_rows(line_no: np.ndarray, at: np.ndarray, flags: np.ndarray, account: np.ndarray) -> list[tuple]:
+    """The rows as values of the waiting state."""
+    cuts = [slice(i, i + PACKED_ROWS) for i in range(0, len(at), PACKED_ROWS)]
+    return [(line_no[c].tobytes(), at[c].tobytes(), flags[c].tobytes(), account[c].tolist()) for c in cuts]
 
 
 class LoginCounter(StatefulProcessor):
@@ -40,38 +51,61 @@ class LoginCounter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latest = 0
         for batch in rows:
-            at = batch["event_time"].astype("datetime64[us]").astype("int64")
-            for row, when in zip(batch.itertuples(index=False), at):
-                self.waiting.appendValue(
-                    (row.account, int(row.line_no), int(when), bool(row.failed), bool(row.accepted), bool(row.exempt))
-                )
-                latest = max(latest, int(when))
+            at = batch["event_time"].astype("datetime64[us]").to_numpy().view(np.int64)
+            flags = sum(
+                batch[name].eq(True).to_numpy(dtype=np.uint8) * np.uint8(bit)
+                for name, bit in (("failed", FAILED), ("accepted", ACCEPTED), ("exempt", EXEMPT))
+            )
+            account = batch["account"].to_numpy(dtype=object)
+            for value in packed_rows(batch["line_no"].to_numpy(dtype=np.int64), at, flags, account):
+                self.waiting.appendValue(value)
+            latest = max([latest, *at.tolist()])
         # Due as soon as the watermark has passed the last of these rows.
         self.handle.registerTimer(latest // 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.waiting.get())
-        due = sorted((r for r in rows if r[2] <= passed), key=lambda r: (r[2], r[1]))
+        values = list(self.waiting.get())
+        line_no = np.frombuffer(b"".join(v[0] for v in values), dtype=np.int64)
+        at = np.frombuffer(b"".join(v[1] for v in values), dtype=np.int64)
+        flags = np.frombuffer(b"".join(v[2] for v in values), dtype=np.uint8)
+        account = np.array([a for v in values for a in v[3]], dtype=object)
+        later = at > passed
+        if later.all():
+            return
         self.waiting.clear()
-        for row in rows:
-            if row[2] > passed:
-                self.waiting.appendValue(tuple(row))
+        for value in packed_rows(line_no[later], at[later], flags[later], account[later]):
+            self.waiting.appendValue(value)
+        due = np.flatnonzero(~later)
+        due = due[np.lexsort((line_no[due], at[due]))]
+        line_no, at, flags, account = line_no[due], at[due], flags[due], account[due]
+        failed = (flags & FAILED) > 0
         stored = self.failures.get()
-        count = stored[0] if stored else 0
-        out = []
-        for account, line_no, at, failed, accepted, exempt in due:
-            before = count
-            cracked = accepted and not exempt and self.failed_accounts.containsKey((account,))
-            if failed:
-                count += 1
-                if not self.failed_accounts.containsKey((account,)):
-                    self.failed_accounts.updateValue((account,), (line_no,))
-            out.append((key[0], account, line_no, pd.Timestamp(at, unit="us"), count, before, cracked))
-        self.failures.update((count,))
-        names = ["source", "account", "line_no", "event_time", "attempt", "prior_failures", "cracked"]
-        yield pd.DataFrame(out, columns=names)
+        before = (stored[0] if stored else 0) + np.cumsum(failed) - failed
+        self.failures.update((int(before[-1] + failed[-1]),))
+        entered = (flags & (ACCEPTED | EXEMPT)) == ACCEPTED
+        # The place of each account's first failure here; -1 if it failed before.
+        code, names = pd.factorize(account, use_na_sentinel=False)
+        first = np.full(len(names), len(due))
+        np.minimum.at(first, code[failed], np.flatnonzero(failed))
+        for i in np.unique(code[failed | entered]).tolist():
+            name = None if pd.isna(names[i]) else names[i]
+            if self.failed_accounts.containsKey((name,)):
+                first[i] = -1
+            elif first[i] < len(due):
+                self.failed_accounts.updateValue((name,), (int(line_no[first[i]]),))
+        yield pd.DataFrame(
+            {
+                "source": [key[0]] * len(due),
+                "account": account,
+                "line_no": line_no,
+                "event_time": at.view("datetime64[us]"),
+                "attempt": before + failed,
+                "prior_failures": before,
+                "cracked": entered & (np.arange(len(due)) > first[code]),
+            }
+        )
 
     def close(self) -> None:
         pass

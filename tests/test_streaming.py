@@ -78,3 +78,77 @@ def test_rules_take_a_stream(spark, tmp_path, size):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert got == sorted(map(tuple, evaluate_book(events, book).select("id", "rule").collect()))
     assert len(got) == 30
+
+
+class FakeState:
+    """A list, value or map state that counts how often it is asked."""
+
+    def __init__(self):
+        self.items, self.one, self.of, self.calls = [], None, {}, 0
+
+    def appendValue(self, value):
+        self.calls += 1
+        self.items.append(value)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.items) if self.items else self.one
+
+    def clear(self):
+        self.calls += 1
+        self.items = []
+
+    def update(self, value):
+        self.calls += 1
+        self.one = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.of
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.of[key] = value
+
+
+def test_state_is_asked_per_batch_not_per_row():
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.states = [FakeState() for _ in range(3)]
+            self.left = list(self.states)
+
+        def getListState(self, *args):
+            return self.left.pop(0)
+
+        getValueState = getMapState = getListState
+
+        def registerTimer(self, at):
+            pass
+
+    class Passed:
+        def getCurrentWatermarkInMs(self):
+            return int(T0.timestamp() * 1000) + 10**9
+
+    n = 25_000
+    rows = pd.DataFrame({
+        "account": [f"u{i % 5}" if i % 7 else None for i in range(n)], "line_no": range(n),
+        "event_time": [pd.Timestamp(T0)] * n, "failed": [i % 3 == 0 and i > 100 for i in range(n)],
+        "accepted": [i % 3 == 1 for i in range(n)], "exempt": [None if i % 2 else i % 11 == 0 for i in range(n)]})
+    counter, handle = stateful.LoginCounter(), Handle()
+    counter.init(handle)
+    shuffled = rows.sample(frac=1, random_state=3)
+    got = []
+    for part in (shuffled[: n // 2], shuffled[n // 2 :]):
+        list(counter.handleInputRows(("s",), iter([part]), None))
+    for frame in counter.handleExpiredTimer(("s",), Passed(), None):
+        got += list(frame[["account", "line_no", "attempt", "prior_failures", "cracked"]].itertuples(index=False, name=None))
+    seen, count, want = set(), 0, []
+    for r in rows.itertuples():
+        cracked = r.accepted and r.exempt is not True and r.account in seen
+        want.append((r.account, r.line_no, count + r.failed, count, cracked))
+        count += r.failed
+        seen |= {r.account} if r.failed else set()
+    assert got == want
+    assert sum(s.calls for s in handle.states) < 60
