@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoorline.functions.paths import source_label
-from spoorline.functions.text import blank_to_null, cut, file_name, payload, strings
+from spoorline.functions.text import blank_to_null, cut, file_name, let, payload, strings
 from spoorline.functions.times import any_clock
 from spoorline.operators.normalize import line_id, normalize, union_events
 from spoorline.operators.running import RunningSum, line_chunks, running
@@ -130,14 +130,18 @@ def extract_questions(text: Column) -> Column:
     """Questions of a task text in order: numbered ones, else any line ending in ``?``."""
     numbered = F.regexp_extract_all(text, F.lit(NUMBERED), 1)
     bare = F.regexp_extract_all(text, F.lit(BARE), 1)
-    found = F.transform(
-        F.when(F.size(numbered) > 0, numbered).otherwise(bare),
-        lambda q: F.regexp_replace(q, r"^\s+|\s+$", ""),
-    )
-    lowered = F.transform(found, lambda q: F.lower(q))
-    return F.filter(
-        found, lambda q, i: F.array_position(lowered, F.lower(q)) == (i + 1).cast("long")
-    )
+    listed = let(numbered, lambda some: F.when(F.size(some) > 0, some).otherwise(bare))
+    return let(F.transform(listed, lambda q: F.regexp_replace(q, r"^\s+|\s+$", "")), first_of_each)
+
+
+def first_of_each(found: Column) -> Column:
+    """The texts in order, each at its first place, whatever its case: one hashed pass.
+
+    Read backwards, a map keeps the first place of each by the session's map setting.
+    """
+    lowered, numbers = F.transform(found, lambda q: F.lower(q)), F.transform(found, lambda q, i: i)
+    places = F.map_from_arrays(F.reverse(lowered), F.reverse(numbers))
+    return F.transform(F.array_sort(F.map_values(places)), lambda i: F.get(found, i))
 
 
 def is_task_file(path: Column, size: Column) -> Column:

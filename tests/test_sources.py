@@ -311,3 +311,15 @@ def test_a_failed_write_leaves_the_old_case(spark, tmp_path):
     exports.write_days(rows.filter("event_date = '2024-01-02'"), path)
     counts = {str(r.event_date): r["count"] for r in spark.read.parquet(path).groupBy("event_date").count().collect()}
     assert counts == {"2024-01-01": 10, "2024-01-02": 20, "2024-01-03": 10}
+
+
+def test_questions_of_a_long_text_cost_one_pass(spark):
+    import time
+
+    asked = [f"{'Which' if i % 2 else 'which'} account number is {i % 15000}?" for i in range(40000)]
+    one = spark.createDataFrame([("a", "\n".join(asked)), ("b", None), ("c", "")], "path string, text string")
+    start = time.monotonic()
+    got = [r.question for r in text.questions_table(one).orderBy("position").collect()]
+    assert got == asked[:15000]
+    # Each question against each would be 1.6 billion comparisons.
+    assert time.monotonic() - start < 60
