@@ -10,7 +10,7 @@ from importlib.resources import files
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spoorline.functions.text import let, starts_any, strings
+from spoorline.functions.text import any_of, let, starts_any, strings
 
 # Address blocks behind each tag (IANA special-purpose registries).
 V4_PRIVATE = (
@@ -65,12 +65,30 @@ V4_SHAPE = (
 V6_FULL_SHAPE = r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"
 
 
+#: Per spelling, texts of which one is in every text that holds it: looked for first, as
+#: that costs far less than the pattern. Letters stand in both cases.
+REFANG_HINTS = (
+    ("://",),
+    ("://",),
+    ("[.]", "(.)", "{.}", " .", "\t.", "\n.", "\u000b.", "\f.", "\r."),
+    ("[d", "[D", "(d", "(D"),
+    ("[:]", "(:)"),
+    ("[@]", "(a", "(A", "[a", "[A"),
+    ("[//]",),
+)
+
+
 def refang(text: Column) -> Column:
-    for pattern, replacement in REFANG:
-        text = F.regexp_replace(text, pattern, replacement)
+    for (pattern, replacement), hints in zip(REFANG, REFANG_HINTS):
+        text = let(text, lambda t: where_hinted(t, hints, F.regexp_replace(t, pattern, replacement), t))
     return text
 
 
+def where_hinted(text: Column, hints: Sequence[str], value: Column, other: Column) -> Column:
+    """``value`` where the text holds one of the hints, else ``other``."""
+    return F.when(any_of([text.contains(hint) for hint in hints]), value).otherwise(other)
+
+
 def _bits_of(block: str) -> str:
     net = ipaddress.ip_network(block)
     width = net.max_prefixlen

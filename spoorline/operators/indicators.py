@@ -16,8 +16,9 @@ from spoorline.functions.network import (
     network_bits,
     refang,
     suffixes,
+    where_hinted,
 )
-from spoorline.functions.text import or_blank, strings
+from spoorline.functions.text import let, or_blank, strings
 
 # Indicator types in order, and their shapes.
 URL = r"(?i)\b(?:https?|ftps?)://[^\s\"'<>\\)\]}]+"
@@ -33,12 +34,17 @@ SHAPES = (
     ("domain", r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}\b"),
 )
 TYPES = tuple(kind for kind, _ in SHAPES)
+#: Texts of which one is in every text with such an indicator, looked for before the shape.
+HINTS = {"url": ("://",), "email": ("@",), "ipv4": (".",), "ipv6": (":",), "domain": (".",)}
+#: Every digest holds a run of this length.
+DIGEST = r"[A-Fa-f0-9]{32}"
 
 
 def unclaimed(clear: Column) -> Column:
     """The text without its URLs and mail addresses: they claim their characters,
     so the host inside one is not a domain of its own."""
-    return F.regexp_replace(F.regexp_replace(clear, URL, " "), EMAIL, " ")
+    bare = where_hinted(clear, HINTS["url"], F.regexp_replace(clear, URL, " "), clear)
+    return where_hinted(clear, HINTS["email"], F.regexp_replace(bare, EMAIL, " "), bare)
 
 
 def found_values(clear: Column, rest: Column) -> Column:
@@ -48,12 +54,14 @@ def found_values(clear: Column, rest: Column) -> Column:
     is computed once per row and not once per indicator type.
     """
 
-    def of_type(kind: str, shape: str) -> Column:
+    def of_type(kind: str, shape: str, digests: Column) -> Column:
         where = rest if kind == "domain" else clear
-        hits = F.transform(
-            F.regexp_extract_all(where, F.lit(shape), 0),
-            lambda v: F.regexp_replace(v, r"[.,;:)\]}\"']+$", ""),
-        )
+        found = F.regexp_extract_all(where, F.lit(shape), 0)
+        if kind in HINTS:
+            found = where_hinted(where, HINTS[kind], found, strings([]))
+        else:
+            found = F.when(digests, found).otherwise(strings([]))
+        hits = F.transform(found, lambda v: F.regexp_replace(v, r"[.,;:)\]}\"']+$", ""))
         if kind in ("email", "sha256", "sha1", "md5", "domain"):
             hits = F.transform(hits, lambda v: F.lower(v))
         hits = F.filter(hits, lambda v: v != "")
@@ -63,7 +71,10 @@ def found_values(clear: Column, rest: Column) -> Column:
             hits, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"))
         )
 
-    return F.array_distinct(F.concat(*[of_type(kind, shape) for kind, shape in SHAPES]))
+    return let(
+        clear.rlike(DIGEST),
+        lambda digests: F.array_distinct(F.concat(*[of_type(kind, shape, digests) for kind, shape in SHAPES])),
+    )
 
 
 def extract_indicators(

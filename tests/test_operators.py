@@ -308,3 +308,29 @@ def test_bucketed_tables_join_without_an_exchange(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "Exchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_patterns_are_tried_only_where_their_hints_stand(spark):
+    import random
+    import time
+
+    from spoorline.functions import network
+    from spoorline.operators import indicators
+
+    rng = random.Random(5)
+    pieces = ["hXXps://", "FxP://", "[.]", "(.)", "{.}", "\t.\n", "\u000b.\f", "\r. ", " . ", "[DOT]", "(dot)", "[:]", "(:)", "[@]", "(At)",
+              "[aT]", "[//]", "a1", "evil", "com", ".", "@", ":", "/", " ", "8", "d" * 32, "E" * 64, "2001:db8:1:2:3:4:5:6", "1.2.3.4"]
+    texts = ["".join(rng.choices(pieces, k=14)) for _ in range(2000)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("t")
+    for pattern, replacement in network.REFANG:
+        plain = F.regexp_replace(plain, pattern, replacement)
+    assert rows.where(~network.refang(F.col("t")).eqNullSafe(plain)).count() == 0
+    found = indicators.extract_indicators(rows, "t", ["t"])
+    kinds = {r["type"]: r["count"] for r in found.groupBy("type").count().collect()}
+    assert kinds.keys() == {"url", "email", "md5", "sha256", "ipv4", "ipv6", "domain"} and min(kinds.values()) > 10
+    # One long word without an @: the address pattern would start over at each of its pieces.
+    word = spark.createDataFrame([("a%" * 250_000,)], "t string")
+    start = time.monotonic()
+    assert indicators.extract_indicators(word, "t", []).count() == 0
+    assert time.monotonic() - start < 30
