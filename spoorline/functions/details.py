@@ -75,31 +75,44 @@ TICKET_ENCRYPTION = {
     "0xffffffff": "unknown",
 }
 SERVICE_START = {"0": "boot", "1": "system", "2": "auto", "3": "manual", "4": "disabled"}
+#: The names of coded fields in lower case.
+CODED_FIELDS = (
+    "logontype", "status", "substatus", "resultcode", "failurereason", "ticketencryptiontype",
+    "preauthtype", "starttype", "servicestarttype",
+)
 
 
 def decode_field(field: Column, value: Column, event_id: Column) -> Column:
     """The value with its meaning in brackets where the field is a known code."""
-    name = F.lower(field)
     raw = F.trim(value)
-    code = F.lower(raw)
-    status = F.when(event_id.isin(*KERBEROS_EVENTS), lookup(KERBEROS, code)).otherwise(
-        lookup(NTSTATUS, code)
-    )
-    roastable = F.when(raw == "0", F.lit("none — AS-REP roastable"))
-    meaning = (
-        F.when(name == "logontype", lookup(LOGON_TYPES, raw))
-        .when(name.isin("status", "substatus", "resultcode", "failurereason"), status)
-        .when(name == "ticketencryptiontype", lookup(TICKET_ENCRYPTION, code))
-        .when(name == "preauthtype", roastable)
-        .when(name.isin("starttype", "servicestarttype"), lookup(SERVICE_START, raw))
-    )
-    return F.concat(raw, F.coalesce(F.concat(F.lit(" ("), meaning, F.lit(")")), F.lit("")))
+
+    def meaning(name: Column) -> Column:
+        code = F.lower(raw)
+        status = F.when(event_id.isin(*KERBEROS_EVENTS), lookup(KERBEROS, code)).otherwise(
+            lookup(NTSTATUS, code)
+        )
+        roastable = F.when(raw == "0", F.lit("none — AS-REP roastable"))
+        known = (
+            F.when(name == "logontype", lookup(LOGON_TYPES, raw))
+            .when(name.isin("status", "substatus", "resultcode", "failurereason"), status)
+            .when(name == "ticketencryptiontype", lookup(TICKET_ENCRYPTION, code))
+            .when(name == "preauthtype", roastable)
+            .when(name.isin("starttype", "servicestarttype"), lookup(SERVICE_START, raw))
+        )
+        return F.coalesce(F.concat(F.lit(" ("), known, F.lit(")")), F.lit(""))
+
+    # Few fields are coded: the others are told apart by one look at their name.
+    coded = F.lower(field).isin(*CODED_FIELDS)
+    return F.concat(raw, F.when(coded, let(F.lower(field), meaning)).otherwise(F.lit("")))
 
 
 def natural_key(name: Column) -> Column:
     """Sorts ``param2`` before ``param10``: digit runs padded to one width."""
-    wide = F.regexp_replace(F.lower(name), r"([0-9]+)", "\u00010000000000000000$1")
-    return F.regexp_replace(wide, r"0[0-9]*([0-9]{16})(?![0-9])", "$1")
+    def padded(n: Column) -> Column:
+        wide = F.regexp_replace(n, r"([0-9]+)", "\u00010000000000000000$1")
+        return F.when(n.rlike("[0-9]"), F.regexp_replace(wide, r"0[0-9]*([0-9]{16})(?![0-9])", "$1")).otherwise(n)
+
+    return let(F.lower(name), padded)
 
 
 def pair(label: Column, value: Column) -> Column:
@@ -151,24 +164,30 @@ def render_pairs(pairs: Column, limit: int = DETAILS_LIMIT) -> Column:
 
 def auto_pairs(data: Column, skip: Column, event_id: Column) -> Column:
     """Every field under its own name: useful ones first, ten at most."""
-    order = strings([name.lower() for name in FIELD_PRIORITY])
+    order = F.lit(",".join(FIELD_PRIORITY).lower())
 
-    def keyed(entry: Column) -> Column:
-        position = F.array_position(order, F.lower(entry["key"]))
+    def keyed(e: Column) -> Column:
+        place = F.find_in_set(e["name"], order)
+        position = F.when(place == 0, 999).otherwise(place)
         return F.struct(
-            F.when(position == 0, 999).otherwise(position).alias("rank"),
-            natural_key(entry["key"]).alias("name"),
-            entry["key"].alias("label"),
-            one_line(entry["value"]).alias("value"),
+            position.alias("rank"),
+            natural_key(e["label"]).alias("name"),
+            e["label"].alias("label"),
+            e["value"].alias("value"),
         )
 
-    hidden = strings(FIELDS_NOT_SHOWN)
-    shown = F.filter(
+    # What is asked of a field more than once is worked out once, and only of fields shown.
+    entries = F.transform(
         F.map_entries(data),
-        lambda e: ~F.array_contains(hidden, F.lower(e["key"]))
-        & ~F.array_contains(skip, F.lower(e["key"]))
-        & (one_line(or_blank(e["value"])) != ""),
+        lambda e: F.struct(
+            e["key"].alias("label"), F.lower(e["key"]).alias("name"), one_line(or_blank(e["value"])).alias("value")
+        ),
     )
+    shown = F.filter(
+        entries,
+        lambda e: ~e["name"].isin(*FIELDS_NOT_SHOWN) & (e["value"] != "") & ~F.array_contains(skip, e["name"]),
+    )
+
     def listed(ranked: Column) -> Column:
         first = F.transform(
             F.slice(ranked, 1, AUTO_PAIRS),

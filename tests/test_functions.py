@@ -179,3 +179,17 @@ def test_folding_follows_the_character_data(spark):
     cases = {"Ἀθῆναι": "αθηναι", "Việt Nam": "viet nam", "İstanbul ŞİŞLİ": "istanbul sisli", "Čeština": "cestina", "Øst-Łódź": "ost lodz", "e\u0301te\u0301": "ete", "Ёлка": "елка", "straße": "straße"}
     got = {r.t: r.f for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", folded(F.col("t")).alias("f")).collect()}
     assert got == cases
+
+
+def test_fields_are_ranked_and_decoded_without_a_scan_of_lists(spark):
+    from spoorline.functions import details
+    from spoorline.functions.text import strings
+
+    data = {"x10": "c", "x2": "b  b", "Status": "0x0", "user": "u", "LogonType": "10", "a,b": "\tq\n", "Hidden": " ", "Channel": "no", "gone": "1"}
+    frame = spark.createDataFrame([(data,)], "d map<string,string>")
+    pairs = details.auto_pairs(F.col("d"), strings(["gone"]), F.lit("1"))
+    got = [(r.label, r.value) for r in frame.select(pairs.alias("p")).first().p]
+    assert got == [("user", "u"), ("Status", "0x0 (success)"), ("LogonType", "10 (RemoteInteractive)"), ("a,b", "q"), ("x2", "b b"), ("x10", "c")]
+    # A scan of the names for each field of each record costs more than all else of it.
+    plan = frame.select(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan and "find_in_set" in plan
