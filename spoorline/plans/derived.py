@@ -56,10 +56,10 @@ def squeezed(at: Column, by: int) -> Column:
     return F.timestamp_micros(day + F.floor((F.unix_micros(at) - day) / by))
 
 
-def app_events(spark: SparkSession, sf: str) -> DataFrame:
+def app_events(spark: SparkSession, sf: str, read=facts) -> DataFrame:
     """The events table as events of this package."""
     k, kind = F.col("k"), F.col("event_type")
-    rows = facts(spark, sf).select(
+    rows = read(spark, sf).select(
         F.col("event_id").alias("id"),
         F.col("at").alias("event_time"),
         F.lit("Logged").alias("ts_desc"),
@@ -97,7 +97,7 @@ def command_events(spark: SparkSession, sf: str) -> DataFrame:
     code = F.get_json_object(F.to_json("data"), "$.k")
     user = F.substring("user", 2, 20)
     line = _t("Tool.exe -N", code, " /U ", user, " ", F.base64(F.encode(_t("id=", user, ";end"), "UTF-8")))
-    return app_events(spark, sf).withColumn(
+    return app_events(spark, sf, spread_facts).withColumn(
         "data", F.map_concat("data", F.create_map(F.lit("command_line"), line))
     ).withColumn("event_id", F.when(F.col("event_type") == "click", "4688").otherwise(F.col("event_id")))
 
