@@ -17,6 +17,8 @@ _RUNTIME_SETTINGS = {
     # The JVM does not compile methods above 8000 bytes: a stage with many rules
     # or patterns is faster as several small methods than as one huge one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Contents of files go to Python: a batch is bounded by its bytes, not only by its rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 

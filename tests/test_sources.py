@@ -8,6 +8,7 @@ from spoorline.operators import answers, context
 from spoorline.operators import signatures as sig
 from spoorline.operators.filters import EventFilter, timeline
 from spoorline.plans.case import analyze
+from spoorline.session import prepare
 from spoorline.sinks import exports
 from spoorline.sources import bodyfile, config, files, history, lines, mongod, syslog, text, winevents
 from spoorline.streaming.ingest import ingest, stream_texts
@@ -323,3 +324,16 @@ def test_questions_of_a_long_text_cost_one_pass(spark):
     assert got == asked[:15000]
     # Each question against each would be 1.6 billion comparisons.
     assert time.monotonic() - start < 60
+
+
+def test_contents_reach_python_in_bounded_batches(spark, tmp_path):
+    rows = spark.range(40, numPartitions=1).select(
+        F.concat(F.lit("/f"), "id").alias("path"), F.expr("repeat('x', 1000000)").cast("binary").alias("content"))
+
+    def octets(batches):
+        for batch in batches:
+            yield batch.from_pydict({"mb": [batch.nbytes // 1_000_000]})
+
+    prepare(spark)
+    assert max(r.mb for r in rows.mapInArrow(octets, "mb long").collect()) < 20
+    assert files.save_files(rows, str(tmp_path)).agg(F.sum("bytes")).first()[0] == 40_000_000
