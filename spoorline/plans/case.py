@@ -73,7 +73,7 @@ def analyze(
     rows. The context row is the one thing collected: classic logs are read
     only once zone and year are known from everything else.
     """
-    artifacts = written(number_artifacts(route(inventory(spark, paths))), "artifacts")
+    artifacts = written(number_artifacts(written(route(inventory(spark, paths)), "inventory")), "artifacts")
     texts = artifacts.where(F.col("error").isNull() & F.col("parser").isin(*SELF_DATING, "linux_syslog"))
     lines = written(
         lines_in(ranges(texts.select("path", "size", "mtime", "artifact_id", "parser"))), "lines", by="parser"

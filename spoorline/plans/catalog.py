@@ -31,7 +31,7 @@ from spoorline.operators.normalize import number_artifacts, union_events, with_v
 from spoorline.operators.textkind import classify_text
 from spoorline.plans import derived as d
 from spoorline.plans import samples
-from spoorline.session import prepare, shared_folder
+from spoorline.session import prepare, shared_folder, written
 from spoorline.sinks import exports
 from spoorline.sources import bodyfile, config, files, history, lines, mongod, registry, syslog, winevents
 from spoorline.sources import text as plain
@@ -930,7 +930,7 @@ def signature_chunks(spark, sf):
 def artifact_errors(spark, sf):
     """Files that cannot be unpacked: their status says so, and the rest is read."""
     folder, _ = d.stored_notes(spark, sf)
-    found = number_artifacts(lines.route(lines.inventory(spark, folder)))
+    found = number_artifacts(written(lines.route(lines.inventory(spark, folder)).drop("header"), "inventory"))
     texts = found.where("error IS NULL AND parser IS NOT NULL").select("path", "size", "artifact_id")
     read = files.read_table(files.ranges(texts))
     status = agg.artifact_status(found.drop("error"), read.where("value IS NOT NULL"), lines.unreadable(read))

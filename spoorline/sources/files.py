@@ -21,6 +21,7 @@ import sys
 import zlib
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -40,6 +41,8 @@ LISTED = "path string, size long, mtime timestamp, error string"
 RANGE_BYTES, READ_BYTES, HEADER_BYTES = 32 << 20, 1 << 20, 512
 #: Lines handed on at a time.
 BATCH_LINES = 10_000
+#: Tasks that share the names of a folder of more than so many entries; rows listed at a time.
+SLICES, FEW, BATCH_FILES = 32, 1000, 5000
 PACKED = (".gz", ".bz2")
 
 
@@ -50,10 +53,11 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), os.path.abspath(re.sub(r"^file:/+", "/", path))
 
 
-def entries(path: str) -> list[tuple[str, bool, int, datetime, str | None]]:
+def entries(path: str, piece: int | None = None) -> list[tuple[str, bool, int, datetime, str | None]]:
     """(path, is a folder, size, change time, error) of what lies in a folder, or of one file.
 
-    On a local system links to folders are named, but not followed.
+    On a local system links to folders are named, but not followed. `piece`: only the local
+    names whose hash falls to that one of `SLICES` pieces.
     """
     system, inner = opened(path)
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
@@ -69,7 +73,10 @@ def entries(path: str) -> list[tuple[str, bool, int, datetime, str | None]]:
             for f in found
         ]
     out = []
-    names = sorted(os.path.join(inner, n) for n in os.listdir(inner)) if os.path.isdir(inner) else [inner]
+    if os.path.isdir(inner):
+        names = sorted(os.path.join(inner, n) for n in os.listdir(inner) if piece is None or _piece(n) == piece)
+    else:
+        names = [inner]
     for name in names:
         facts = os.lstat(name)
         error = None
@@ -84,8 +91,21 @@ def entries(path: str) -> list[tuple[str, bool, int, datetime, str | None]]:
     return out
 
 
+def _piece(name: str) -> int:
+    return zlib.crc32(os.fsencode(name)) % SLICES
+
+
+def _many(path: str) -> bool:
+    """Whether a local folder has more than `FEW` entries; no more of them are read."""
+    system, inner = opened(path)
+    if not isinstance(system, pafs.LocalFileSystem) or not os.path.isdir(inner):
+        return False
+    with os.scandir(inner) as found:
+        return next(islice(found, FEW, None), None) is not None
+
+
 class FileList(DataSource):
-    """Every file below some folders: a task for each subfolder walks what is below it."""
+    """Every file below some folders: tasks share the folders, and the names of large ones."""
 
     @classmethod
     def name(cls) -> str:
@@ -103,21 +123,51 @@ class FileListReader(DataSourceReader):
         self.paths = list(paths)
 
     def partitions(self) -> list[InputPartition]:
-        """The folders and files one level down; those below are found by the tasks."""
-        places = [entry for path in self.paths for entry in entries(path)]
-        return [InputPartition(place) for place in places] or [InputPartition(None)]
+        """Places to walk: folders and files from the first level that has enough, or pieces of large folders."""
+        places, level = [], [(path, True, 0, None, None) for path in self.paths]
+        top = True
+        while level and (top or len(places) + len(level) < SLICES):
+            below = []
+            for entry in level:
+                path, folder = entry[:2]
+                try:
+                    if not folder:
+                        places.append((entry, None))
+                    elif _many(path):
+                        places += [(entry, piece) for piece in range(SLICES)]
+                    else:
+                        below += entries(path)
+                except OSError:
+                    if top:
+                        raise
+                    places.append((entry, None))
+            level, top = below, False
+        places += [(entry, None) for entry in level]
+        shares = min(len(places), 4 * SLICES)
+        return [InputPartition(places[i::shares]) for i in range(shares)] or [InputPartition([])]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        fields = [("path", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", "UTC")), ("error", pa.string())]
+        rows = self.walk(partition.value)
+        while some := list(islice(rows, BATCH_FILES)):
+            columns = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values, kind) for values, (_, kind) in zip(columns, fields, strict=True)], schema=pa.schema(fields)
+            )
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        waiting = [partition.value] if partition.value else []
+    @staticmethod
+    def walk(places: Sequence[tuple]) -> Iterator[tuple]:
+        waiting = list(places)
         while waiting:
-            path, folder, size, moment, error = waiting.pop()
+            (path, folder, size, moment, error), piece = waiting.pop()
             if not folder:
                 yield path, size, moment, error
                 continue
             try:
-                waiting += entries(path)
+                waiting += [(entry, None) for entry in entries(path, piece)]
             except OSError as caught:
-                yield path, 0, moment, f"folder not listed: {_said(caught)}"
+                if not piece:  # one of the pieces tells
+                    yield path, 0, moment, f"folder not listed: {_said(caught)}"
 
 
 def _said(error: BaseException) -> str:
@@ -137,7 +187,12 @@ def ranges(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
     packed = ends.endswith(PACKED[0]) | ends.endswith(PACKED[1])
     last = F.when(packed, 0).otherwise(F.greatest(F.col("size") - 1, F.lit(0)))
     starts = F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(size).cast("long"))
-    return files.select("*", F.explode(starts).alias("start")).repartition("path", "start")
+    return files.select("*", F.explode(starts).alias("start")).repartition(_tasks(files.sparkSession), "path", "start")
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for rows that are small but stand for much: by size Spark would put them into one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
 def _unpacked(path: str) -> Iterator[bytes]:
@@ -188,18 +243,18 @@ def _blocks(path: str, start: int, size: int) -> Iterator[bytes]:
             at += len(block)
 
 
-def _lines(blocks: Iterator[bytes]) -> Iterator[str]:
-    """Lines without their ends (\\n, \\r\\n or \\r); bad bytes become replacement characters."""
+def _lines(blocks: Iterator[bytes]) -> Iterator[list[str]]:
+    """Lines without their ends (\\n, \\r\\n or \\r), some at a time; bad bytes become replacement characters."""
     kept: list[bytes] = []
     for block in blocks:
         end = block.rfind(b"\n") + 1
         if not end:
             kept.append(block)
             continue
-        yield from _split(b"".join(kept) + block[:end])
+        yield _split(b"".join(kept) + block[:end])
         kept = [block[end:]]
     if rest := b"".join(kept):
-        yield from _split(rest)
+        yield _split(rest)
 
 
 def _split(data: bytes) -> list[str]:
@@ -218,14 +273,24 @@ def lines_in(spots: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
     schema = pa.schema([("value", pa.string()), ("place", pa.int64()), ("error", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        octets = 0
         for batch in batches:
             for at, row in enumerate(batch.select(["path", "start"]).to_pylist()):
                 for found in _batched(row["path"], row["start"], size, schema):
                     kept = batch.slice(at, 1).take(pa.array([0] * len(found), pa.int32()))
-                    yield pa.RecordBatch.from_arrays(
+                    one = pa.RecordBatch.from_arrays(
                         [*kept.columns, found["place"], found["value"], found["error"]],
                         names=[*names, "place", "value", "error"],
                     )
+                    held.append(one)
+                    octets += one.nbytes
+                    # Lines of small files go together.
+                    if octets >= READ_BYTES or len(held) >= 200:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held, octets = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     if "error" in names:
         raise ValueError("ranges of files that could not be listed")
@@ -233,30 +298,20 @@ def lines_in(spots: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
 
 
 def _batched(path: str, start: int, size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held: list[str] = []
-    place = chars = 0
-    error = None
-
-    def batch(told: str | None) -> pa.RecordBatch:
-        many = len(held)
-        values, places = [*held], [*range(place, place + many)]
-        if told is not None:
-            values, places = [*values, None], [*places, place + many]
-        return pa.RecordBatch.from_pydict(
-            {"value": values, "place": places, "error": [None] * many + [told] * (told is not None)}, schema
-        )
+    place = 0
+
+    def batch(values: list[str | None], told: str | None) -> pa.RecordBatch:
+        places = range(place, place + len(values))
+        return pa.RecordBatch.from_pydict({"value": values, "place": places, "error": [told] * len(values)}, schema)
 
     try:
-        for line in _lines(_blocks(path, start, size)):
-            held.append(line)
-            chars += len(line)
-            if len(held) >= BATCH_LINES or chars >= READ_BYTES * 4:
-                yield batch(None)
-                place, held, chars = place + len(held), [], 0
+        for some in _lines(_blocks(path, start, size)):
+            for at in range(0, len(some), BATCH_LINES):
+                part = some[at : at + BATCH_LINES]
+                yield batch(part, None)
+                place += len(part)
     except (OSError, EOFError, ValueError, zlib.error) as caught:
-        error = _said(caught)
-    if held or error:
-        yield batch(error)
+        yield batch([None], _said(caught))
 
 
 def _ddl(df: DataFrame, names: Sequence[str]) -> str:
@@ -317,8 +372,8 @@ def digests(files: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.select(["path", "error"]).to_pylist()
-            for at, row in enumerate(rows):
+            found: list[tuple[str | None, bytes, str | None]] = []
+            for row in batch.select(["path", "error"]).to_pylist():
                 digest, header, error = hashlib.sha256(), b"", row["error"]
                 try:
                     if error is None:
@@ -329,16 +384,17 @@ def digests(files: DataFrame) -> DataFrame:
                                 digest.update(block)
                 except OSError as caught:
                     error = _said(caught)
-                one = batch.slice(at, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        one["path"], pa.array([None if error else digest.hexdigest()], pa.string()),
-                        pa.array([header], pa.binary()), one["size"], one["mtime"], pa.array([error], pa.string()),
-                    ],
-                    names=["path", "sha256", "header", "size", "mtime", "error"],
-                )
+                found.append((None if error else digest.hexdigest(), header, error))
+            sums, headers, errors = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["path"], pa.array(sums, pa.string()), pa.array(headers, pa.binary()),
+                    batch["size"], batch["mtime"], pa.array(errors, pa.string()),
+                ],
+                names=["path", "sha256", "header", "size", "mtime", "error"],
+            )
 
-    return files.repartition("path").mapInArrow(read, out)
+    return files.repartition(_tasks(files.sparkSession), "path").mapInArrow(read, out)
 
 
 def save_files(rows: DataFrame, folder: str) -> DataFrame:
@@ -350,12 +406,13 @@ def save_files(rows: DataFrame, folder: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = []
-            for row in batch.to_pylist():
-                system, inner = opened(f"{folder.rstrip('/')}/{row['path'].lstrip('/')}")
+            for path, value in zip(batch["path"], batch["content"], strict=True):
+                content = value.as_py() or b""  # of one row at a time
+                system, inner = opened(f"{folder.rstrip('/')}/{path.as_py().lstrip('/')}")
                 system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(inner, compression=None) as out:
-                    out.write(row["content"] or b"")
-                sizes.append(len(row["content"] or b""))
+                    out.write(content)
+                sizes.append(len(content))
             yield pa.RecordBatch.from_arrays([batch["path"], pa.array(sizes, pa.int64())], names=["path", "bytes"])
 
     return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(write, "path string, bytes long")

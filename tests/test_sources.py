@@ -326,6 +326,23 @@ def test_questions_of_a_long_text_cost_one_pass(spark):
     assert time.monotonic() - start < 60
 
 
+def test_one_folder_of_many_files_is_shared_by_tasks(spark, tmp_path):
+    folder = tmp_path / "case" / "notes"
+    folder.mkdir(parents=True)
+    for i in range(1200):
+        (folder / f".n{i}").write_text(f"{i}\nend")
+    (folder / "deep").mkdir()
+    (folder / "deep" / "x").write_bytes(b"")
+    listed = files.list_files(spark, str(tmp_path))
+    found = listed.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.path for r in found) == sorted([*(str(folder / f".n{i}") for i in range(1200)), str(folder / "deep" / "x")])
+    assert len({r.task for r in found}) > 8 and all(r.error is None and r.mtime.year > 2000 for r in found)
+    assert {r.size for r in found} == {0, 5, 6, 7, 8}
+    for rows in (files.digests(listed), files.lines_in(files.ranges(listed.drop("error")))):
+        assert rows.select(F.spark_partition_id()).distinct().count() > 8
+    assert lines.read_lines(spark, str(tmp_path)).count() == 2400
+
+
 def test_contents_reach_python_in_bounded_batches(spark, tmp_path):
     rows = spark.range(40, numPartitions=1).select(
         F.concat(F.lit("/f"), "id").alias("path"), F.expr("repeat('x', 1000000)").cast("binary").alias("content"))
