@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from spoorline.llm import shards as s
+from spoorline.llm.common import Kept
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -66,3 +67,13 @@ def test_ties_and_no_rows(spark):
     got = sorted((r["start"], r["n_tokens"]) for r in s.through_files(docs, PATH).collect())
     assert len(got) == 3 and got[0][0] == 0 and got[2][0] == got[1][0] + got[1][1]
     assert s.through_files(docs.limit(0), PATH).collect() == []
+
+
+def test_a_look_for_new_words_reads_only_these():
+    class Counted(Kept):
+        def __iter__(self):
+            raise AssertionError("all keys read")
+
+    known = Counted(1000)
+    known.update((str(i), i) for i in range(900))
+    assert known.unknown({"5", "x", "899"}) == {"x"}
